@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PLACES = 6
+# Added before cutting digits off. Not 0.5: values with few decimals sit exactly on .5 and would fall to
+# either side after a last-bit difference between two engines.
+NUDGE = 0.4371
 
 
 def emit(df: DataFrame, places: int = PLACES) -> DataFrame:
-    """Integers to BIGINT, dates to text, doubles rounded with no negative zero."""
+    """Integers to BIGINT, dates to text, doubles cut to `places` decimals."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             c = c.cast("bigint")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            r = F.round(c.cast("double"), places)
-            c = F.when(r == 0, F.lit(0.0)).otherwise(r)
+            scale = float(10**places)
+            c = F.floor(c.cast("double") * scale + NUDGE).cast("double") / scale
         elif isinstance(field.dataType, T.DateType):
             c = c.cast("string")
         out.append(c.alias(field.name))
@@ -33,8 +36,7 @@ def sql(body: str, columns: str, source: str = "result", places: int = PLACES) -
         if kind == "i":
             out.append(f"CAST({name} AS BIGINT) AS {name}")
         elif kind == "d":
-            r = f"round(CAST({name} AS DOUBLE), {places})"
-            out.append(f"CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END AS {name}")
+            out.append(f"floor(CAST({name} AS DOUBLE) * 1e{places} + {NUDGE}e0) / 1e{places} AS {name}")
         elif kind == "s":
             out.append(f"CAST({name} AS VARCHAR) AS {name}")
         else:

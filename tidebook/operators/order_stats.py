@@ -7,7 +7,7 @@ ranked by blocks; see `blocks`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,13 +63,36 @@ def average_rank(
             return F.when(F.col(value).isNotNull(), scaled)
 
         return df.withColumns({out: rank(value) for value, out in columns.items()})
+    counts = value_counts(stacked(df, keys, columns), [*keys, NAME], VALUE, limit)
+    return join_ranks(df, keys, columns, counts, percent)
+
+
+NAME, VALUE = "_name", "_value"
+
+
+def stacked(df: DataFrame, keys: Sequence[str], columns: Iterable[str]) -> DataFrame:
+    """Several numeric columns as (keys, name, value) rows, so that one pass serves them all."""
+    entries = [
+        F.struct(F.lit(c).alias(NAME), F.col(c).cast("double").alias(VALUE)) for c in columns
+    ]
+    return df.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*")
+
+
+def join_ranks(
+    df: DataFrame, keys: Sequence[str], columns: dict[str, str], counts: DataFrame, percent: bool
+) -> DataFrame:
+    """Attach average ranks from the value counts of `stacked` columns."""
+    mean = F.col("below") + (F.col("n") + 1) / 2
+    rank = mean / F.col("total") if percent else mean.cast("double")
     for value, out in columns.items():
-        counts = value_counts(df, keys, value, limit)
-        mean = F.col("below") + (F.col("n") + 1) / 2
-        ranks = counts.select(
-            *keys, value, (mean / F.col("total") if percent else mean.cast("double")).alias(out)
+        ranks = counts.where(F.col(NAME) == value).select(
+            *keys, F.col(VALUE).alias("_v"), rank.alias(out)
+        )
+        df = (
+            df.withColumn("_v", F.col(value).cast("double"))
+            .join(ranks, [*keys, "_v"], "left")
+            .drop("_v")
         )
-        df = df.join(ranks, [*keys, value], "left")
     return df
 
 
@@ -86,7 +109,15 @@ def quantiles(
     if not is_hot(clean, keys, limit):
         wanted = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
         return (clean.groupBy(*keys) if keys else clean).agg(wanted.alias(name))
-    counts = value_counts(df, keys, value, limit)
+    return quantiles_from_counts(
+        value_counts(df, keys, value, limit), keys, value, probabilities, name
+    )
+
+
+def quantiles_from_counts(
+    counts: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], name: str = "q"
+) -> DataFrame:
+    """Quantiles read off value counts by position, without collecting a group."""
     # Each probability needs the values at two neighbouring zero-based positions.
     spots = F.explode(
         F.array(
