@@ -81,7 +81,7 @@ def non_overlapping(spark, sf, limit=None):
 
 @query("non_overlapping_blocked", SQL["non_overlapping"])
 def non_overlapping_blocked(spark, sf):
-    return non_overlapping(spark, sf, 20)
+    return non_overlapping(spark, sf, 70)
 
 
 SCENARIOS = [
@@ -158,11 +158,11 @@ def scenario_summary(spark, sf):
 
 @query(
     "sessions_without_events",
-    """SELECT DISTINCT c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+    """SELECT DISTINCT c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
 )
 def sessions_without_events(spark, sf):
     wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("symbol"))
-    have = table(spark, sf, "orders").select(F.col("o_custkey").alias("symbol"))
+    have = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("symbol"))
     return emit(fills.sessions_without_events(wanted, have, ["symbol"]))
 
 

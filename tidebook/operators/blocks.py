@@ -1,25 +1,29 @@
 """Ordered computations that survive a hot key.
 
 A window over `partitionBy(key)` sends every row of a key to one task. When one key may hold a third
-of the table that task never ends, so ordered operators here work on *blocks*: the order column is cut
-at global quantile points, a cell is one (key, block) pair, and a cell holds at most about
-rows / blocks rows whatever the key distribution is. Each cell is processed by an ordinary window;
-what crosses a border travels as one summary row per cell, accumulated over at most `MAX_BLOCKS`
-rows per key, and is joined back. The result is exactly that of the single window.
-
-Blocks cost one extra small aggregate and one join, so they are used only when the largest key holds
-more rows than `rows_per_block`; that size is measured, not guessed.
+of the table that task never ends, so ordered operators here cut the rows of *large* keys into blocks:
+the order column is cut at quantile points of the large keys' rows, a cell is one (key, block) pair,
+and a cell holds at most about one block's share of rows however the keys are distributed. Small keys
+stay whole. Each cell is processed by an ordinary window; what crosses a border travels as one summary
+row per cell, accumulated along the blocks of its key, and is joined back. The result is exactly that of
+the single window.
+
+Key sizes are measured with one map-side-combined count. If no key is larger than a block, the plan is
+the plain window. Rows whose key is NULL are never cut; keys are identifiers here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.ml.feature import Bucketizer
 
 BLOCK = "_block"
+WHOLE = -1.0  # block of rows whose key is not cut
+# Upper bound on border values and on large keys held by the driver; blocks grow beyond it.
 MAX_BLOCKS = 20_000
 DEFAULT_ROWS = 4_000_000
 CONF_KEY = "spark.tidebook.rowsPerBlock"
@@ -30,42 +34,67 @@ SAMPLE_PER_BLOCK = 200
 BOUNDED = -1
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Border values of the order column and the large keys they apply to (None: the whole table)."""
+
+    points: tuple[float, ...]
+    large: DataFrame | None
+
+
 def rows_per_block(df: DataFrame, override: int | None = None) -> int:
     return int(override or df.sparkSession.conf.get(CONF_KEY, str(DEFAULT_ROWS)))
 
 
 def cut_points(
     df: DataFrame, keys: Sequence[str], order: str, limit: int | None = None
-) -> list[float]:
-    """Border values of `order`, or [] when no key holds more than `limit` rows."""
+) -> Cuts | None:
+    """Where to cut large keys, or None when no key holds more than `limit` rows."""
     if limit == BOUNDED:
-        return []
+        return None
     limit = rows_per_block(df, limit)
     sizes = df.groupBy(*keys).count() if keys else df.select(F.count("*").alias("count"))
     found = sizes.agg(F.max("count").alias("largest"), F.sum("count").alias("rows")).first()
     if not found["rows"] or found["largest"] <= limit:
-        return []
-    blocks = min(MAX_BLOCKS, -(-found["rows"] // limit))
-    share = min(1.0, SAMPLE_PER_BLOCK * blocks / found["rows"])
-    drawn = df.select(F.col(order).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+        return None
+    limit = max(limit, -(-found["rows"] // MAX_BLOCKS))
+    large, rows, measured = None, found["rows"], df
+    if keys:
+        # At most rows / limit <= MAX_BLOCKS keys can exceed the limit.
+        named = sizes.where(F.col("count") > limit).dropna(subset=list(keys)).collect()
+        if not named:
+            return None
+        rows = sum(r["count"] for r in named)
+        large = df.sparkSession.createDataFrame(
+            [tuple(r[k] for k in keys) for r in named], sizes.select(*keys).schema
+        )
+        measured = df.join(F.broadcast(large), list(keys), "left_semi")
+    count = -(-rows // limit)
+    share = min(1.0, SAMPLE_PER_BLOCK * count / rows)
+    drawn = measured.select(F.col(order).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     if share < 1.0:
         drawn = drawn.sample(fraction=share, seed=7)
     points = drawn.agg(
-        F.percentile_approx("v", [i / blocks for i in range(1, blocks)] or [0.5], 10 * blocks)
+        F.percentile_approx("v", [i / count for i in range(1, count)] or [0.5], 10 * count)
     ).first()[0]
-    return sorted(set(points or []))
+    return Cuts(tuple(sorted(set(points or []))), large)
 
 
-def with_block(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
-    """Add the block number of each row (NULL order values go to block -1)."""
-    if not cuts:
-        return df.withColumn(BLOCK, F.lit(0.0))
+def with_block(df: DataFrame, order: str, cuts: Cuts | None) -> DataFrame:
+    """Add the block number of each row; rows of small keys get `WHOLE`."""
+    if cuts is None:
+        return df.withColumn(BLOCK, F.lit(WHOLE))
     staged = df.withColumn("_at", F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))))
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *cuts.points, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_at", outputCol=BLOCK, handleInvalid="keep")
+    blocked = cut.transform(staged).drop("_at")
+    if cuts.large is None:
+        return blocked
+    marked = F.broadcast(cuts.large.withColumn("_large", F.lit(True)))
     return (
-        Bucketizer(splits=splits, inputCol="_at", outputCol=BLOCK, handleInvalid="keep")
-        .transform(staged)
-        .drop("_at")
+        blocked.join(marked, cuts.large.columns, "left")
+        .withColumn(BLOCK, F.when(F.col("_large"), F.col(BLOCK)).otherwise(F.lit(WHOLE)))
+        .drop("_large")
     )
 
 
@@ -74,7 +103,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     values: dict[str, tuple[str, Column]],
-    cuts: Sequence[float] = (),
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Add running values over `order` within `keys`.
 
@@ -108,7 +137,8 @@ def running(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     seeds = (
-        df.groupBy(*part)
+        df.where(F.col(BLOCK) != WHOLE)
+        .groupBy(*part)
         .agg(*closing)
         .select(
             *part,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,16 +164,68 @@ def marketable_trades(
     return non_overlapping(ready, [*keys, "scenario_id"], "decision_ns", "exit_target_ns", limit)
 
 
-def _walk(starts: np.ndarray, ends: np.ndarray, free: int) -> np.ndarray:
-    """Positions taken from `free` on; one binary search per taken interval."""
-    taken, at = [], int(np.searchsorted(starts, free, "left"))
-    while at < len(starts):
-        taken.append(at)
-        at = max(at + 1, int(np.searchsorted(starts, ends[at], "left")))
-    return np.asarray(taken, dtype=np.int64)
+NEVER = -(2**62)
 
 
-NEVER = -(2**62)
+def _first_come(keys: Sequence[str]):
+    """Streaming selection over batches sorted by key and start; state is the current key and end."""
+
+    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, free = None, NEVER
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            by = pdf[keys]
+            changed = (by != by.shift()).any(axis=1).to_numpy()
+            changed[0] = last is None or tuple(by.iloc[0]) != last
+            last = tuple(by.iloc[-1])
+            take = []
+            for new, entry, start, end in zip(changed, pdf["_free"], pdf["_s"], pdf["_e"]):
+                if new:
+                    free = entry
+                take.append(start >= free)
+                if start >= free:
+                    free = end
+            yield pdf.loc[np.asarray(take), [*(k for k in keys if k != BLOCK), "_s"]]
+
+    return select
+
+
+def _leaving(keys: Sequence[str], longest: int):
+    """Per cell: (_upto, _out), the end of the chain that enters with the first start up to `_upto`."""
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_s")
+        starts, ends = pdf["_s"].to_numpy(), pdf["_e"].to_numpy()
+        nxt = np.maximum(np.searchsorted(starts, ends, "left"), np.arange(len(starts)) + 1)
+        out = ends.copy()
+        for i in range(len(starts) - 1, -1, -1):
+            if nxt[i] < len(starts):
+                out[i] = out[nxt[i]]
+        # A chain from earlier blocks is free again within the longest hold of this block's border.
+        reach = int(np.searchsorted(starts, starts[0] + longest, "right")) + 1
+        s, o = starts[:reach], out[:reach]
+        closes_run = np.append(o[1:] != o[:-1], True)
+        rows = pd.DataFrame({"_upto": s[closes_run], "_out": o[closes_run]})
+        return rows.assign(**{k: pdf[k].iloc[0] for k in [*keys, BLOCK]})[[*keys, BLOCK, "_upto", "_out"]]
+
+    return leave
+
+
+def _chained(keys: Sequence[str]):
+    """Per key: the time from which each block may take its first row."""
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        free, entries = NEVER, []
+        for block, rows in pdf.sort_values([BLOCK, "_upto"]).groupby(BLOCK, sort=True):
+            entries.append((block, free))
+            at = int(np.searchsorted(rows["_upto"].to_numpy(), free, "left"))
+            if at < len(rows):
+                free = int(rows["_out"].iloc[at])
+        made = pd.DataFrame(entries, columns=[BLOCK, "_free"])
+        return made.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, BLOCK, "_free"]]
+
+    return chain
 
 
 def non_overlapping(
@@ -181,68 +233,41 @@ def non_overlapping(
 ) -> DataFrame:
     """Greedy first-come selection per key: take a row when its start is not before the last taken end.
 
-    `start` is unique per key. The choice is sequential, so a small key is walked in one task over two
-    columns. A large key is cut into blocks: each block tells, for every start a chain could enter it
-    with, when that chain would leave (equal leaving times merge into one row); those few rows are
-    chained per key; then every block is walked on its own from its now known entry.
+    `start` is unique per key. The choice is sequential per key, so sorted partitions are streamed once
+    over narrow columns with one end time as state. A large key is cut into blocks first: each block
+    tells, for every start a chain could enter it with, when that chain would leave it (equal leaving
+    times merge into one row); those few rows are chained per key; then every block is streamed on its
+    own from its now known entry. Only starts within one hold of a block's border are kept for chaining.
     """
     keys = list(keys)
     narrow = df.select(*keys, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
     cuts = blocks.cut_points(narrow, keys, "_s", limit)
-    key_types = [f for f in narrow.schema.fields if f.name in keys]
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_types)
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_s")
-        free = int(pdf["_free"].iloc[0]) if "_free" in pdf else NEVER
-        return pdf.iloc[_walk(pdf["_s"].to_numpy(), pdf["_e"].to_numpy(), free)][[*keys, "_s"]]
-
-    if not cuts:
-        taken = narrow.groupBy(*keys).applyInPandas(mark, f"{key_ddl}, _s bigint")
+    celled = blocks.with_block(narrow, "_s", cuts)
+    ddl = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
+    never = F.lit(NEVER).cast("bigint")
+    if cuts is None:
+        entered = celled.withColumn("_free", never)
     else:
         longest = narrow.agg(F.max(F.col("_e") - F.col("_s"))).first()[0]
-        celled = blocks.with_block(narrow, "_s", cuts)
-
-        def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_s")
-            starts, ends = pdf["_s"].to_numpy(), pdf["_e"].to_numpy()
-            nxt = np.maximum(np.searchsorted(starts, ends, "left"), np.arange(len(starts)) + 1)
-            out = ends.copy()
-            for i in range(len(starts) - 1, -1, -1):
-                if nxt[i] < len(starts):
-                    out[i] = out[nxt[i]]
-            # A chain from earlier blocks is free again within the longest hold of this block's border.
-            reach = int(np.searchsorted(starts, starts[0] + longest, "right")) + 1
-            s, o = starts[:reach], out[:reach]
-            last_of_run = np.append(o[1:] != o[:-1], True)
-            rows = pd.DataFrame({"_upto": s[last_of_run], "_out": o[last_of_run]})
-            for k in [*keys, BLOCK]:
-                rows[k] = pdf[k].iloc[0]
-            return rows[[*keys, BLOCK, "_upto", "_out"]]
-
-        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-            free, entries = NEVER, []
-            for block, rows in pdf.sort_values([BLOCK, "_upto"]).groupby(BLOCK, sort=True):
-                entries.append((block, free))
-                at = int(np.searchsorted(rows["_upto"].to_numpy(), free, "left"))
-                if at < len(rows):
-                    free = int(rows["_out"].iloc[at])
-            rows = pd.DataFrame(entries, columns=[BLOCK, "_free"])
-            for k in keys:
-                rows[k] = pdf[k].iloc[0]
-            return rows[[*keys, BLOCK, "_free"]]
-
-        steps = celled.groupBy(*keys, BLOCK).applyInPandas(
-            leave, f"{key_ddl}, {BLOCK} double, _upto bigint, _out bigint"
-        )
-        entries = steps.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, {BLOCK} double, _free bigint")
-        taken = (
-            celled.join(entries, [*keys, BLOCK])
+        steps = (
+            celled.where(F.col(BLOCK) != blocks.WHOLE)
             .groupBy(*keys, BLOCK)
-            .applyInPandas(mark, f"{key_ddl}, _s bigint")
+            .applyInPandas(_leaving(keys, longest), f"{ddl}, {BLOCK} double, _upto bigint, _out bigint")
         )
-    chosen = taken.withColumnRenamed("_s", start)
-    return df.join(chosen, [*keys, start], "left_semi")
+        entries = steps.groupBy(*keys).applyInPandas(
+            _chained(keys), f"{ddl}, {BLOCK} double, _free bigint"
+        )
+        entered = celled.join(entries, [*keys, BLOCK], "left").withColumn(
+            "_free", F.coalesce("_free", never)
+        )
+    part = [*keys, BLOCK] if cuts else keys
+    taken = (
+        entered.select(*part, "_s", "_e", "_free")
+        .repartition(*part)
+        .sortWithinPartitions(*part, "_s")
+        .mapInPandas(_first_come(part), f"{ddl}, _s bigint")
+    )
+    return df.join(taken.withColumnRenamed("_s", start), [*keys, start], "left_semi")
 
 
 def trade_summary(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
