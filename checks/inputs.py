@@ -165,7 +165,7 @@ def auction_panel(spark: SparkSession, sf: str) -> DataFrame:
         "cast(q + n AS double) AS bid_size",
         "cast(c AS double) / (q * 100) + 1 + t AS ask_price",
         "cast(q + d + 1 AS double) AS ask_size",
-        "cast(c AS double) / (q * 100) + (cast(t AS double) - d) / 2 AS wap",
+        "cast(c AS double) / (q * 100) + (cast(t AS double) - d) / 4 AS wap",
         "CASE WHEN (stock_id + d) % 17 = 0 THEN NULL ELSE cast(d AS double) - t + net / 10D END AS target",
         "cast(date_id * 60 + seconds_in_bucket div 10 AS bigint) AS time_id",
         "concat_ws('_', date_id, seconds_in_bucket, stock_id) AS row_id",
@@ -192,7 +192,7 @@ panel AS (
     CASE WHEN seconds_in_bucket >= 200 THEN CAST(c AS DOUBLE) / (q * 100) - t END AS near_price,
     CAST(c AS DOUBLE) / (q * 100) - 1 - d AS bid_price, CAST(q + n AS DOUBLE) AS bid_size,
     CAST(c AS DOUBLE) / (q * 100) + 1 + t AS ask_price, CAST(q + d + 1 AS DOUBLE) AS ask_size,
-    CAST(c AS DOUBLE) / (q * 100) + (CAST(t AS DOUBLE) - d) / 2 AS wap,
+    CAST(c AS DOUBLE) / (q * 100) + (CAST(t AS DOUBLE) - d) / 4 AS wap,
     CASE WHEN (stock_id + d) % 17 = 0 THEN NULL ELSE CAST(d AS DOUBLE) - t + net / 10e0 END AS target,
     date_id * 60 + seconds_in_bucket // 10 AS time_id,
     date_id || '_' || seconds_in_bucket || '_' || stock_id AS row_id

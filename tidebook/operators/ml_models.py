@@ -1,0 +1,114 @@
+"""Iterative models, as Spark ML estimators over the same inputs as the closed-form ones."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml import Model, Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidebook.functions.scalars import normalise
+from tidebook.operators.classify import CLASSES, class_weights
+
+TINY = 1e-8
+
+
+def scaling(train: DataFrame, features: str = "features") -> tuple[list[float], list[float]]:
+    """Mean and population deviation of an array column, tiny deviations replaced by 1."""
+    row = train.select(array_to_vector(F.col(features)).alias("v")).select(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")
+    ).select("s.*").first()
+    n = row["count"]
+    scale = [(v * (n - 1) / n) ** 0.5 for v in row["variance"]]
+    return [float(m) for m in row["mean"]], [s if s >= TINY else 1.0 for s in scale]
+
+
+def scaled(df: DataFrame, mean: Sequence[float], scale: Sequence[float], features: str = "features") -> DataFrame:
+    """Add `vector` = (features - mean) / scale."""
+    literal = lambda values: F.array(*[F.lit(v) for v in values])
+    centred = F.zip_with(features, literal(mean), lambda x, m: x.cast("double") - m)
+    return df.withColumn(
+        "vector", array_to_vector(F.zip_with(centred, literal(scale), lambda x, s: x / s))
+    )
+
+
+def weighted_training(train: DataFrame, label: str = "label") -> DataFrame:
+    """Zero-based `target` and balanced `weight` from these training rows only."""
+    balance = class_weights(train, [], label).select(label, "weight")
+    # At most three rows are broadcast.
+    return train.join(F.broadcast(balance), label).withColumn("target", (F.col(label) - 1).cast("double"))
+
+
+def softmax_classifier(l2: float = 1e-3, iterations: int = 50) -> LogisticRegression:
+    """Class-balanced multinomial regression on scaled features, run to convergence."""
+    return LogisticRegression(
+        featuresCol="vector", labelCol="target", weightCol="weight", family="multinomial",
+        regParam=l2, standardization=False, maxIter=iterations,
+    )
+
+
+def one_vs_rest_linear(l2: float, iterations: int = 50) -> OneVsRest:
+    """One-vs-rest log-loss regression; scores become normalised sigmoids."""
+    base = LogisticRegression(regParam=l2, standardization=False, maxIter=iterations)
+    return OneVsRest(classifier=base, featuresCol="vector", labelCol="target", weightCol="weight")
+
+
+def one_vs_rest_trees(step: float, rounds: int, depth: int, seed: int = 0) -> OneVsRest:
+    """Boosted trees per class; depth stands in for a leaf count."""
+    base = GBTClassifier(stepSize=step, maxIter=rounds, maxDepth=depth, seed=seed)
+    return OneVsRest(classifier=base, featuresCol="vector", labelCol="target", weightCol="weight")
+
+
+def class_probabilities(model: Model, rows: DataFrame) -> DataFrame:
+    """Add `probabilities` at classes 1..3 from any of the classifiers above.
+
+    Classes absent from training keep probability 0.
+    """
+    if not hasattr(model, "models"):
+        scored = model.transform(rows).withColumn("_p", vector_to_array("probability"))
+        slots = [F.col("_p")[c - 1] if c <= model.numClasses else F.lit(0.0) for c in CLASSES]
+        dropped = ("_p", "probability", "rawPrediction", "prediction")
+    else:
+        scored, names = rows, []
+        for i, binary in enumerate(model.models):
+            binary = binary.copy()
+            binary.setFeaturesCol("vector").setPredictionCol(f"_c{i}")
+            binary.setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_b{i}")
+            scored = binary.transform(scored)
+            names.append(f"_b{i}")
+        slots = [vector_to_array(n)[1] for n in names]
+        slots += [F.lit(0.0)] * (len(CLASSES) - len(slots))
+        dropped = tuple(f"_{k}{i}" for k in "crb" for i in range(len(names)))
+    return scored.withColumn("probabilities", normalise(F.array(*slots))).drop(*dropped)
+
+
+def boosted_regression(
+    features: Sequence[str], target: str, loss: str, step: float, rounds: int, depth: int,
+    stock: str | None = "stock_id", ordinal: bool = True, seed: int = 0,
+) -> Pipeline:
+    """Boosted-tree regression with squared or absolute loss; the stock is a category.
+
+    Ordinal coding keeps one column for any number of stocks; unknown stocks get their own code.
+    """
+    stages, inputs = [], list(features)
+    if stock:
+        stages.append(StringIndexer(inputCol=stock, outputCol="_stock", handleInvalid="keep"))
+        if ordinal:
+            inputs.append("_stock")
+        else:
+            stages.append(OneHotEncoder(inputCol="_stock", outputCol="_stock_v", dropLast=True))
+            inputs.append("_stock_v")
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="vector", handleInvalid="keep"))
+    stages.append(
+        GBTRegressor(
+            featuresCol="vector", labelCol=target, lossType=loss, stepSize=step, maxIter=rounds,
+            maxDepth=depth, seed=seed, predictionCol="prediction",
+        )
+    )
+    return Pipeline(stages=stages)
