@@ -14,6 +14,7 @@ the plain window. Rows whose key is NULL are never cut; keys are identifiers her
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -54,17 +55,17 @@ def cut_points(
         return None
     limit = rows_per_block(df, limit)
     sizes = df.groupBy(*keys).count() if keys else df.select(F.count("*").alias("count"))
-    found = sizes.agg(F.max("count").alias("largest"), F.sum("count").alias("rows")).first()
-    if not found["rows"] or found["largest"] <= limit:
+    # At most rows / limit keys can exceed the limit, so the list is short.
+    found = sizes.agg(
+        F.sum("count").alias("rows"),
+        F.collect_list(F.when(F.col("count") > limit, F.struct("*"))).alias("large"),
+    ).first()
+    limit = max(limit, -(-(found["rows"] or 0) // MAX_BLOCKS))
+    named = [r for r in found["large"] if r["count"] > limit and all(r[k] is not None for k in keys)]
+    if not named:
         return None
-    limit = max(limit, -(-found["rows"] // MAX_BLOCKS))
-    large, rows, measured = None, found["rows"], df
+    large, rows, measured = None, sum(r["count"] for r in named), df
     if keys:
-        # At most rows / limit <= MAX_BLOCKS keys can exceed the limit.
-        named = sizes.where(F.col("count") > limit).dropna(subset=list(keys)).collect()
-        if not named:
-            return None
-        rows = sum(r["count"] for r in named)
         large = df.sparkSession.createDataFrame(
             [tuple(r[k] for k in keys) for r in named], sizes.select(*keys).schema
         )
@@ -80,6 +81,20 @@ def cut_points(
     return Cuts(tuple(sorted(set(points or []))), large)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the checkpoint folder, for tables that several jobs would redo.
+
+    The folder is the one the cluster names; only a local session without one gets its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
+
+
 def with_block(df: DataFrame, order: str, cuts: Cuts | None) -> DataFrame:
     """Add the block number of each row; rows of small keys get `WHOLE`."""
     if cuts is None:

@@ -19,8 +19,13 @@ from tidebook.operators.blocks import BLOCK, BOUNDED
 def value_counts(
     df: DataFrame, keys: Sequence[str], value: str, limit: int | None = None
 ) -> DataFrame:
-    """One row per distinct value: `n` copies, `below` smaller rows, `total` rows of the group."""
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    """One row per distinct value: `n` copies, `below` smaller rows, `total` rows of the group.
+
+    Meant for large groups: the distinct values are written once, then sized, sampled and ranked.
+    """
+    distinct = blocks.settled(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    )
     cuts = blocks.cut_points(distinct, keys, value, limit)
     ranked = blocks.running(
         blocks.with_block(distinct, value, cuts),
