@@ -62,7 +62,7 @@ def even_sample(
     at = F.col("_p") - 1
     step = (F.col("_n") - 1).cast("double") / F.lit(max(rows - 1, 1))
     guess = F.ceil(at / step)
-    hit = lambda k: (k >= 0) & (k < rows) & (F.floor(k * step) == at)
+    hit = lambda k: (k >= 0) & (k < rows - 1) & (F.floor(k * step) == at)
     picked = hit(guess - 1) | hit(guess) | hit(guess + 1) | (at == F.col("_n") - 1)
     keep = F.when(F.col("_n") <= rows, True).otherwise(at == 0 if rows == 1 else picked)
     return sized.where(keep).drop("_p", "_n")

@@ -51,9 +51,12 @@ def compact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def catalog(df: DataFrame, keys: Sequence[str], target: str | None = None) -> DataFrame:
     """Rows and an order-free content fingerprint per partition, with usable targets if named.
 
-    The fingerprint is the XOR of row hashes (of every column by name) next to the row count.
+    The fingerprint is the XOR of row hashes (of every column by name) next to the row count. Whole
+    numbers hash as BIGINT, so a partition column read back with a narrower type changes nothing.
     """
-    body = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    whole = {"tinyint", "smallint", "int"}
+    plain = lambda c, kind: F.col(c).cast("bigint" if kind in whole else "double" if kind == "float" else kind)
+    body = F.xxhash64(*[plain(c, kind) for c, kind in sorted(df.dtypes)])
     extra = [F.count(target).alias("target_rows")] if target else []
     return df.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.bit_xor(body).alias("fingerprint"), *extra
