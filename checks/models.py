@@ -128,11 +128,7 @@ def panel_ridge_cv(spark, sf):
 
 @query("panel_frozen_refit")
 def panel_frozen_refit(spark, sf):
-    data = rows(spark, sf)
-    train, development, held = data.where("date_id <= 3"), data.where("date_id <= 4"), data.where("date_id > 4")
-    prep = panel_models.fit_preprocessing(train, PANEL_FEATURES)
-    model = panel_models.fit_panel_ridge(development, "target", 1.0, prep)
-    return emit(stats.predictive_metrics(model.predict(held), ["date_id"], "target", "prediction"))
+    return emit(panel_study.frozen_refit(rows(spark, sf), "date_id", PANEL_FEATURES, "target", 1.0, 3, 4))
 
 
 @query("family_ablation")

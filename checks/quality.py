@@ -119,7 +119,7 @@ def profile(spark, sf):
     dated = sessions.with_bounds(
         events.withColumn(
             "session_date",
-            F.to_date(F.from_utc_timestamp(F.timestamp_micros((F.col("ts_ns") / 1000).cast("bigint")), SESSION.zone)),
+            sessions.local_date("ts_ns", SESSION.zone),
         ),
         SESSION,
     ).withColumn("inside", F.expr("ts_ns >= start_ns AND ts_ns < end_ns"))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.scalars import NANOS_PER_MS, dot, ratio_or_zero, weights
+from tidebook.functions.scalars import NANOS_PER_MS, ratio_or_zero
 from tidebook.operators.asof import probe_states
 from tidebook.operators.sessions import decision_grid
 from tidebook.params import BookParams, SessionParams
@@ -20,6 +21,12 @@ from tidebook.params import BookParams, SessionParams
 BOOK_ARRAYS = ("bid_px", "bid_sz", "ask_px", "ask_sz")
 
 
+def weighted(sizes: str, factors: Sequence[float]) -> Column:
+    """Weighted sum of the first levels, written out so that it stays in generated code."""
+    terms = [F.element_at(sizes, i + 1) * f for i, f in enumerate(factors)]
+    return reduce(lambda a, b: a + b, terms)
+
+
 def state_features(params: BookParams) -> dict[str, Column]:
     """Features of a single book: midpoint, spread, imbalances, microprice, depth."""
     bid, ask = F.element_at("bid_px", 1), F.element_at("ask_px", 1)
@@ -35,9 +42,8 @@ def state_features(params: BookParams) -> dict[str, Column]:
         "log_top_depth": F.log1p(depth),
     }
     for levels in params.depth_levels:
-        decay = weights(math.exp(-params.depth_decay * i) for i in range(levels))
-        bids = dot(F.slice("bid_sz", 1, levels), decay)
-        asks = dot(F.slice("ask_sz", 1, levels), decay)
+        decay = [math.exp(-params.depth_decay * i) for i in range(levels)]
+        bids, asks = weighted("bid_sz", decay), weighted("ask_sz", decay)
         out[f"depth_imbalance_l{levels}"] = ratio_or_zero(bids - asks, bids + asks)
     return out
 

@@ -160,7 +160,8 @@ def marketable_trades(
 ) -> DataFrame:
     """Trades actually taken: per key and scenario, no decision before the previous exit."""
     limit = terms.get("limit")
-    ready = candidate_trades(events, signals, keys, scenarios, **terms)
+    # Read for sizes, for the selection and for the rows themselves.
+    ready = blocks.settled(candidate_trades(events, signals, keys, scenarios, **terms))
     return non_overlapping(ready, [*keys, "scenario_id"], "decision_ns", "exit_target_ns", limit)
 
 

@@ -60,10 +60,13 @@ def average_rank(
         part = keys or [F.lit(0)]
 
         def rank(value: str) -> Column:
-            by_value = Window.partitionBy(*part).orderBy(F.col(value).asc_nulls_last())
+            # NULLs sort first and are subtracted, so that rank and peer count share one sort.
+            by_value = Window.partitionBy(*part).orderBy(value)
             peers = Window.partitionBy(*part, value)
-            filled = F.count(value).over(Window.partitionBy(*part))
-            mean = F.rank().over(by_value) + (F.count("*").over(peers) - 1) / 2
+            group = Window.partitionBy(*part)
+            filled = F.count(value).over(group)
+            first = F.rank().over(by_value) - (F.count("*").over(group) - filled)
+            mean = first + (F.count("*").over(peers) - 1) / 2
             scaled = mean / filled if percent else mean.cast("double")
             return F.when(F.col(value).isNotNull(), scaled)
 

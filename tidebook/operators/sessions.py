@@ -17,6 +17,11 @@ def bound_ns(session_date: Column, clock: str, zone: str) -> Column:
     return F.unix_micros(F.to_utc_timestamp(local, zone)) * 1000
 
 
+def local_date(time: str, zone: str) -> Column:
+    """Local calendar date of an integer nanosecond column."""
+    return F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.expr(f"`{time}` div 1000")), zone))
+
+
 def with_bounds(df: DataFrame, session: SessionParams, date: str = "session_date") -> DataFrame:
     return df.withColumns(
         {
@@ -31,17 +36,14 @@ def in_session(events: DataFrame, session: SessionParams, time: str = "ts_ns") -
 
     The session follows from the row's own timestamp, so no calendar join is needed.
     """
-    instant = F.timestamp_micros(F.floor(F.col(time) / 1000).cast("bigint"))
-    dated = events.withColumn(
-        "session_date", F.to_date(F.from_utc_timestamp(instant, session.zone))
-    )
+    dated = events.withColumn("session_date", local_date(time, session.zone))
     bounded = with_bounds(dated, session)
     return bounded.where((F.col(time) >= F.col("start_ns")) & (F.col(time) < F.col("end_ns")))
 
 
 def calendar(span: DataFrame, session: SessionParams) -> DataFrame:
     """Weekday sessions lying wholly within each row's [first_ns, last_ns]."""
-    day = lambda c: F.to_date(F.from_utc_timestamp(F.timestamp_micros((F.col(c) / 1000).cast("bigint")), session.zone))
+    day = lambda c: local_date(c, session.zone)
     days = span.select(
         "first_ns",
         "last_ns",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.operators import book, closed_form, folds, quality, sessions, stats
+from tidebook.functions.scalars import dot
+from tidebook.operators import blocks, book, closed_form, folds as chronological, quality, sessions, stats
 from tidebook.params import BookParams, SessionParams, SplitRange
 
 
@@ -38,7 +38,7 @@ def decision_table(
 def _fold_lists(table: DataFrame, date: str, skip: int, count: int) -> dict[int, dict[str, list[str]]]:
     """Dates of each fold and role; there is one row per fold and date."""
     out: dict[int, dict[str, list[str]]] = {}
-    for row in folds.expanding_folds(table, date, skip, count).collect():
+    for row in chronological.expanding_folds(table, date, skip, count).collect():
         out.setdefault(row["fold"], {"train": [], "validation": []})[row["role"]].append(str(row[date]))
     return out
 
@@ -58,30 +58,31 @@ def ridge_cross_validation(
     those, solved on the driver. A second pass scores all models on each validation row at once.
     """
     features, targets = list(features), list(targets)
-    clean = table.dropna(subset=[*features, *targets])
+    narrow = table.select(F.col(date).cast("string").alias(date), *features, *targets)
+    clean = blocks.settled(narrow.dropna())
     grams = closed_form.gram_by_group(clean, [date], [*features, *targets])
     plan = _fold_lists(clean, date, skip, folds)
-    models = []
+    spark, models = table.sparkSession, []
     for fold, roles in sorted(plan.items()):
         gram = sum(grams[(d,)] for d in roles["train"] if (d,) in grams)
         for t, target in enumerate(targets):
             for alpha in alphas:
                 beta, bias = closed_form.ridge_from_gram(gram, range(len(features)), len(features) + t, alpha)
-                models.append((fold, target, alpha, beta, bias))
-    scored = None
-    for fold, roles in sorted(plan.items()):
-        inside = clean.where(F.col(date).cast("string").isin(roles["validation"]))
-        cases = [
-            F.struct(
-                F.lit(fold).alias("fold"), F.lit(target).alias("target"), F.lit(float(alpha)).alias("alpha"),
-                F.col(target).alias("actual"),
-                closed_form.linear_score(features, beta, bias).alias("prediction"),
-            )
-            for f, target, alpha, beta, bias in models
-            if f == fold
-        ]
-        part = inside.select(F.explode(F.array(*cases)).alias("_c")).select("_c.*")
-        scored = part if scored is None else scored.unionByName(part)
+                models.append((fold, target, float(alpha), [float(b) for b in beta], bias))
+    # Each date validates one fold; both tables have a row per date or per model and are broadcast.
+    member = spark.createDataFrame(
+        [(d, fold) for fold, roles in plan.items() for d in roles["validation"]], f"`{date}` string, fold int"
+    )
+    fitted = spark.createDataFrame(models, "fold int, target string, alpha double, beta array<double>, bias double")
+    actual = F.coalesce(*[F.when(F.col("target") == t, F.col(t)) for t in targets])
+    scored = (
+        clean.join(F.broadcast(member), date)
+        .join(F.broadcast(fitted), "fold")
+        .select(
+            "fold", "target", "alpha", actual.alias("actual"),
+            (dot(F.array(*features), F.col("beta")) + F.col("bias")).alias("prediction"),
+        )
+    )
     return stats.regression_metrics(scored, ["fold", "target", "alpha"], "actual", "prediction")
 
 
@@ -106,7 +107,7 @@ def split_scores(
     Everything is fitted on the train split; models become long form so one aggregate scores them all.
     """
     features = list(features)
-    clean = table.dropna(subset=[*features, target])
+    clean = blocks.settled(table.select("split", *features, target).dropna(subset=[*features, target]))
     train = clean.where("split = 'train'")
     gram = closed_form.gram_by_group(train, [], [*features, target])[()]
     beta, bias = closed_form.ridge_from_gram(gram, range(len(features)), len(features), alpha)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.operators import folds as chronological
-from tidebook.operators import panel_models, stats
+from tidebook.operators import blocks, panel_models, stats
 from tidebook.operators.panel import feature_families
 
 
@@ -27,6 +27,7 @@ def ridge_cross_validation(
     panel: DataFrame, date: str, features: Sequence[str], target: str, alphas: Sequence[float], skip: int, folds: int
 ) -> DataFrame:
     """Predictive metrics per (fold, alpha); preprocessing and model see only the fold's train dates."""
+    panel = blocks.settled(panel.select("stock_id", date, target, *features))
     plan: dict[int, dict[str, list]] = {}
     for row in chronological.expanding_folds(panel, date, skip, folds).collect():  # folds x dates
         plan.setdefault(row["fold"], {"train": [], "validation": []})[row["role"]].append(row[date])
@@ -55,6 +56,8 @@ def family_ablation(
     train: DataFrame, validation: DataFrame, features: Sequence[str], target: str, alpha: float
 ) -> DataFrame:
     """Metrics of ridge on all features and with each feature family left out."""
+    columns = ["stock_id", target, *features]
+    train, validation = blocks.settled(train.select(*columns)), blocks.settled(validation.select(*columns))
     prep = panel_models.fit_preprocessing(train, features)
     cases = {"all": list(features)}
     for family, names in feature_families(features).items():
@@ -68,3 +71,14 @@ def family_ablation(
         parts.append(scored.select(F.lit(name).alias("features"), target, "prediction"))
     everything = reduce(lambda a, b: a.unionByName(b), parts)
     return stats.predictive_metrics(everything, ["features"], target, "prediction")
+
+
+def frozen_refit(
+    panel: DataFrame, date: str, features: Sequence[str], target: str, alpha: float, train_last: int, development_last: int
+) -> DataFrame:
+    """Per-date metrics on later dates: preprocessing from train, coefficients from train + validation."""
+    rows = blocks.settled(panel.select("stock_id", date, target, *features))
+    prep = panel_models.fit_preprocessing(rows.where(F.col(date) <= train_last), features)
+    model = panel_models.fit_panel_ridge(rows.where(F.col(date) <= development_last), target, alpha, prep)
+    held = rows.where(F.col(date) > development_last)
+    return stats.predictive_metrics(model.predict(held), [date], target, "prediction")
