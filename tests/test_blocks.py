@@ -104,3 +104,13 @@ def test_even_sample_matches_linspace(spark, rows):
             else np.unique(np.linspace(0, len(part) - 1, rows, dtype=int))
         )
         assert sorted(got.loc[got["k"] == k, "t"]) == list(part["t"].iloc[list(index)])
+
+
+def test_bracketed_quantiles_are_exact_and_keep_few_rows(spark):
+    df = spark.range(120_000).selectExpr("id % 2 AS k", "xxhash64(id) / 1e15D + pow(id % 97, 3) AS v")
+    probs = [0.01, 0.1, 0.5, 0.503, 0.99]
+    assert order_stats._bracketed_quantiles(df, ["k"], "v", probs, "q", 20_000) is not None
+    got = {r["k"]: r["q"] for r in order_stats.quantiles(df, ["k"], "v", probs, limit=20_000).collect()}
+    local = df.toPandas()
+    for k in (0, 1):
+        np.testing.assert_allclose(got[k], np.quantile(local.loc[local["k"] == k, "v"], probs), rtol=1e-12)

@@ -117,11 +117,63 @@ def quantiles(
     if not is_hot(clean, keys, limit):
         wanted = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
         return (clean.groupBy(*keys) if keys else clean).agg(wanted.alias(name))
+    found = _bracketed_quantiles(clean, keys, value, probabilities, name, limit)
+    if found is not None:
+        return found
     return quantiles_from_counts(
         value_counts(df, keys, value, limit), keys, value, probabilities, name
     )
 
 
+SKETCH = 10_000  # rank error of the sketch is at most rows / SKETCH
+MARGIN = 3 / SKETCH
+
+
+def _bracketed_quantiles(
+    clean: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], name: str, limit: int | None
+) -> DataFrame | None:
+    """Exact quantiles without shuffling all values, or None if a bracket missed its position.
+
+    A mergeable sketch gives, per group and probability, two values that enclose the wanted position.
+    A second scan keeps the values inside brackets and only counts the rest: every stretch between
+    brackets collapses to one row before the shuffle. Positions are then read off exact running counts.
+    """
+    points = sorted(set(probabilities))
+    lows = [max(0.0, p - MARGIN) for p in points]
+    highs = [min(1.0, p + MARGIN) for p in points]
+    sketch = F.percentile_approx(value, [*lows, *highs], SKETCH)
+    bounds = (clean.groupBy(*keys) if keys else clean).agg(sketch.alias("_b"))
+    at = lambda i: F.element_at("_b", i + 1)
+    v, count = F.col(value), len(points)
+    paired = (
+        clean.select(*keys, value).join(bounds, list(keys))
+        if keys
+        else clean.select(value).crossJoin(F.broadcast(bounds))  # one row
+    )
+    inside, cell = F.lit(False), F.lit(0)
+    for i in range(count):
+        inside = inside | ((v >= at(i)) & (v <= at(count + i)))
+        cell = cell + (v >= at(i)).cast("int")
+    kept = paired.select(*keys, value, cell.alias("_cell"), F.when(inside, v).alias("_v"))
+    # Rows outside brackets have no _v; their least value keeps them in order.
+    table = blocks.settled(
+        kept.groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("n"), F.min(value).alias("_at"))
+    )
+    cuts = blocks.cut_points(table, keys, "_at", limit)
+    ranked = blocks.running(
+        blocks.with_block(table, "_at", cuts), keys, ["_at"], {"upto": ("sum", F.col("n"))}, cuts
+    )
+    totals = (table.groupBy(*keys) if keys else table).agg(F.sum("n").alias("total"))
+    sized = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
+    counts = sized.where("_v IS NOT NULL").select(
+        *keys, F.col("_v").alias(value), "n", (F.col("upto") - F.col("n")).alias("below"), "total"
+    )
+    found = blocks.settled(quantiles_from_counts(counts, keys, value, probabilities, name))
+    groups = totals.count()
+    whole = (F.size(name) == len(probabilities)) & ~F.exists(name, lambda q: q.isNull())
+    return found if found.where(whole).count() == groups else None
+
+
 def quantiles_from_counts(
     counts: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], name: str = "q"
 ) -> DataFrame:
