@@ -99,10 +99,10 @@ def with_block(df: DataFrame, order: str, cuts: Cuts | None) -> DataFrame:
     """Add the block number of each row; rows of small keys get `WHOLE`."""
     if cuts is None:
         return df.withColumn(BLOCK, F.lit(WHOLE))
-    staged = df.withColumn("_at", F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))))
+    staged = df.withColumn("_order_value", F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))))
     splits = [float("-inf"), *cuts.points, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_at", outputCol=BLOCK, handleInvalid="keep")
-    blocked = cut.transform(staged).drop("_at")
+    cut = Bucketizer(splits=splits, inputCol="_order_value", outputCol=BLOCK, handleInvalid="keep")
+    blocked = cut.transform(staged).drop("_order_value")
     if cuts.large is None:
         return blocked
     marked = F.broadcast(cuts.large.withColumn("_large", F.lit(True)))
