@@ -64,6 +64,29 @@ def baseline_metrics(spark, sf):
     return emit(stats.regression_metrics(scored, ["date_id", "model"], "target", "prediction"))
 
 
+SUMMARY_SQL = ORIGIN_SQL + """, summary AS (SELECT model AS spec_id, sum(rows) AS rows, avg(mae) AS mae, avg(rmse) AS rmse, avg(directional_accuracy) AS directional_accuracy FROM result GROUP BY 1),
+pick AS (SELECT * FROM summary ORDER BY mae, spec_id LIMIT 1)"""
+SUMMARY_COLS = "spec_id:s rows:i mae:d rmse:d directional_accuracy:d"
+
+
+def validation_summary_rows(spark, sf):
+    data = rows(spark, sf)
+    slope = closed_form.slope_through_origin(data.where("date_id <= 3"), [], "auction_imbalance_ratio", "target")
+    later = stats.labeled_rows(data.where("date_id > 3")).crossJoin(F.broadcast(slope))  # one row
+    daily = stats.regression_metrics(panel_study.baseline_predictions(later), ["date_id", "model"], "target", "prediction")
+    return panel_study.validation_summary(daily, "model")
+
+
+@query("validation_summary", sql(SUMMARY_SQL, SUMMARY_COLS, "summary"))
+def validation_summary(spark, sf):
+    return emit(validation_summary_rows(spark, sf))
+
+
+@query("candidate_pick", sql(SUMMARY_SQL, SUMMARY_COLS, "pick"))
+def candidate_pick(spark, sf):
+    return emit(panel_study.pick_candidate(validation_summary_rows(spark, sf)))
+
+
 # --- Book ridge over expanding folds, every fold and penalty from one pass -------------------------
 
 ALPHAS = (0.1, 10.0)

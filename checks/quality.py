@@ -296,3 +296,38 @@ result AS (SELECT block, count(*) AS observations, count_if(len(features) <> 64)
 )
 def snapshot_checks(spark, sf):
     return emit(panel_quality.snapshot_checks(snapshots(spark, sf), ["block"], width=64))
+
+
+# --- Canonical events from text --------------------------------------------------------------------
+
+def raw_text(spark, sf):
+    """Book events as a CSV reader would deliver them: text columns, some cells unreadable."""
+    ladders = [
+        f"CASE WHEN '{n}_{i:02d}' = 'bid_px_00' AND event_type = 'error' THEN 'n/a' ELSE cast({src}[{i}] AS string) END AS {n}_{i:02d}"
+        for n, src in (("bid_px", "bid_px"), ("ask_px", "ask_px"), ("bid_sz", "bid_sz"), ("ask_sz", "ask_sz"), ("bid_ct", "bid_sz"), ("ask_ct", "ask_sz"))
+        for i in range(quality.DEPTH)
+    ]
+    stamp = "date_format(timestamp_micros({0} div 1000), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") || '789Z' AS {1}"
+    return book_events(spark, sf).selectExpr(
+        "symbol", stamp.format("ts_ns", "ts_recv"), stamp.format("ts_event_ns", "ts_event"), "action", "side",
+        "cast(sequence AS string) AS sequence", "cast(bid_px[0] AS string) AS price", "cast(size AS string) AS size", *ladders,
+    )
+
+
+@query(
+    "canonical_events",
+    sql(
+        BOOK_SQL + """, result AS (SELECT symbol, ts_ns + 789 AS ts_ns, ts_event_ns + 789 AS ts_event_ns, sequence, size::DOUBLE AS size, bid_px[1] AS price,
+    CASE WHEN event_type <> 'error' THEN bid_px[1] END AS best_bid, ask_px[10] AS far_ask, list_sum(ask_sz) AS ask_total FROM book)""",
+        "symbol:i ts_ns:i ts_event_ns:i sequence:i size:d price:d best_bid:d far_ask:d ask_total:d",
+    ),
+)
+def canonical_events(spark, sf):
+    rows = quality.canonical_events(raw_text(spark, sf))
+    total = F.aggregate("ask_sz", F.lit(0.0), lambda a, b: a + b)
+    return emit(
+        rows.select(
+            "symbol", "ts_ns", "ts_event_ns", "sequence", "size", "price", F.col("bid_px")[0].alias("best_bid"),
+            F.col("ask_px")[9].alias("far_ask"), total.alias("ask_total"),
+        )
+    )

@@ -46,6 +46,16 @@ def ridge_cross_validation(
     return stats.predictive_metrics(everything, ["fold", "alpha"], target, "prediction")
 
 
+def validation_summary(daily: DataFrame, model: str) -> DataFrame:
+    """Mean of per-date metrics for each candidate."""
+    return daily.groupBy(F.col(model).alias("spec_id")).agg(
+        F.sum("rows").alias("rows"),
+        F.avg("mae").alias("mae"),
+        F.avg("rmse").alias("rmse"),
+        F.avg("directional_accuracy").alias("directional_accuracy"),
+    )
+
+
 def pick_candidate(scores: DataFrame, error: str = "mae", spec: str = "spec_id") -> DataFrame:
     """The candidate with the lowest error, then the lowest id."""
     order = Window.partitionBy(F.lit(0)).orderBy(error, spec)  # one row per candidate
