@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import book as book_checks
-from checks.inputs import AUCTION, SNAP_SQL, auction_panel, snapshots
+from checks.inputs import AUCTION, auction_panel, snapshots
 from checks.panel import ROW_SQL
 from checks.shape import emit, sql
 from checks.snapshot import FOLDS, members, test_rows
-from checks.stats import FOLDS_SQL, date_folds
 from tidebook.operators import classify, closed_form, ml_models, panel, panel_models, stats
 from tidebook.plans import book_study, panel_study
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from checks import book as book_checks
 from checks.inputs import BOOK_KEYS, BOOK_SQL, SESSION, book_events, in_session_events, micros, table, auction_panel, AUCTION
-from checks.panel import ROW_SQL
 from checks.shape import emit, sql
 from checks.stats import PREDICTION, SCORED_SQL, bootstrap_sql
 from tidebook.operators import fills, longshort, panel

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from checks.inputs import AUCTION, PANEL_SQL, auction_panel
 from checks.shape import emit, sql

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import book as book_checks
 from checks.inputs import (
     BOOK_KEYS, BOOK_SQL, FLAWED_SQL, PANEL_SQL, SESSION, SNAP_SQL, auction_panel, flawed_events,
-    snapshots, table, book_events, micros,
+    snapshots, table, book_events,
 )
 from checks.shape import emit, sql
 from tidebook.operators import panel_quality, quality, sessions

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import SNAP_SQL, snapshots
 from checks.shape import emit, sql
-from tidebook.functions.scalars import normalise, one_vs_rest_probabilities, softmax, top_class
+from tidebook.functions.scalars import one_vs_rest_probabilities, softmax, top_class
 from tidebook.operators import classify, closed_form, folds
 
 QUERIES, SQL = {}, {}

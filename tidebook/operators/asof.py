@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.operators import blocks
-from tidebook.operators.blocks import BLOCK
 
 PROBE = "_probe"
 
