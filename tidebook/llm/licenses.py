@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Licence identifiers and the texts they stand for.
@@ -54,44 +55,63 @@ SPELLINGS = [
 ]
 
 #: A line that names an owner and nothing else: comment marks, then the word or sign for copyright and a year, a name or the sign.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}(©\n]*(?:copyright\s*(?:\(c\)|©|[0-9]{4}|:|by )|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT = r"^[^\p{L}\p{N}(©]*(?:copyright\s*(?:\(c\)|©|[0-9]{4}|:|by )|\(c\)|©|all rights reserved)"
 APART = r"[^\p{L}\p{N}]+"
 
+OWNER = re.compile(COPYRIGHT.replace(r"\p{L}\p{N}", r"\w"))
+WORD = re.compile(r"[^\W_]+")
+ONE_SPELLING = dict(SPELLINGS)
+#: Digests that a batch of results holds.
+BATCH = 50_000
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, letters and digits parted by single spaces, one spelling. Null stays null."""
-    lines = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    words = F.concat(F.lit(" "), F.regexp_replace(lines, APART, "  "), F.lit(" "))
-    for other, kept in SPELLINGS:
-        words = F.replace(words, F.lit(f" {other} "), F.lit(f" {kept} "))
-    return F.trim(F.regexp_replace(words, " +", " "))
 
+def canonical(line: str) -> str:
+    """One line in lower case with one spelling, its words parted by single spaces; nothing if it only names an owner."""
+    line = line.lower()
+    return "" if OWNER.match(line) else " ".join(ONE_SPELLING.get(w, w) for w in WORD.findall(line))
 
-def canonical_text(text: str) -> str:
-    """The same for one text on the driver, for the table of known digests."""
-    lines = re.sub(r"(?m)^[^\w(©\n]*(?:copyright\s*(?:\(c\)|©|[0-9]{4}|:|by )|\(c\)|©|all rights reserved)[^\n]*$", " ", text.lower())
-    words = " " + "  ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in lines).split()) + " "
-    for other, kept in SPELLINGS:
-        words = words.replace(f" {other} ", f" {kept} ")
-    return " ".join(words.split())
+
+def canonical_units(text: str) -> tuple[str, list[str]]:
+    """The whole text and its lines; lines with nothing left are left out of the whole and of the list."""
+    lines = [line for line in map(canonical, text.split("\n")) if line]
+    return " ".join(lines), lines
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
     """(license_id, digest); as many rows as known texts."""
-    rows = sorted({(name, hashlib.sha256(canonical_text(text).encode()).hexdigest()) for name, text in known})
-    return spark.createDataFrame(rows, "license_id string, digest string")
+    digests = {(name, hashlib.sha256(canonical_units(text)[0].encode()).digest()) for name, text in known}
+    rows = [(name, bytearray(digest)) for name, digest in sorted(digests)]
+    return spark.createDataFrame(rows, "license_id string, digest binary")
+
+
+def unit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, scope, digest) of every whole text and every line in which something is left; null and empty texts have none."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, scopes, digests = [], [], []
+            for i, cell in enumerate(batch.column("text")):
+                whole, lines = canonical_units(cell.as_py() or "")
+                if whole:
+                    at += [i] * (len(lines) + 1)
+                    scopes += ["text", *["line"] * len(lines)]
+                    digests += [hashlib.sha256(unit.encode()).digest() for unit in (whole, *lines)]
+                if len(at) >= BATCH or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int32())), pa.array(scopes, pa.string()), pa.array(digests, pa.binary())], ["id", "scope", "digest"])
+                    at, scopes, digests = [], [], []
+
+    return rows.mapInArrow(run, f"id {kind}, scope string, digest binary")
 
 
 def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, scope, license_id, matches): which known licence the whole text is (scope 'text') and how many of its lines
-    are one (scope 'line'). Texts of a single line count in both scopes; empty and null texts match nothing; rows that
+    are one (scope 'line'). A text of a single line counts in both scopes; empty and null texts match nothing; rows that
     share an id are counted together; a null id is an id.
 
-    The digests stay on the map side: the join has the licence table on its small side and only matches are shuffled.
+    The licence table has one row per known text and doesn't grow with the documents, so it is the broadcast side; only
+    matches are shuffled.
     """
-    # the licence table has one row per known text and doesn't grow with the documents
-    found = []
-    for scope, unit in (("text", docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("unit"))), ("line", docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col), "\n")).alias("unit")))):
-        digest = F.sha2(canonical(F.col("unit")), 256)
-        found.append(unit.select("id", F.lit(scope).alias("scope"), digest.alias("digest")).join(F.broadcast(known), "digest"))
-    return found[0].unionByName(found[1]).groupBy("id", "scope", "license_id").agg(F.count(F.lit(1)).alias("matches"))
+    found = unit_digests(docs, id_col, text_col).join(F.broadcast(known), "digest")
+    return found.groupBy("id", "scope", "license_id").agg(F.count(F.lit(1)).alias("matches"))

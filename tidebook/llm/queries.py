@@ -28,18 +28,26 @@ def license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def license_sql() -> str:
     known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
-    words = f"' ' || regexp_replace(regexp_replace(lower(unit), '{licenses.COPYRIGHT_LINE}', ' ', 'g'), '{licenses.APART}', '  ', 'g') || ' '"
+    words = f"' ' || regexp_replace(lower(unit), '{licenses.APART}', '  ', 'g') || ' '"
     for other, kept in licenses.SPELLINGS:
         words = f"replace({words}, ' {other} ', ' {kept} ')"
-    digest = f"sha256(trim(regexp_replace({words}, ' +', ' ', 'g')))"
+    line = f"CASE WHEN regexp_matches(lower(unit), '{licenses.COPYRIGHT}') THEN '' ELSE trim(regexp_replace({words}, ' +', ' ', 'g')) END"
     return f"""
-    WITH known AS (SELECT DISTINCT license_id, {digest} AS digest FROM (VALUES {known}) AS k(license_id, unit)),
+    WITH known AS (SELECT DISTINCT license_id, sha256({line}) AS digest FROM (VALUES {known}) AS k(license_id, unit)),
+    lines AS (
+        SELECT doc_id, n, nth, {line} AS unit
+        FROM (
+            SELECT doc_id, n, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS nth
+            FROM (SELECT doc_id, text, row_number() OVER () AS n FROM documents)
+        )
+    ),
     units AS (
-        SELECT doc_id, 'text' AS scope, text AS unit FROM documents
-        UNION ALL SELECT doc_id, 'line' AS scope, unnest(string_split(text, chr(10))) AS unit FROM documents
+        SELECT doc_id, 'line' AS scope, unit FROM lines WHERE unit <> ''
+        UNION ALL
+        SELECT doc_id, 'text' AS scope, string_agg(unit, ' ' ORDER BY nth) AS unit FROM lines WHERE unit <> '' GROUP BY doc_id, n
     )
     SELECT doc_id, scope, license_id, count(*) AS matches
-    FROM (SELECT doc_id, scope, {digest} AS digest FROM units) JOIN known USING (digest)
+    FROM (SELECT doc_id, scope, sha256(unit) AS digest FROM units) JOIN known USING (digest)
     GROUP BY doc_id, scope, license_id
     """
 
