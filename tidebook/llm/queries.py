@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, licenses, slots
+from tidebook.llm import bpe, licenses, simhash, slots
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,15 @@ def virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_copies(table(spark, sf_dir, "documents"), words=3, max_bits=2)
+    return rows.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
     "op3_license_digests": license_digests,
+    "op5_simhash": simhash_components,
     "op6_virtual_slots": virtual_slots,
 }
 
