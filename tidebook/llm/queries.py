@@ -5,10 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, licenses, simhash, slots
+from tidebook.llm import bpe, licenses, simhash, slots, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,9 +71,23 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def remainder(id_col: str, divisor: int) -> Column:
+    """CRC-32 of the id as text, modulo the divisor; a null id counts as no text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learnt_from = remainder("doc_id", 5) != 0
+    model = toxicity.train(docs.where(learnt_from), labels.where(learnt_from))
+    rows = toxicity.scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", (~(remainder("doc_id", 5) != 0)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
     "op3_license_digests": license_digests,
+    "op4_pu_toxicity": pu_toxicity,
     "op5_simhash": simhash_components,
     "op6_virtual_slots": virtual_slots,
 }
