@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, licenses, simhash, slots, toxicity
+from tidebook.llm import bpe, licenses, simhash, slots, toxicity, warc
+from tidebook.llm.scratch import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,12 +85,18 @@ def pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (~(remainder("doc_id", 5) != 0)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archived(table(spark, sf_dir, "pages"), new_folder(spark, "warc"), least_bytes=0)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
     "op3_license_digests": license_digests,
     "op4_pu_toxicity": pu_toxicity,
     "op5_simhash": simhash_components,
     "op6_virtual_slots": virtual_slots,
+    "op10_warc_members": warc_round_trip,
 }
 
 ORACLE_SQL = {"op3_license_digests": license_sql()}
