@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, licenses, simhash, slots, toxicity, warc
+from tidebook.llm import bpe, cgk, licenses, simhash, slots, toxicity, warc
 from tidebook.llm.scratch import new_folder
 
 
@@ -90,12 +90,18 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cgk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
     "op3_license_digests": license_digests,
     "op4_pu_toxicity": pu_toxicity,
     "op5_simhash": simhash_components,
     "op6_virtual_slots": virtual_slots,
+    "op9_cgk_windows": cgk_leaks,
     "op10_warc_members": warc_round_trip,
 }
 
