@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, cgk, licenses, simhash, slots, toxicity, warc
+from tidebook.llm import bpe, cgk, licenses, simhash, slots, toxicity, vectors, warc
 from tidebook.llm.scratch import new_folder
 
 
@@ -95,8 +95,14 @@ def cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return rows.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
+    "op2_rotated_codes": rotated_codes,
     "op3_license_digests": license_digests,
     "op4_pu_toxicity": pu_toxicity,
     "op5_simhash": simhash_components,
