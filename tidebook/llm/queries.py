@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, cgk, licenses, simhash, slots, toxicity, vectors, warc
+from tidebook.llm import bpe, cgk, host_paths, licenses, simhash, slots, toxicity, vectors, warc
 from tidebook.llm.scratch import new_folder
 
 
@@ -100,6 +100,11 @@ def rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
 
 
+def consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = host_paths.main_text(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
     "op2_rotated_codes": rotated_codes,
@@ -107,6 +112,7 @@ QUERIES = {
     "op4_pu_toxicity": pu_toxicity,
     "op5_simhash": simhash_components,
     "op6_virtual_slots": virtual_slots,
+    "op7_host_paths": consensus_paths,
     "op9_cgk_windows": cgk_leaks,
     "op10_warc_members": warc_round_trip,
 }
