@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, cgk, host_paths, licenses, simhash, slots, toxicity, vectors, warc
+from tidebook.llm import backoff, bpe, cgk, host_paths, licenses, simhash, slots, toxicity, vectors, warc
 from tidebook.llm.scratch import new_folder
 
 
@@ -105,6 +105,12 @@ def consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = backoff.scores(docs, "crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) % 7 != 2")
+    return rows.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
     "op2_rotated_codes": rotated_codes,
@@ -113,6 +119,7 @@ QUERIES = {
     "op5_simhash": simhash_components,
     "op6_virtual_slots": virtual_slots,
     "op7_host_paths": consensus_paths,
+    "op8_backoff_automaton": backoff_scores,
     "op9_cgk_windows": cgk_leaks,
     "op10_warc_members": warc_round_trip,
 }
