@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: n-gram length, weight of the prior, text bytes of a block, and blocks at least (so that small inputs spread too).
-ORDER, PRIOR, BLOCK_BYTES, LEAST_BLOCKS = 2, 4.0, 8 << 20, 48
+ORDER, PRIOR, BLOCK_BYTES, LEAST_BLOCKS = 2, 4.0, 4 << 20, 48
 #: Hashes of the start of a text, which is a history but no token, and of its end, which is a token.
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
