@@ -34,9 +34,9 @@ class SlotMap:
 
 
 def slot_columns(id_col: Column, text_col: Column, slots: int = SLOTS, cells: int = CELLS) -> tuple[Column, Column]:
-    """Slot by text (all null texts share one), cell by id."""
+    """Slot by text (a null text counts as empty), cell by id."""
     return (
-        F.pmod(F.xxhash64(text_col), F.lit(slots)).cast("int"),
+        F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(slots)).cast("int"),
         F.pmod(F.xxhash64(id_col, F.lit("cell")), F.lit(cells)).cast("int"),
     )
 
