@@ -107,7 +107,9 @@ def flawed_events(spark: SparkSession, sf: str) -> DataFrame:
     return base.selectExpr(
         "symbol", "ts_ns", "sequence", "action", "side", "size",
         fix("bid_px", 0, "transform(bid_px, (p, i) -> CASE WHEN i = 0 THEN ask_px[0] ELSE p END)"),
-        fix("bid_sz", 1, "transform(bid_sz, (s, i) -> CASE WHEN i = 4 THEN -s ELSE s END)"),
+        f"CASE WHEN {bad} AND sequence % 12 = 1 THEN transform(bid_sz, (s, i) -> CASE WHEN i = 4 THEN -s ELSE s END) ELSE bid_sz END AS bid_sz",
+        "transform(bid_sz, s -> 1D + s % 7) AS bid_ct",
+        f"transform(ask_sz, (s, i) -> CASE WHEN {bad} AND sequence % 12 = 7 AND i = 2 THEN -1D ELSE 1D + s % 7 END) AS ask_ct",
         "CASE WHEN {b} AND sequence % 6 = 2 THEN transform(ask_px, (p, i) -> CASE WHEN i = 3 THEN p - 2 ELSE p END)"
         " WHEN {b} AND sequence % 6 = 3 THEN transform(ask_px, p -> p + 0.1D)"
         " WHEN {b} AND sequence % 6 = 4 THEN transform(ask_px, (p, i) -> CASE WHEN i = 0 THEN bid_px[0] - 0.25D ELSE p END)"
@@ -121,7 +123,9 @@ FLAWED_SQL = BOOK_SQL + """,
 flawed AS (
   SELECT symbol, ts_ns, sequence, action, side, size, session_date, start_ns, end_ns,
     CASE WHEN bad AND k = 0 THEN list_transform(bid_px, lambda p, i: CASE WHEN i = 1 THEN ask_px[1] ELSE p END) ELSE bid_px END AS bid_px,
-    CASE WHEN bad AND k = 1 THEN list_transform(bid_sz, lambda s, i: CASE WHEN i = 5 THEN -s ELSE s END) ELSE bid_sz END AS bid_sz,
+    CASE WHEN bad AND sequence % 12 = 1 THEN list_transform(bid_sz, lambda s, i: CASE WHEN i = 5 THEN -s ELSE s END) ELSE bid_sz END AS bid_sz,
+    list_transform(bid_sz, lambda s: 1 + s % 7) AS bid_ct,
+    list_transform(ask_sz, lambda s, i: CASE WHEN bad AND sequence % 12 = 7 AND i = 3 THEN -1 ELSE 1 + s % 7 END) AS ask_ct,
     CASE WHEN bad AND k = 2 THEN list_transform(ask_px, lambda p, i: CASE WHEN i = 4 THEN p - 2 ELSE p END)
          WHEN bad AND k = 3 THEN list_transform(ask_px, lambda p: p + 0.1)
          WHEN bad AND k = 4 THEN list_transform(ask_px, lambda p, i: CASE WHEN i = 1 THEN bid_px[1] - 0.25 ELSE p END)

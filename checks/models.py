@@ -154,10 +154,11 @@ def panel_frozen_refit(spark, sf):
 
 @query("family_ablation")
 def family_ablation(spark, sf):
-    data = panel.with_dynamics(auction_panel(spark, sf), AUCTION)
-    names = [*PANEL_FEATURES, "wap_return_10s_bps", "spread_bps_change_10s"]
+    data = panel.panel_features(auction_panel(spark, sf), AUCTION)
+    crossed = [f"{c}_cs_{kind}" for c in AUCTION.ranked for kind in ("rank", "demeaned")]
+    names = [*PANEL_FEATURES, "wap_return_10s_bps", "spread_bps_change_10s", *crossed]
     return emit(
-        panel_study.family_ablation(data.where("date_id <= 3"), data.where("date_id = 4"), names, "target", 1.0)
+        panel_study.family_ablation(data.where("date_id <= 3"), data.where("date_id = 4"), names, "target", 1.0, AUCTION)
     )
 
 

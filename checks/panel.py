@@ -49,7 +49,7 @@ r3 AS (SELECT *, {div("(microprice - midpoint) * 10000", "midpoint")} AS micropr
     auction_imbalance_ratio * time_remaining_fraction AS imbalance_time_interaction FROM r2)"""
 
 INTEGER_FEATURES = {"near_price_missing", "far_price_missing", "time_remaining_seconds"}
-ROW_NAMES = list(panel.ROW_FEATURES)
+ROW_NAMES = panel.row_feature_names(AUCTION)
 
 
 def cols(names):

@@ -35,7 +35,7 @@ REPORT_SQL = FLAWED_SQL + """,
 fed AS (SELECT * FROM flawed UNION ALL SELECT * FROM flawed WHERE action = 'T' AND size = 5),
 flags AS (SELECT *, coalesce(bid_px[1] <= 0 OR ask_px[1] <= 0 OR bid_px[1] IS NULL OR ask_px[1] IS NULL, false) AS invalid_best_quotes,
     bid_px[1] = ask_px[1] AS locked_books, bid_px[1] > ask_px[1] AS crossed_books,
-    list_min(bid_sz) < 0 OR list_min(ask_sz) < 0 AS negative_size_or_count,
+    list_min(bid_sz) < 0 OR list_min(ask_sz) < 0 OR list_min(bid_ct) < 0 OR list_min(ask_ct) < 0 AS negative_size_or_count,
     list_bool_or(list_transform(range(1, 10), lambda i: bid_px[i] <= bid_px[i + 1] OR ask_px[i] >= ask_px[i + 1])) AS ladder_errors,
     list_bool_or(list_transform(list_concat(bid_px, ask_px), lambda p: abs(p / 0.25 - round_even(p / 0.25, 0)) > 1e-8)) AS tick_misaligned_rows,
     lag(ts_ns) OVER (PARTITION BY symbol, session_date ORDER BY ingest_ord, ts_ns) AS arrived_before,

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from checks import book, models, outcomes, panel, quality, snapshot, stats, storage
 
-MODULES = ("book", "quality", "panel", "stats", "snapshot", "outcomes", "models", "storage")
-
-
-def _loaded():
-    out = []
-    for name in MODULES:
-        try:
-            out.append(import_module(f"checks.{name}"))
-        except ModuleNotFoundError as exc:
-            if exc.name != f"checks.{name}":
-                raise
-    return out
+STUDIES = (book, quality, panel, stats, snapshot, outcomes, models, storage)
 
 
 def queries():
-    return {k: v for m in _loaded() for k, v in m.QUERIES.items()}
+    return {k: v for m in STUDIES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {k: v for m in _loaded() for k, v in m.SQL.items()}
+    return {k: v for m in STUDIES for k, v in m.SQL.items()}

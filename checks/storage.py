@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.inputs import PANEL_SQL, auction_panel, snapshots, SNAP_SQL, table
 from checks.shape import emit, sql
+from tidebook.operators import blocks
 from tidebook.operators.sessions import split_of
 from tidebook.params import SplitRange
 from tidebook.sources import files, sinks
@@ -84,7 +87,42 @@ def compact_projection(spark, sf):
 
 @query("row_count", "SELECT count(*) AS rows FROM lineitem")
 def row_count(spark, sf):
-    return emit(table(spark, sf, "lineitem").agg(F.count("*").alias("rows")))
+    return emit(spark.createDataFrame([(files.row_count(spark, f"{sf}/lineitem.parquet"),)], "rows long"))
+
+
+def fresh_path(df, name):
+    return f"{blocks.shared_folder(df).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "prepared_train_rows",
+    sql(
+        PANEL_SQL + ", result AS (SELECT date_id, count(*) AS rows, sum(stock_id) AS stocks, count(target) AS targets FROM panel WHERE date_id <= 3 GROUP BY 1)",
+        "date_id:i rows:i stocks:i targets:i",
+    ),
+)
+def prepared_train_rows(spark, sf):
+    """Written by split and date, one date written twice, one split read back."""
+    rows = tagged(spark, sf)
+    path = fresh_path(rows, "prepared")
+    sinks.write_partitions(rows, path, ["split", "date_id"])
+    sinks.write_partitions(rows.where("date_id = 2"), path, ["split", "date_id"])
+    back = files.read_prepared(spark, path, "train", ["date_id", "stock_id", "target"])
+    return emit(back.groupBy("date_id").agg(F.count("*").alias("rows"), F.sum("stock_id").alias("stocks"), F.count("target").alias("targets")))
+
+
+@query(
+    "table_formats",
+    sql(PANEL_SQL + ", result AS (SELECT date_id, count(*) AS rows, sum(seconds_in_bucket) AS seconds FROM panel GROUP BY 1)", "date_id:i rows:i seconds:i"),
+)
+def table_formats(spark, sf):
+    """One table through compressed text, plain text and Parquet in turn."""
+    rows = sinks.compact(auction_panel(spark, sf), ["date_id", "seconds_in_bucket"])
+    for kind in ("csv.gz", "csv", "parquet"):
+        path = fresh_path(rows, "format")
+        sinks.write_table(rows, path, kind)
+        rows = files.read_prepared(spark, path) if kind == "parquet" else spark.read.schema(rows.schema).option("header", True).csv(path)
+    return emit(rows.groupBy("date_id").agg(F.count("*").alias("rows"), F.sum("seconds_in_bucket").alias("seconds")))
 
 
 NAMES = "('book_' || CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y%m%d') END || CASE event_type WHEN 'error' THEN '_definition.csv' WHEN 'signup' THEN '.txt' ELSE '.csv.gz' END)"

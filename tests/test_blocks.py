@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidebook.operators import blocks, fills, folds, order_stats
+from tidebook.operators import asof, blocks, fills, folds, order_stats
 
 
 def skewed(seed=3, rows=900):
@@ -114,3 +114,30 @@ def test_bracketed_quantiles_are_exact_and_keep_few_rows(spark):
     local = df.toPandas()
     for k in (0, 1):
         np.testing.assert_allclose(got[k], np.quantile(local.loc[local["k"] == k, "v"], probs), rtol=1e-12)
+
+
+@pytest.mark.parametrize("limit", [None, 20])
+def test_null_is_a_key_like_any_other(spark, limit):
+    rows = [(None, t) for t in range(0, 700, 7)] + [(1, t) for t in range(0, 90, 9)]
+    df = spark.createDataFrame(rows, "k long, t long").repartition(4)
+    got = {(r.k, r.t): (r.position, r.prev and r.prev.t) for r in blocks.previous(blocks.positions(df, ["k"], ["t"], limit=limit), ["k"], ["t"], ["t"], limit).collect()}
+    assert got == {(k, t): (t // step + 1, t - step if t else None) for k, step in ((None, 7), (1, 9)) for kk, t in rows if kk == k}
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_ranks_keep_the_type_of_the_values(spark, limit):
+    big = 2**53
+    df = spark.createDataFrame([(1, big), (1, big + 1), (1, big + 2), (1, None), (None, 5), (None, 5)], "k long, v long")
+    got = sorted(((r.k or 0, r.v or 0, r.r or 0.0) for r in order_stats.average_rank(df, ["k"], {"v": "r"}, limit=limit).collect()))
+    assert got == [(0, 5, 1.5), (0, 5, 1.5), (1, 0, 0.0), (1, big, 1.0), (1, big + 1, 2.0), (1, big + 2, 3.0)]
+
+
+def test_a_hot_left_key_is_cut(spark):
+    left = spark.createDataFrame([("hot", t) for t in range(1000)] + [(None, 7)], "k string, t long")
+    right = spark.createDataFrame([("hot", 500, 1), (None, 3, 2)], "k string, s long, x int")
+    both = left.select("k", "t").unionAll(right.select("k", "s"))
+    cuts = blocks.cut_points(both, ["k"], "t", 50)
+    cells = blocks.with_block(both, "t", cuts).groupBy("k", blocks.BLOCK).count().collect()
+    assert max(r["count"] for r in cells) <= 100
+    got = asof.asof_join(left, right, ["k"], "t", "s", ["x"], limit=50).collect()
+    assert {(r.k, r.t): r.x for r in got} == {**{("hot", t): 1 if t >= 500 else None for t in range(1000)}, (None, 7): 2}

@@ -85,7 +85,7 @@ def test_panel_csv_has_a_closed_header(spark, tmp_path):
     blind = files.read_panel_csv(spark, str(tmp_path / "ok.csv"), with_target=False)
     assert "target" not in blind.columns
     (tmp_path / "bad.csv").write_text(",".join([*columns, "extra"]) + "\n")
-    with pytest.raises(ValueError, match="unexpected"):
+    with pytest.raises(ValueError, match="surplus"):
         files.read_panel_csv(spark, str(tmp_path / "bad.csv"))
 
 
@@ -114,3 +114,17 @@ def test_table_formats(spark, tmp_path, kind):
     sinks.write_table(spark.range(5), str(tmp_path / "o"), kind)
     reader = spark.read.parquet if kind == "parquet" else spark.read.option("header", True).csv
     assert reader(str(tmp_path / "o")).count() == 5
+
+
+def test_book_files_are_read_by_their_own_headers(spark, tmp_path):
+    names = quality.required_columns()
+    cell = lambda c, day: f"2026-01-0{day}T15:00:00Z" if c.startswith("ts_") else "T" if c in ("action", "side") else str(100 + day) if c == "bid_px_00" else "1"
+    for day, order in ((5, names), (6, names[::-1])):
+        lines = [",".join(order), ",".join(cell(c, day) for c in order)]
+        (tmp_path / f"book-2026-01-0{day}.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "a-definition-20260105.csv").write_text("x,y\n" + "1,2\n" * 5000)
+    got = {str(r.session_date): r.bid_px[0] for r in files.read_book_csv(spark, str(tmp_path)).collect()}
+    assert got == {"2026-01-05": 105.0, "2026-01-06": 106.0}
+    (tmp_path / "again-20260106.csv").write_text(",".join(names) + "\n")
+    with pytest.raises(ValueError, match="more than one file"):
+        files.read_book_csv(spark, str(tmp_path))

@@ -45,3 +45,14 @@ def test_empty_summary_is_zero(spark):
     df = spark.createDataFrame([], "gross_pnl double, fees double, net_pnl double")
     got = fills.trade_summary(df).first()
     assert got["trades"] == 0 and got["net_pnl"] == 0.0 and got["hit_rate"] is None
+
+
+@pytest.mark.parametrize("limit", [None, 4])
+def test_tied_starts_are_taken_once(spark, limit):
+    rows = [("a", 10, 20, 1), ("a", 10, 18, 2), ("a", 10, 18, 3), ("a", 15, 30, 4), ("a", 18, 40, 5), ("a", 40, 41, 6), ("a", 40, 60, 7)]
+    rows += [(None, t, t + 3, t) for t in range(50)] + [("b", 5, 1_000_000, 1), ("b", 6, 7, 2), ("b", 1_000_000, 1_000_001, 3)]
+    df = spark.createDataFrame(rows, "k string, s long, e long, n int").repartition(3)
+    got = sorted(((r.k or "", r.s, r.e, r.n) for r in fills.non_overlapping(df, ["k"], "s", "e", limit).collect()))
+    want = [("", t, t + 3, t) for t in range(0, 50, 3)]
+    want += [("a", 10, 18, 2), ("a", 18, 40, 5), ("a", 40, 41, 6), ("b", 5, 1_000_000, 1), ("b", 1_000_000, 1_000_001, 3)]
+    assert got == want

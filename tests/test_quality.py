@@ -1,14 +1,16 @@
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_book import OPEN, SCHEMA, event
-from tidebook.operators import panel_quality, quality
+from tidebook.operators import panel_quality, quality, sessions
 from tidebook.params import Contract
 
 
-def report(spark, rows):
+def report(spark, rows, counts="array_repeat(3D, 10)"):
     numbered = [(*r, i) for i, r in enumerate(rows)]
-    df = spark.createDataFrame(numbered, SCHEMA + ", ingest_ord long")
+    df = spark.createDataFrame(numbered, SCHEMA + ", ingest_ord long").withColumns({"bid_ct": F.expr(counts), "ask_ct": F.expr("array_repeat(2D, 10)")})
     return quality.quality_report(df, ["symbol"], 0.25).first()
 
 
@@ -42,6 +44,34 @@ def test_each_defect_is_counted_and_rejected(spark, rule, row):
     assert got[rule] == 1 and not got["accepted"]
 
 
+def test_negative_counts_are_seen_without_negative_sizes(spark):
+    counts = "CASE WHEN ingest_ord = 7 THEN array(3D, -1D) ELSE array_repeat(3D, 10) END"
+    got = report(spark, [event(i) for i in range(60)], counts)
+    assert got["negative_size_or_count"] == 1 and not got["accepted"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_sessions_do_not_depend_on_the_time_zone_of_the_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # the weeks in which New York and Europe change their clocks, and a winter day before the epoch
+        days = spark.createDataFrame([("2026-03-06",), ("2026-03-09",), ("2026-10-30",), ("2026-11-02",), ("1965-01-04",)], "d string").select(F.col("d").cast("date").alias("d"))
+        bounds = {str(r.d): r.b for r in days.select("d", sessions.bound_ns(F.col("d"), "09:35:00", "America/New_York").alias("b")).collect()}
+        hours = {"2026-03-06": 14, "2026-03-09": 13, "2026-10-30": 13, "2026-11-02": 14, "1965-01-04": 14}
+        for day, hour in hours.items():
+            begin = datetime.fromisoformat(day).replace(hour=hour, minute=35, tzinfo=timezone.utc)
+            assert bounds[day] == int(begin.timestamp()) * 10**9
+        late = [(bounds["2026-03-06"] + 10 * 3600 * 10**9, "2026-03-06"), (bounds["2026-11-02"] - 10 * 3600 * 10**9, "2026-11-01"), (-1, "1969-12-31")]
+        got = spark.createDataFrame(late, "t long, d string").select(sessions.local_date("t", "America/New_York").cast("string").alias("g"), "d").collect()
+        assert all(r.g == r.d for r in got)
+        texts = ["2026-03-16T13:35:00.5", "2026-03-16 13:35:00.500000000", "2026-03-16T13:35:00.5Z", "2026-03-16T09:35:00.5-04:00"]
+        nanos = spark.createDataFrame([(t,) for t in texts], "t string").select(quality.utc_nanos(F.col("t")).alias("n")).collect()
+        assert {r.n for r in nanos} == {int(datetime(2026, 3, 16, 13, 35, tzinfo=timezone.utc).timestamp()) * 10**9 + 500_000_000}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_locked_book_alone_is_tolerated(spark):
     got = report(spark, [*[event(i) for i in range(60)], changed(60, ask_px=lambda a: [a[0] - 0.25, *a[1:]])])
     assert got["locked_books"] == 1 and got["accepted"]

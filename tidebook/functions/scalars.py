@@ -72,9 +72,3 @@ def one_vs_rest_probabilities(scores: Column) -> Column:
 def top_class(probabilities: Column) -> Column:
     """One-based position of the first maximum."""
     return F.array_position(probabilities, F.array_max(probabilities)).cast("int")
-
-
-def align_classes(raw: Column, labels: list[int], classes: int = 3) -> Column:
-    """Place an estimator's columns (in `labels` order) at classes 1..n; absent ones get 0."""
-    slots = {label: F.element_at(raw, i + 1) for i, label in enumerate(labels)}
-    return normalise(F.array(*[slots.get(c, F.lit(0.0)) for c in range(1, classes + 1)]))

@@ -32,7 +32,8 @@ def probe_states(
     Both tables carry `keys` and the integer `time`. Each phase is a set of running values as in
     `blocks.running`, computed from event rows only; later phases may use names of earlier ones.
     """
-    cuts = blocks.cut_points(events, keys, time, limit)
+    instants = events.select(*keys, time).unionAll(probes.select(*keys, time))
+    cuts = blocks.cut_points(instants, keys, time, limit)
     both = events.withColumn(PROBE, F.lit(0)).unionByName(
         probes.withColumn(PROBE, F.lit(1)), allowMissingColumns=True
     )

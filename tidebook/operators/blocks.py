@@ -9,12 +9,14 @@ row per cell, accumulated along the blocks of its key, and is joined back. The r
 the single window.
 
 Key sizes are measured with one map-side-combined count. If no key is larger than a block, the plan is
-the plain window. Rows whose key is NULL are never cut; keys are identifiers here.
+the plain window; the values are the same either way, in the columns' own types. A NULL key is a key like
+any other and is cut like one.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -24,8 +26,6 @@ from pyspark.sql import functions as F
 
 BLOCK = "_block"
 WHOLE = -1.0  # block of rows whose key is not cut
-# Upper bound on border values and on large keys held by the driver; blocks grow beyond it.
-MAX_BLOCKS = 20_000
 DEFAULT_ROWS = 4_000_000
 CONF_KEY = "spark.tidebook.rowsPerBlock"
 # Rows drawn per block to place the cut points. Only the borders depend on the draw, never the result.
@@ -55,21 +55,14 @@ def cut_points(
         return None
     limit = rows_per_block(df, limit)
     sizes = df.groupBy(*keys).count() if keys else df.select(F.count("*").alias("count"))
-    # At most rows / limit keys can exceed the limit, so the list is short.
-    found = sizes.agg(
-        F.sum("count").alias("rows"),
-        F.collect_list(F.when(F.col("count") > limit, F.struct("*"))).alias("large"),
-    ).first()
-    limit = max(limit, -(-(found["rows"] or 0) // MAX_BLOCKS))
-    named = [r for r in found["large"] if r["count"] > limit and all(r[k] is not None for k in keys)]
-    if not named:
+    rows = sizes.agg(F.sum(F.when(F.col("count") > limit, F.col("count")))).first()[0]
+    if not rows:
         return None
-    large, rows, measured = None, sum(r["count"] for r in named), df
+    large, measured = None, df
     if keys:
-        large = df.sparkSession.createDataFrame(
-            [tuple(r[k] for k in keys) for r in named], sizes.select(*keys).schema
-        )
-        measured = df.join(F.broadcast(large), list(keys), "left_semi")
+        # at most rows / limit keys; they stay a table, whose written size decides how it is joined
+        large = settled(sizes.where(F.col("count") > limit).select(*keys))
+        measured = null_safe_join(df, large, keys, "left_semi")
     count = -(-rows // limit)
     share = min(1.0, SAMPLE_PER_BLOCK * count / rows)
     drawn = measured.select(F.col(order).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
@@ -81,18 +74,32 @@ def cut_points(
     return Cuts(tuple(sorted(set(points or []))), large)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the checkpoint folder, for tables that several jobs would redo.
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the columns of `left` and the other columns of `right`."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    matched = F.lit(True)
+    for k in keys:
+        matched = matched & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(named, matched, how).drop(*[f"_right_{k}" for k in keys])
 
-    The folder is the one the cluster names; only a local session without one gets its own.
-    """
+
+def shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder of the cluster. Only a local session may go without one; it gets its own."""
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            return df
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder, for tables that several jobs would redo."""
+    path = f"{shared_folder(df).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_block(df: DataFrame, order: str, cuts: Cuts | None) -> DataFrame:
@@ -105,9 +112,9 @@ def with_block(df: DataFrame, order: str, cuts: Cuts | None) -> DataFrame:
     blocked = cut.transform(staged).drop("_order_value")
     if cuts.large is None:
         return blocked
-    marked = F.broadcast(cuts.large.withColumn("_large", F.lit(True)))
+    marked = cuts.large.withColumn("_large", F.lit(True))
     return (
-        blocked.join(marked, cuts.large.columns, "left")
+        null_safe_join(blocked, marked, cuts.large.columns, "left")
         .withColumn(BLOCK, F.when(F.col("_large"), F.col(BLOCK)).otherwise(F.lit(WHOLE)))
         .drop("_large")
     )
@@ -169,7 +176,7 @@ def running(
             ],
         )
     )
-    joined = out.join(seeds, part, "left")
+    joined = null_safe_join(out, seeds, part, "left")
     # A sum keeps NULL only while nothing at all has been added.
     patched = {
         name: F.when(F.col(f"_s_{name}").isNull(), F.col(name)).otherwise(

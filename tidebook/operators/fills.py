@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalars import NANOS_PER_MS, is_finite
@@ -177,17 +177,23 @@ def _first_come(keys: Sequence[str]):
             if pdf.empty:
                 continue
             by = pdf[keys]
-            changed = (by != by.shift()).any(axis=1).to_numpy()
-            changed[0] = last is None or tuple(by.iloc[0]) != last
-            last = tuple(by.iloc[-1])
+            same = (by == by.shift()) | (by.isna() & by.shift().isna())
+            changed = ~same.all(axis=1).to_numpy()
+            named = lambda i: tuple(None if pd.isna(v) else v for v in by.iloc[i])
+            changed[0] = last is None or named(0) != last
+            last = named(-1)
+            entry, starts, ends = (pdf[c].to_numpy() for c in ("_free", "_s", "_e"))
+            borders = np.flatnonzero(np.append(changed, True))
             take = []
-            for new, entry, start, end in zip(changed, pdf["_free"], pdf["_s"], pdf["_e"]):
-                if new:
-                    free = entry
-                take.append(start >= free)
-                if start >= free:
-                    free = end
-            yield pdf.loc[np.asarray(take), [*(k for k in keys if k != BLOCK), "_s"]]
+            for lo, hi in zip(np.unique(np.append(0, borders[:-1])), borders if borders[0] else borders[1:]):
+                if changed[lo]:
+                    free = entry[lo]
+                at = lo + int(np.searchsorted(starts[lo:hi], free, "left"))
+                while at < hi:  # rows that would be refused are jumped over
+                    take.append(at)
+                    free = ends[at]
+                    at = max(at + 1, lo + int(np.searchsorted(starts[lo:hi], free, "left")))
+            yield pdf.iloc[take][[*(k for k in keys if k != BLOCK), "_s"]]
 
     return select
 
@@ -234,13 +240,16 @@ def non_overlapping(
 ) -> DataFrame:
     """Greedy first-come selection per key: take a row when its start is not before the last taken end.
 
-    `start` is unique per key. The choice is sequential per key, so sorted partitions are streamed once
+    Of rows that share a start the first in (end, other columns) is the one that can be taken. The choice is sequential per key, so sorted partitions are streamed once
     over narrow columns with one end time as state. A large key is cut into blocks first: each block
     tells, for every start a chain could enter it with, when that chain would leave it (equal leaving
     times merge into one row); those few rows are chained per key; then every block is streamed on its
     own from its now known entry. Only starts within one hold of a block's border are kept for chaining.
     """
     keys = list(keys)
+    others = [f.name for f in df.schema if f.name not in (*keys, start, end) and "map<" not in f.dataType.simpleString()]
+    among_equals = Window.partitionBy(*keys, start).orderBy(end, *others)
+    df = df.withColumn("_nth", F.row_number().over(among_equals)).where("_nth = 1").drop("_nth")
     narrow = df.select(*keys, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
     cuts = blocks.cut_points(narrow, keys, "_s", limit)
     celled = blocks.with_block(narrow, "_s", cuts)
@@ -258,7 +267,7 @@ def non_overlapping(
         entries = steps.groupBy(*keys).applyInPandas(
             _chained(keys), f"{ddl}, {BLOCK} double, _free bigint"
         )
-        entered = celled.join(entries, [*keys, BLOCK], "left").withColumn(
+        entered = blocks.null_safe_join(celled, entries, [*keys, BLOCK], "left").withColumn(
             "_free", F.coalesce("_free", never)
         )
     part = [*keys, BLOCK] if cuts else keys
@@ -268,7 +277,7 @@ def non_overlapping(
         .sortWithinPartitions(*part, "_s")
         .mapInPandas(_first_come(part), f"{ddl}, _s bigint")
     )
-    return df.join(taken.withColumnRenamed("_s", start), [*keys, start], "left_semi")
+    return blocks.null_safe_join(df, taken.withColumnRenamed("_s", start), [*keys, start], "left_semi")
 
 
 def trade_summary(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -35,7 +35,7 @@ def value_counts(
         cuts,
     ).drop(BLOCK)
     totals = ranked.groupBy(*keys).agg(F.sum("n").alias("total"))
-    joined = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
+    joined = blocks.null_safe_join(ranked, totals, keys, "inner") if keys else ranked.crossJoin(F.broadcast(totals))
     return joined.select(*keys, value, "n", (F.col("upto") - F.col("n")).alias("below"), "total")
 
 
@@ -71,8 +71,13 @@ def average_rank(
             return F.when(F.col(value).isNotNull(), scaled)
 
         return df.withColumns({out: rank(value) for value, out in columns.items()})
-    counts = value_counts(stacked(df, keys, columns), [*keys, NAME], VALUE, limit)
-    return join_ranks(df, keys, columns, counts, percent)
+    for value, out in columns.items():
+        counts = value_counts(df.select(*keys, value), keys, value, limit)
+        mean = F.col("below") + (F.col("n") + 1) / 2
+        scaled = mean / F.col("total") if percent else mean.cast("double")
+        ranks = counts.select(*keys, value, scaled.alias(out))
+        df = blocks.null_safe_join(df, ranks, [*keys, value], "left")
+    return df
 
 
 NAME, VALUE = "_name", "_value"
@@ -146,7 +151,7 @@ def _bracketed_quantiles(
     at = lambda i: F.element_at("_b", i + 1)
     v, count = F.col(value), len(points)
     paired = (
-        clean.select(*keys, value).join(bounds, list(keys))
+        blocks.null_safe_join(clean.select(*keys, value), bounds, keys, "inner")
         if keys
         else clean.select(value).crossJoin(F.broadcast(bounds))  # one row
     )
@@ -164,7 +169,7 @@ def _bracketed_quantiles(
         blocks.with_block(table, "_at", cuts), keys, ["_at"], {"upto": ("sum", F.col("n"))}, cuts
     )
     totals = (table.groupBy(*keys) if keys else table).agg(F.sum("n").alias("total"))
-    sized = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
+    sized = blocks.null_safe_join(ranked, totals, keys, "inner") if keys else ranked.crossJoin(F.broadcast(totals))
     counts = sized.where("_v IS NOT NULL").select(
         *keys, F.col("_v").alias(value), "n", (F.col("upto") - F.col("n")).alias("below"), "total"
     )

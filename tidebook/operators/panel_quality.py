@@ -10,16 +10,29 @@ from pyspark.sql import functions as F
 from tidebook.functions.scalars import is_finite
 from tidebook.operators import blocks
 
-PANEL_COLUMNS = (
-    "stock_id", "date_id", "seconds_in_bucket", "imbalance_size", "imbalance_buy_sell_flag",
-    "reference_price", "matched_size", "far_price", "near_price", "bid_price", "bid_size",
-    "ask_price", "ask_size", "wap", "target", "time_id", "row_id",
-)
-INTEGERS = ("stock_id", "date_id", "seconds_in_bucket", "time_id", "imbalance_buy_sell_flag")
-FLOATS = (
-    "imbalance_size", "reference_price", "matched_size", "bid_price", "bid_size", "ask_price",
-    "ask_size", "wap",
-)
+# The panel's external header, with what each column holds.
+PANEL_TYPES = {
+    "stock_id": "whole",
+    "date_id": "whole",
+    "seconds_in_bucket": "whole",
+    "imbalance_size": "number",
+    "imbalance_buy_sell_flag": "whole",
+    "reference_price": "number",
+    "matched_size": "number",
+    "far_price": "number or missing",
+    "near_price": "number or missing",
+    "bid_price": "number",
+    "bid_size": "number",
+    "ask_price": "number",
+    "ask_size": "number",
+    "wap": "number",
+    "target": "number or missing",
+    "time_id": "whole",
+    "row_id": "text",
+}
+PANEL_COLUMNS = tuple(PANEL_TYPES)
+INTEGERS = tuple(c for c, kind in PANEL_TYPES.items() if kind == "whole")
+FLOATS = tuple(c for c, kind in PANEL_TYPES.items() if kind == "number")
 SYNTHETIC_PREFIX = "SYNTHETIC_"
 
 

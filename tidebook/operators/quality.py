@@ -57,9 +57,14 @@ def canonical_events(raw: DataFrame) -> DataFrame:
 
 
 def utc_nanos(text: Column) -> Column:
-    """Nanoseconds since the epoch from ISO text, keeping digits Spark's TIMESTAMP would drop."""
-    value = text.cast("string")
-    whole = F.unix_micros(F.try_to_timestamp(F.regexp_replace(value, r"\.\d+", ""))) * 1000
+    """Nanoseconds since the epoch from ISO text, keeping digits Spark's TIMESTAMP would drop.
+
+    Text without a zone is UTC whatever the session's time zone.
+    """
+    value = F.trim(text.cast("string"))
+    plain = F.regexp_replace(value, r"\.\d+", "")
+    zoned = F.when(plain.rlike(r"(?:Z|UTC|GMT|[+-]\d{1,2}(?::?\d{2})?)$") & plain.rlike(":"), plain).otherwise(F.concat(plain, F.lit("Z")))
+    whole = F.unix_micros(F.try_to_timestamp(zoned)) * 1000
     digits = F.rpad(F.regexp_extract(value, r"\.(\d{1,9})", 1), 9, "0")
     return whole + F.coalesce(digits.try_cast("bigint"), F.lit(0))
 
@@ -82,7 +87,7 @@ def row_flags(tick: float) -> dict[str, Column]:
         "invalid_best_quotes": bid.isNull() | ask.isNull() | (bid <= 0) | (ask <= 0),
         "locked_books": bid == ask,
         "crossed_books": bid > ask,
-        "negative_size_or_count": negative(F.concat("bid_sz", "ask_sz")),
+        "negative_size_or_count": negative(F.concat("bid_sz", "ask_sz", "bid_ct", "ask_ct")),
         "ladder_errors": falls("bid_px", lambda a, b: a <= b) | falls("ask_px", lambda a, b: a >= b),
         "tick_misaligned_rows": F.exists(F.concat("bid_px", "ask_px"), off_grid),
     }

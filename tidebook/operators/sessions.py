@@ -11,15 +11,25 @@ from tidebook.functions.scalars import NANOS_PER_MS
 from tidebook.params import SessionParams, SplitRange
 
 
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
 def bound_ns(session_date: Column, clock: str, zone: str) -> Column:
-    """UTC nanoseconds of a local wall-clock time on a date (daylight saving handled by the zone)."""
-    local = F.to_timestamp(F.concat_ws(" ", session_date.cast("string"), F.lit(clock)))
-    return F.unix_micros(F.to_utc_timestamp(local, zone)) * 1000
+    """UTC nanoseconds of a local wall-clock time on a date (daylight saving handled by the zone).
+
+    Zone-less timestamps throughout, so the session's own time zone has no part in it.
+    """
+    local = F.to_timestamp_ntz(F.concat_ws(" ", session_date.cast("string"), F.lit(clock)))
+    since = F.convert_timezone(F.lit(zone), F.lit("UTC"), local) - F.expr(EPOCH)
+    part = lambda unit: F.extract(F.lit(unit), since)
+    seconds = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 3600 + part("MINUTE") * 60
+    return seconds * 10**9 + (part("SECOND") * 10**6).cast("bigint") * 1000
 
 
 def local_date(time: str, zone: str) -> Column:
     """Local calendar date of an integer nanosecond column."""
-    return F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.expr(f"`{time}` div 1000")), zone))
+    seconds = F.expr(f"make_dt_interval(0, 0, 0, CAST(floor(`{time}` / CAST(1000000000 AS DECIMAL(10, 0))) AS DECIMAL(18, 6)))")
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.expr(EPOCH) + seconds).cast("date")
 
 
 def with_bounds(df: DataFrame, session: SessionParams, date: str = "session_date") -> DataFrame:

@@ -161,7 +161,7 @@ def predictive_metrics(
 def regimes(df: DataFrame) -> DataFrame:
     """Each row once per dimension: time left before the close, and size of the imbalance."""
     left, size = F.col("time_remaining_seconds"), F.abs("auction_imbalance_ratio")
-    clock = F.when(left <= 120, "last_120s").when(left <= 300, "121_to_300s").otherwise("more_than_300s")
+    clock = F.when(left <= 120, "last_120s").when(left <= 300, "121_to_300s").when(left.isNotNull(), "more_than_300s")
     pressure = F.when(size <= 0.05, "low").when(size <= 0.2, "medium").when(size.isNotNull(), "high")
     both = F.array(
         F.struct(F.lit("time_regime").alias("dimension"), clock.alias("regime")),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import folds as chronological
 from tidebook.operators import blocks, panel_models, stats
-from tidebook.operators.panel import feature_families
+from tidebook.operators.panel import families
+from tidebook.params import AuctionParams
 
 
 def baseline_predictions(df: DataFrame, slope: str = "slope", feature: str = "auction_imbalance_ratio") -> DataFrame:
@@ -63,16 +64,17 @@ def pick_candidate(scores: DataFrame, error: str = "mae", spec: str = "spec_id")
 
 
 def family_ablation(
-    train: DataFrame, validation: DataFrame, features: Sequence[str], target: str, alpha: float
+    train: DataFrame, validation: DataFrame, features: Sequence[str], target: str, alpha: float, params: AuctionParams
 ) -> DataFrame:
     """Metrics of ridge on all features and with each feature family left out."""
     columns = ["stock_id", target, *features]
     train, validation = blocks.settled(train.select(*columns)), blocks.settled(validation.select(*columns))
     prep = panel_models.fit_preprocessing(train, features)
     cases = {"all": list(features)}
-    for family, names in feature_families(features).items():
-        kept = [f for f in features if f not in names]
-        if names and kept:
+    family_of = families(params)
+    for family in dict.fromkeys(family_of[f] for f in features):
+        kept = [f for f in features if family_of[f] != family]
+        if kept:
             cases[f"without_{family}"] = kept
     parts = []
     for name, kept in cases.items():

@@ -9,22 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebook.operators import quality
-from tidebook.operators.panel_quality import PANEL_COLUMNS
+from tidebook.operators.panel_quality import PANEL_COLUMNS, PANEL_TYPES
 
 SKIPPED_NAMES = ("definition", "symbology", "metadata")  # fixed words in names of side files
 DATA_SUFFIXES = (".csv", ".csv.gz")
-DATE_FORMS = (  # fixed patterns of a session date in a file name, tried in order
-    r"(?<!\d)(20\d{2}-\d{2}-\d{2})(?!\d)",
-    r"(?<!\d)(20\d{2}\d{2}\d{2})(?!\d)",
-)
-PANEL_TEXT = {"row_id": T.StringType()}
 MATRIX_FEATURES, MATRIX_LABELS = 144, 5
 
 
 def session_date_of(name: Column) -> Column:
-    """Session date in a file name, NULL when there is none."""
-    dashed, plain = (F.regexp_extract(name, form, 1) for form in DATE_FORMS)
-    return F.coalesce(F.try_to_date(dashed, "yyyy-MM-dd"), F.try_to_date(plain, "yyyyMMdd"))
+    """Session date in a file name: the first run of digits that is a whole date of this century, one with dashes
+    before one without; NULL when there is none."""
+    runs = F.regexp_extract_all(name, F.lit(r"\d{4}-\d{2}-\d{2}(?!\d)|\d+"), F.lit(0))
+    dates = lambda dashed: F.filter(
+        F.transform(
+            F.filter(runs, lambda r: F.contains(r, F.lit("-")) == F.lit(dashed)),
+            lambda r: F.when(F.length(F.replace(r, F.lit("-"))).eqNullSafe(8), F.try_to_date(F.replace(r, F.lit("-")), "yyyyMMdd")),
+        ),
+        lambda d: d.between(F.lit("2000-01-01").cast("date"), F.lit("2099-12-31").cast("date")),
+    )
+    return F.coalesce(F.get(dates(True), F.lit(0)), F.get(dates(False), F.lit(0)))
 
 
 def _base_name(path: Column) -> Column:
@@ -71,27 +74,44 @@ def arrival_order() -> Column:
 
 
 def read_book_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Canonical book events of every daily file below `path`.
+    """Canonical book events of every daily file below `path`; two files of one session stop the read.
 
-    Everything is read as text and coerced, so bad cells become NULL instead of failing the scan. A
-    gzip file is one task; sessions are spread again by the first shuffle that follows.
+    Each file's own header names its columns: files are grouped by header line, so one with its columns in another
+    order is read by name. Side files are left out before any header is looked at. Everything is read as text and
+    coerced, so bad cells become NULL instead of failing the scan. A gzip file is one task; sessions are spread again by
+    the first shuffle that follows.
     """
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
-    raw = reader.csv(path)
-    wanted = columns or [*quality.required_columns(), *[c for c in ("symbol",) if c in raw.columns]]
-    named = raw.where(_is_daily(F.col("_metadata.file_name"))).select(
-        *[c for c in wanted if c in raw.columns],
-        arrival_order().alias("ingest_ord"),
-        session_date_of(F.col("_metadata.file_name")).alias("session_date"),
-    )
-    return quality.canonical_events(named)
-
-
-def check_panel_header(columns: Sequence[str]) -> None:
-    missing = sorted(set(PANEL_COLUMNS) - set(columns))
-    unexpected = sorted(set(columns) - set(PANEL_COLUMNS))
-    if missing or unexpected:
-        raise ValueError(f"panel columns do not match; missing={missing}, unexpected={unexpected}")
+    daily = discover_daily_files(spark, path)
+    if twice := [str(r.session_date) for r in repeated_sessions(daily).limit(10).collect()]:
+        raise ValueError(f"sessions with more than one file: {twice}")
+    paths = sorted(r.path for r in daily.select("path").collect())  # one name a session
+    if not paths:
+        raise ValueError(f"no daily files below {path}")
+    first = F.struct(arrival_order().alias("ord"), "value")
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), first.alias("line"))
+    headers: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min("line.ord").alias("ord"), F.min("line").alias("line")).collect():
+        headers.setdefault(r.line.value, []).append(r.file)
+    parts = []
+    for header, files in sorted(headers.items()):
+        names = [c.strip().strip('"') for c in header.lstrip("\ufeff").split(",")]
+        wanted = columns or [*quality.required_columns(), *[c for c in ("symbol",) if c in names]]
+        require_columns(names, [c for c in wanted if c != "symbol"], "book")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(files)
+        parts.append(rows.select(*wanted, arrival_order().alias("ingest_ord"), session_date_of(F.col("_metadata.file_name")).alias("session_date")))
+    raw = parts[0]
+    for more in parts[1:]:
+        raw = raw.unionByName(more, allowMissingColumns=True)
+    return quality.canonical_events(raw)
+
+
+def require_columns(found: Sequence[str], wanted: Sequence[str], what: str, closed: bool = False) -> None:
+    """Fails unless every wanted column is there, and no other one if the set is closed."""
+    absent = [c for c in wanted if c not in found]
+    surplus = [c for c in found if c not in wanted] if closed else []
+    if absent or surplus:
+        raise ValueError(f"{what} file: absent columns {absent}, surplus columns {surplus}")
 
 
 def read_panel_csv(spark: SparkSession, path: str, with_target: bool = True) -> DataFrame:
@@ -100,10 +120,9 @@ def read_panel_csv(spark: SparkSession, path: str, with_target: bool = True) ->
     Without target the column is dropped before any action and pruned from the scan.
     """
     header = spark.read.option("header", True).csv(path).columns
-    check_panel_header(header)
-    whole = {"stock_id", "date_id", "seconds_in_bucket", "time_id", "imbalance_buy_sell_flag"}
-    kind = lambda c: PANEL_TEXT.get(c, T.LongType() if c in whole else T.DoubleType())
-    schema = T.StructType([T.StructField(c, kind(c)) for c in header])
+    require_columns(header, PANEL_COLUMNS, "panel", closed=True)
+    kinds = {"whole": T.LongType(), "text": T.StringType()}
+    schema = T.StructType([T.StructField(c, kinds.get(PANEL_TYPES[c], T.DoubleType())) for c in header])
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     kept = [c for c in PANEL_COLUMNS if with_target or c != "target"]
     return rows.select(
