@@ -25,20 +25,19 @@ POSITIVES, UNLABELLED = 2_000, 5_000
 #: A feature is used if its shares of the confirmed and of the unlabelled texts are so many standard errors apart.
 APART = 4.5
 STEPS, RATE, DECAY = 120, 0.1, 1e-4
-MEMORY = 1 << 18
+MEMORY = 1 << 16
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Words(dict):
-    """Feature numbers of the words seen so far."""
+    """Feature numbers of the first words seen, which hold the frequent ones."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         marked = [word + "\x00", *(word[:n] for n in PREFIXES if len(word) >= n)]
         found = tuple(xxhash.xxh32_intdigest(m.encode()) % FEATURES for m in marked)
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = found
+        if len(self) < MEMORY:
+            self[word] = found
         return found
 
 
@@ -151,12 +150,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(split(True), split(False), (totals.toxic or 0) / max(totals.n, 1))
 
 
-def scored(docs: DataFrame, model: Classifier, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns but the text, and the score of every row's whole text. Empty and null texts get the bias alone."""
+def scored(docs: DataFrame, model: Classifier, text_col: str = "text", score_col: str = "score", keep_text: bool = False) -> DataFrame:
+    """All columns (the text only if it is to be kept) and the score of every row's whole text. Empty and null texts get
+    the bias alone."""
     if score_col in docs.columns:
         raise ValueError(f"docs already has a column {score_col}")
-    kept = [c for c in docs.columns if c != text_col]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text_col)
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of texts fitted on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
