@@ -14,7 +14,7 @@ from tidebook.llm import bpe
 PATTERN = public_tokenizers.PATTERN
 RANKS = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
 CODE = bpe.coder(RANKS, PATTERN)
-LIBRARY = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: r for r, t in CODE.bytes_of.items()}, special_tokens={})
+LIBRARY = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=CODE.ranks, special_tokens={})
 
 ODD = ["", " ", "\n\n  x", "it's we'll'd", "<|endoftext|>", "a" * 5000, " " * 3000 + "x", "é ñ 日本語 🙂🙂", "12 345", "  x", "'" * 50, "tab\t\tend \n"]
 
@@ -57,6 +57,8 @@ def test_operator_on_odd_rows(spark):
     clashing = bpe.encode(docs, RANKS, PATTERN, chunk=300, overlap=20)
     key = lambda t: sorted((r.id is None, r.id or 0, list(r.ids)) for r in t.collect())
     assert key(encoded) == key(clashing) == sorted((i is None, i or 0, LIBRARY.encode_ordinary(t or "")) for i, t, *_ in rows)
+    fused = bpe.encode(docs, RANKS, PATTERN, chunk=300, overlap=20, decoded=True)
+    assert sorted(bpe.digests(fused, RANKS, PATTERN).collect(), key=repr) == sorted(bpe.digests(encoded, RANKS, PATTERN).collect(), key=repr)
     out = {(r.id, r.decoded_sha256): r for r in bpe.digests(encoded, RANKS, PATTERN).collect()}
     for i, t, *_ in rows:
         row, ids = out[i, hashlib.sha256((t or "").encode()).hexdigest()], LIBRARY.encode_ordinary(t or "")

@@ -59,7 +59,7 @@ def test_whole_run(spark, corpus):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     ranks = corpus_pipeline.Path(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
     code = bpe.coder(ranks, corpus_pipeline.public_tokenizers.PATTERN)
-    library = tiktoken.Encoding("own", pat_str=corpus_pipeline.public_tokenizers.PATTERN, mergeable_ranks={t: r for r, t in code.bytes_of.items()}, special_tokens={})
+    library = tiktoken.Encoding("own", pat_str=corpus_pipeline.public_tokenizers.PATTERN, mergeable_ranks=code.ranks, special_tokens={})
     by_id = {r[0]: r[1] or "" for r in rows}
     assert 200 < len(got) < 330
     for i, r in got.items():

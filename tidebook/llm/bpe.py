@@ -25,11 +25,11 @@ CHUNK, OVERLAP = 1 << 16, 512
 #: The end of a chunk can change how this many last characters are matched (the longest contraction less one, and one more to look at).
 UNSURE = 3
 #: Ids that one batch of results holds before it is handed on, and pieces that a task remembers.
-BATCH_IDS, MEMORY = 1 << 21, 1 << 19
+BATCH_IDS, MEMORY = 1 << 20, 1 << 17
 
 
 class Pieces(dict):
-    """Ids of the pieces seen so far; long pieces are encoded but not kept."""
+    """Ids of the first pieces seen, which hold the frequent ones; long and later pieces are encoded but not kept."""
 
     def __init__(self, encode):
         super().__init__()
@@ -37,9 +37,7 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> list[int]:
         ids = self.encode(piece.encode())
-        if len(piece) <= 64:
-            if len(self) >= MEMORY:
-                self.clear()
+        if len(piece) <= 64 and len(self) < MEMORY:
             self[piece] = ids
         return ids
 
@@ -48,16 +46,22 @@ class Coder:
     """Splits, encodes and decodes by one rank file and one pattern."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
+        self.ranks, self.pattern = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}, pattern
         self.match = regex.compile(pattern)
-        self.pieces = Pieces(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece)
-        self.bytes_of = {rank: token for token, rank in table.items()}
+        self.tokens = np.full(max(self.ranks.values()) + 1, None, object)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
+
+    @functools.cached_property
+    def pieces(self) -> Pieces:
+        """Made where texts are encoded only."""
+        return Pieces(tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece)
 
     def encode(self, text: str) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.match.findall(text))), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.tokens[ids].tolist())
 
     def encode_spans(self, text: str, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First character (counted from the whole text's start) and number of ids of each pre-token, and all ids."""
@@ -92,16 +96,17 @@ def stitched(chunks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]],
             begin, start, length, at, n, ids = meet[0], nxt_start, nxt_length, nxt_at, nxt_n, nxt_ids
             continue
         # the two have no boundary in common: read them again as one text, from the last boundary that is known
-        first = code.decode(ids[np.repeat(at >= begin, n)].tolist()).decode()
-        second = code.decode(nxt_ids.tolist()).decode()[end - nxt_start :]
+        first = code.decode(ids[np.repeat(at >= begin, n)]).decode()
+        second = code.decode(nxt_ids).decode()[end - nxt_start :]
         at, n, ids = code.encode_spans(first + second, begin)
         start, length = begin, nxt_start + nxt_length - begin
     out.append(ids[np.repeat(at >= begin, n)])
     return np.concatenate(out)
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """id and ids (array of int) of every row's whole text. A null or empty text has no ids; rows that share an id or a
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """id and ids (array of int) of every row's whole text, and on request the bytes that the ids decode to, joined in
+    the same task, which spares a second Python worker. A null or empty text has no ids; rows that share an id or a
     text are encoded one by one; other columns are left behind.
 
     Only texts above one chunk are shuffled: their chunks to be encoded in parallel, then the ids to be stitched.
@@ -113,6 +118,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     id_type = rows.schema["id"].dataType.simpleString()
 
+    names = ["id", "ids", *["bytes"] * decoded]
+    kind = f"id {id_type}, ids array<int>" + ", bytes binary" * decoded
+
+    def results(code: Coder, parts: list[np.ndarray]) -> list[pa.Array]:
+        return [list_array(parts, pa.int32()), *[pa.array([code.decode(p) for p in parts], pa.binary())] * decoded]
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(shared.value, pattern)
         for batch in batches:
@@ -121,7 +132,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 parts.append(code.encode(text.as_py()))
                 n += len(parts[-1])
                 if n >= BATCH_IDS or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(done, len(parts)), list_array(parts, pa.int32())], ["id", "ids"])
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(done, len(parts)), *results(code, parts)], names)
                     done, parts, n = i + 1, [], 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +158,14 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         table = table.sort_by("no").combine_chunks()
         get = lambda c, i: table.column(c)[i].values.to_numpy()
         chunks = [(table.column("start")[i].as_py(), table.column("length")[i].as_py(), get("at", i), get("n", i), get("ids", i)) for i in range(table.num_rows)]
-        ids = stitched(chunks, coder(shared.value, pattern))
-        return pa.table({"id": table.column("id").slice(0, 1), "ids": list_array([ids], pa.int32())})
+        code = coder(shared.value, pattern)
+        return pa.table([table.column("id").slice(0, 1), *results(code, [stitched(chunks, code)])], names)
 
     one, many = rows.where(F.length("text") <= chunk), rows.where(F.length("text") > chunk)
-    short = one.mapInArrow(whole, f"id {id_type}, ids array<int>")
+    short = one.mapInArrow(whole, kind)
     chunks = many.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, f"row long, id {id_type}, no int, start long, piece string")
     parts = chunks.repartition("row", "no").mapInArrow(pieces, f"row long, id {id_type}, no int, start long, length long, at array<long>, n array<int>, ids array<int>")
-    return short.unionByName(parts.groupBy("row").applyInArrow(stitch, f"id {id_type}, ids array<int>"))
+    return short.unionByName(parts.groupBy("row").applyInArrow(stitch, kind))
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
@@ -167,13 +178,15 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(shared.value, pattern)
         for batch in batches:
-            texts = [None if ids.as_py() is None else code.decode(ids.values.to_pylist()) for ids in batch.column(ids_col)]
+            texts = [None if ids.as_py() is None else code.decode(ids.values.to_numpy()) for ids in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary())], [*kept, bytes_col])
 
     return encoded.mapInArrow(run, f"{kinds}, `{bytes_col}` binary")
 
 
 def digests(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """id, n_tokens, ids_sha256 (decimal ids joined by one space) and decoded_sha256 of an encoded table."""
-    counted = encoded.select("id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return decode(counted, ranks, pattern).select("id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    """id, n_tokens, ids_sha256 (decimal ids joined by one space) and decoded_sha256 of an encoded table, which is decoded
+    here unless it has its bytes."""
+    rest = ["bytes"] if "bytes" in encoded.columns else ["ids"]
+    counted = encoded.select("id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), *rest)
+    return (counted if rest == ["bytes"] else decode(counted, ranks, pattern)).select("id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
