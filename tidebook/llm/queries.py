@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import backoff, bpe, cgk, host_paths, licenses, simhash, slots, toxicity, vectors, warc
+from tidebook.llm import backoff, bpe, cgk, host_paths, licenses, simhash, slots, token_files, toxicity, vectors, warc
 from tidebook.llm.scratch import new_folder
 
 
@@ -111,6 +111,12 @@ def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), new_folder(spark, "ids")
+    files = token_files.write_files(table(spark, sf_dir, "documents"), folder, lambda: token_files.Chunks(path).encode, end_id=0)
+    return token_files.read_files(files, folder).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
     "op2_rotated_codes": rotated_codes,
@@ -122,6 +128,7 @@ QUERIES = {
     "op8_backoff_automaton": backoff_scores,
     "op9_cgk_windows": cgk_leaks,
     "op10_warc_members": warc_round_trip,
+    "op11_mixing_coder": token_blocks,
 }
 
 ORACLE_SQL = {"op3_license_digests": license_sql()}
