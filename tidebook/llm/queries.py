@@ -113,7 +113,7 @@ def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, folder = public_tokenizers.path("byte_bpe_50k.json"), new_folder(spark, "ids")
-    files = token_files.write_files(table(spark, sf_dir, "documents"), folder, lambda: token_files.Chunks(path).encode, end_id=0)
+    files = token_files.write_files(table(spark, sf_dir, "documents"), folder, lambda: token_files.chunks(path).encode, end_id=0)
     return token_files.read_files(files, folder).withColumnRenamed("id", "doc_id")
 
 

@@ -8,10 +8,12 @@ of each block (u64 each); then bytes of the footer (u64), its CRC-32 (u32) and M
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,15 @@ from tidebook.llm.scratch import stored
 MAGIC, END = b"TKID\x01\r\n\x00", struct.Struct("<QI8s")
 #: Blocks coded side by side, ids after which a task begins its next file, and bytes of text tokenised at once.
 TOGETHER, FILE_IDS, TEXTS = 64, 1 << 24, 1 << 22
-#: Distinct chunks of text whose ids a task remembers, and the bytes of the longest one kept.
-MEMORY, LONGEST = 1 << 19, 64
+#: Distinct chunks of text whose ids a worker remembers, and stops that part a word from what follows.
+MEMORY = 1 << 20
+STOPS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
 
 class Chunks:
-    """Ids of texts by a tokenizers file whose pre-tokens never reach over a single space between two printing characters
-    (byte-level pre-tokens begin with that space). Texts are cut there; a chunk that comes again isn't encoded again."""
+    """Ids of texts by a byte-level tokenizers file. Texts are cut where its pre-tokens always end: before a single space
+    or line end between two printing characters, after such a line end, and between a letter and a stop. A chunk that
+    comes again isn't encoded again; chunks beyond MEMORY are encoded whenever they come."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,7 +46,8 @@ class Chunks:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.n = self.n_ids = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text) of an array of strings without nulls."""
@@ -51,33 +56,54 @@ class Chunks:
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         if offsets[-1] == offsets[0]:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        raw = np.frombuffer(data, np.uint8)[: offsets[-1]]
-        plain = raw - np.uint8(33) < 94  # printing ASCII
-        cuts = np.flatnonzero((raw[1:-1] == 32) & plain[:-2] & plain[2:]) + 1
-        cuts = cuts[cuts >= offsets[0]]
-        borders = np.union1d(cuts, offsets)
-        pieces = pa.Array.from_buffers(pa.large_string(), len(borders) - 1, [None, pa.py_buffer(borders.astype(np.int64)), data]).dictionary_encode()
+        borders = self.borders(np.frombuffer(data, np.uint8)[: offsets[-1]], offsets)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(borders) - 1, [None, pa.py_buffer(borders), data]).dictionary_encode()
         words, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
         at = np.array([self.known.get(w, -1) for w in words])
-        new = np.flatnonzero(at < 0)
+        new, kept = np.flatnonzero(at < 0), (self.n, self.n_ids)
         for i in range(0, len(new), 4096):
             self.add([words[k] for k in new[i : i + 4096]], at, new[i : i + 4096])
         lengths = self.lengths[at][which]
         ends = np.cumsum(lengths)
         ids = self.ids[np.repeat(self.starts[at][which] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        upto = np.concatenate([[0], ends])[np.searchsorted(borders, offsets)]
-        if len(self.known) > MEMORY or len(self.ids) > 8 * MEMORY:
-            self.known, self.ids, self.starts, self.lengths = {}, self.ids[:0], self.starts[:0], self.lengths[:0]
-        return ids, np.diff(upto)
+        if len(self.known) + len(new) <= MEMORY and self.n_ids <= 8 * MEMORY:
+            self.known.update((words[k], int(at[k])) for k in new)
+        else:
+            self.n, self.n_ids = kept
+        return ids, np.diff(np.concatenate([[0], ends])[np.searchsorted(borders, offsets)])
+
+    @staticmethod
+    def borders(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[offsets] = True
+        plain = raw - np.uint8(33) < 94  # printing ASCII
+        letter = (raw | 32) - np.uint8(97) < 26
+        white = ((raw[1:-1] == 32) | (raw[1:-1] == 10)) & plain[:-2] & plain[2:]
+        cut[1:-2] |= white
+        cut[2:-1] |= white & (raw[1:-1] == 10)
+        cut[1:-1] |= letter[:-1] & STOPS[raw[1:]]
+        cut[: offsets[0]] = False
+        return np.flatnonzero(cut).astype(np.int64)
 
     def add(self, words: list[str], at: np.ndarray, where: np.ndarray) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        at[where] = len(self.lengths) + np.arange(len(words))
-        self.known.update((w, int(k)) for w, k in zip(words, at[where], strict=True) if len(w) <= LONGEST)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.ids = np.concatenate([self.ids, *(np.array(x, np.int64) for x in found)])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        while self.n + len(words) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        at[where] = self.n + np.arange(len(words))
+        self.starts[self.n : self.n + len(words)] = self.n_ids + np.cumsum(lengths) - lengths
+        self.lengths[self.n : self.n + len(words)] = lengths
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n, self.n_ids = self.n + len(words), self.n_ids + len(ids)
+
+
+@functools.lru_cache(2)
+def chunks(path: str) -> Chunks:
+    """Kept by the worker from task to task."""
+    return Chunks(path)
 
 
 def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
