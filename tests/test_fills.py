@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,27 @@ def test_tied_starts_are_taken_once(spark, limit):
     want = [("", t, t + 3, t) for t in range(0, 50, 3)]
     want += [("a", 10, 18, 2), ("a", 18, 40, 5), ("a", 40, 41, 6), ("b", 5, 1_000_000, 1), ("b", 1_000_000, 1_000_001, 3)]
     assert got == want
+
+
+def greedy(rows):
+    """The selection in plain Python: per key by (start, end, n), one row a start."""
+    kept = []
+    for key in {r[0] for r in rows}:
+        free, last = None, None
+        for r in sorted(r for r in rows if r[0] == key):
+            if r[1] != last and (free is None or r[1] >= free):
+                kept.append(r)
+                free = r[2]
+            last = r[1]
+    return sorted(kept)
+
+
+@pytest.mark.parametrize(("limit", "outliers"), [(25, 0), (25, 3), (7, 40), (1000, 3)])
+def test_long_holds_in_a_hot_key_equal_the_walk(spark, limit, outliers):
+    draw = random.Random(limit + outliers)
+    rows = [("hot", s := draw.randrange(4000), s + draw.randrange(1, 60), n) for n in range(600)]
+    rows += [("hot", s := draw.randrange(4000), s + draw.randrange(300, 3000), 1000 + n) for n in range(outliers)]
+    rows += [(k, s := draw.randrange(500), s + draw.randrange(1, 90), 2000 + n) for n, k in enumerate("abc" * 20)]
+    df = spark.createDataFrame(rows, "k string, s long, e long, n int").repartition(3)
+    got = sorted(tuple(r) for r in fills.non_overlapping(df, ["k"], "s", "e", limit).collect())
+    assert got == greedy(rows)

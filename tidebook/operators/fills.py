@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.scalars import NANOS_PER_MS, is_finite
 from tidebook.operators import blocks
-from tidebook.operators.asof import probe_states
+from tidebook.operators.asof import asof_join, probe_states
 from tidebook.operators.blocks import BLOCK
 
 
@@ -198,41 +198,49 @@ def _first_come(keys: Sequence[str]):
     return select
 
 
-def _leaving(keys: Sequence[str], longest: int):
+def _leaving(keys: Sequence[str]):
     """Per cell: (_upto, _out), the end of the chain that enters with the first start up to `_upto`."""
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_s")
         starts, ends = pdf["_s"].to_numpy(), pdf["_e"].to_numpy()
-        nxt = np.maximum(np.searchsorted(starts, ends, "left"), np.arange(len(starts)) + 1)
-        out = ends.copy()
-        for i in range(len(starts) - 1, -1, -1):
-            if nxt[i] < len(starts):
-                out[i] = out[nxt[i]]
-        # A chain from earlier blocks is free again within the longest hold of this block's border.
-        reach = int(np.searchsorted(starts, starts[0] + longest, "right")) + 1
-        s, o = starts[:reach], out[:reach]
-        closes_run = np.append(o[1:] != o[:-1], True)
-        rows = pd.DataFrame({"_upto": s[closes_run], "_out": o[closes_run]})
+        n = len(starts)
+        after = np.maximum(np.searchsorted(starts, ends, "left"), np.arange(n) + 1)
+        last = np.where(after < n, after, np.arange(n))
+        while not np.array_equal(further := last[last], last):  # halves what is left of every chain
+            last = further
+        out = ends[last]
+        closes_run = np.append(out[1:] != out[:-1], True)
+        rows = pd.DataFrame({"_upto": starts[closes_run], "_out": out[closes_run]})
         return rows.assign(**{k: pdf[k].iloc[0] for k in [*keys, BLOCK]})[[*keys, BLOCK, "_upto", "_out"]]
 
     return leave
 
 
-def _chained(keys: Sequence[str]):
-    """Per key: the time from which each block may take its first row."""
+def _entries(steps: DataFrame, keys: Sequence[str], cells: int, limit: int | None) -> DataFrame:
+    """The time from which each block may take its first row, from the blocks' transfer functions.
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, entries = NEVER, []
-        for block, rows in pdf.sort_values([BLOCK, "_upto"]).groupby(BLOCK, sort=True):
-            entries.append((block, free))
-            at = int(np.searchsorted(rows["_upto"].to_numpy(), free, "left"))
-            if at < len(rows):
-                free = int(rows["_out"].iloc[at])
-        made = pd.DataFrame(entries, columns=[BLOCK, "_free"])
-        return made.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, BLOCK, "_free"]]
-
-    return chain
+    A step leads to the first step of its key, in time, that can be entered when it leaves; that is one as-of join.
+    Pointer doubling then composes these: after k joins every step knows where 2**k steps lead, and the steps that the
+    chain from the first one really takes are found from the longest jumps to the shortest. A chain meets a block at
+    most once, so the rounds are the logarithm of the number of blocks, and no round has a key's steps in one task.
+    """
+    late = steps.select(*keys, (-F.col("_upto")).alias("_at"), F.col("_upto").alias("_next"))
+    found = asof_join(
+        steps.select(*keys, "_upto", (-F.col("_out")).alias("_leaves")), late, keys, "_leaves", "_at", ["_next"], limit=limit
+    )
+    jumps = [blocks.settled(found.drop("_leaves"))]
+    for _ in range(max(0, cells.bit_length() - 1)):
+        onward = jumps[-1].select(*keys, F.col("_upto").alias("_next"), F.col("_next").alias("_far"))
+        jumps.append(blocks.settled(blocks.null_safe_join(jumps[-1], onward, [*keys, "_next"], "left").select(*keys, "_upto", F.col("_far").alias("_next"))))
+    taken = steps.groupBy(*keys).agg(F.min("_upto").alias("_upto"))
+    for jump in reversed(jumps):
+        reached = blocks.null_safe_join(taken, jump, [*keys, "_upto"], "left").where("_next IS NOT NULL")
+        taken = blocks.settled(taken.union(reached.select(*keys, F.col("_next").alias("_upto"))).distinct())
+    left = blocks.null_safe_join(steps, taken.withColumn("_taken", F.lit(True)), [*keys, "_upto"], "left")
+    cell_ends = left.groupBy(*keys, BLOCK).agg(F.max(F.when(F.col("_taken"), F.col("_out"))).alias("_out"))
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return cell_ends.select(*keys, BLOCK, F.max("_out").over(earlier).alias("_free"))
 
 
 def non_overlapping(
@@ -240,11 +248,11 @@ def non_overlapping(
 ) -> DataFrame:
     """Greedy first-come selection per key: take a row when its start is not before the last taken end.
 
-    Of rows that share a start the first in (end, other columns) is the one that can be taken. The choice is sequential per key, so sorted partitions are streamed once
-    over narrow columns with one end time as state. A large key is cut into blocks first: each block
-    tells, for every start a chain could enter it with, when that chain would leave it (equal leaving
-    times merge into one row); those few rows are chained per key; then every block is streamed on its
-    own from its now known entry. Only starts within one hold of a block's border are kept for chaining.
+    Of rows that share a start the first in (end, other columns) is the one that can be taken. The choice is
+    sequential per key, so sorted partitions are streamed once over narrow columns with one end time as state. A large
+    key is cut into blocks first. Each block tells, for every start that a chain could enter it with, when that chain
+    would leave it; equal leaving times of neighbours merge into one row, whatever the longest hold. These steps are
+    composed by pointer doubling; then every block is streamed on its own from its now known entry.
     """
     keys = list(keys)
     others = [f.name for f in df.schema if f.name not in (*keys, start, end) and "map<" not in f.dataType.simpleString()]
@@ -258,15 +266,12 @@ def non_overlapping(
     if cuts is None:
         entered = celled.withColumn("_free", never)
     else:
-        longest = narrow.agg(F.max(F.col("_e") - F.col("_s"))).first()[0]
-        steps = (
+        steps = blocks.settled(
             celled.where(F.col(BLOCK) != blocks.WHOLE)
             .groupBy(*keys, BLOCK)
-            .applyInPandas(_leaving(keys, longest), f"{ddl}, {BLOCK} double, _upto bigint, _out bigint")
-        )
-        entries = steps.groupBy(*keys).applyInPandas(
-            _chained(keys), f"{ddl}, {BLOCK} double, _free bigint"
+            .applyInPandas(_leaving(keys), f"{ddl}, {BLOCK} double, _upto bigint, _out bigint")
         )
+        entries = _entries(steps, keys, len(cuts.points) + 1, limit)
         entered = blocks.null_safe_join(celled, entries, [*keys, BLOCK], "left").withColumn(
             "_free", F.coalesce("_free", never)
         )

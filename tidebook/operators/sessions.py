@@ -11,25 +11,34 @@ from tidebook.functions.scalars import NANOS_PER_MS
 from tidebook.params import SessionParams, SplitRange
 
 
-EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+DAY_US = 86_400_000_000
+# Days added before a division and taken off after it, so that dates before 1970 round down as well.
+# 64-bit nanoseconds reach less than 107,000 days back.
+EARLY = 110_000
+
+
+def clock_us(clock: str) -> int:
+    """Microseconds of a wall-clock time since midnight."""
+    hours, minutes, seconds = clock.split(":")
+    return (int(hours) * 3600 + int(minutes) * 60) * 1_000_000 + round(float(seconds) * 1_000_000)
 
 
 def bound_ns(session_date: Column, clock: str, zone: str) -> Column:
     """UTC nanoseconds of a local wall-clock time on a date (daylight saving handled by the zone).
 
-    Zone-less timestamps throughout, so the session's own time zone has no part in it.
+    Integer microseconds go into the shift and come out of it, so the session's own time zone has no part in it; the
+    zone is a literal, which generated code resolves once.
     """
-    local = F.to_timestamp_ntz(F.concat_ws(" ", session_date.cast("string"), F.lit(clock)))
-    since = F.convert_timezone(F.lit(zone), F.lit("UTC"), local) - F.expr(EPOCH)
-    part = lambda unit: F.extract(F.lit(unit), since)
-    seconds = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 3600 + part("MINUTE") * 60
-    return seconds * 10**9 + (part("SECOND") * 10**6).cast("bigint") * 1000
+    local = F.unix_date(session_date.cast("date")).cast("bigint") * F.lit(DAY_US) + F.lit(clock_us(clock))
+    return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.lit(zone))) * F.lit(1000).cast("bigint")
 
 
 def local_date(time: str, zone: str) -> Column:
     """Local calendar date of an integer nanosecond column."""
-    seconds = F.expr(f"make_dt_interval(0, 0, 0, CAST(floor(`{time}` / CAST(1000000000 AS DECIMAL(10, 0))) AS DECIMAL(18, 6)))")
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.expr(EPOCH) + seconds).cast("date")
+    utc = F.call_function("div", F.col(time) - F.pmod(F.col(time), F.lit(1000)), F.lit(1000))
+    local = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc), F.lit(zone)))
+    days = F.call_function("div", local + F.lit(EARLY * DAY_US), F.lit(DAY_US)) - F.lit(EARLY)
+    return F.date_from_unix_date(days.cast("int"))
 
 
 def with_bounds(df: DataFrame, session: SessionParams, date: str = "session_date") -> DataFrame:
