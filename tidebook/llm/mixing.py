@@ -237,13 +237,13 @@ def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
         return []
     lists, local = zip(*(np.unique(np.asarray(b, np.int64), return_inverse=True) for b in blocks), strict=True)
     lanes = Lanes([len(b) for b in blocks])
-    ids = np.zeros((len(lanes.block), lanes.steps), np.int64)
+    ids = np.zeros((len(lanes.block), lanes.steps), np.uint16)
     for lane, (k, start, length) in enumerate(zip(lanes.block, lanes.starts, lanes.lengths, strict=True)):
         ids[lane, :length] = local[k][start : start + length]
     ids = np.ascontiguousarray(ids.T)
     model, coder = Model(np.array([len(x) for x in lists], np.int64), lanes.block), Encoder(len(lanes.block), lanes.steps)
     for step, n in enumerate(lanes.running):
-        symbol = ids[step, :n]
+        symbol = ids[step, :n].astype(np.int64)
         model.look(n)
         slot = (((model.ids == symbol.astype(np.uint32)) & (model.shares > 0)).view(np.uint8) * NTH).sum(0, dtype=np.uint8)
         missed = slot == 0
@@ -291,7 +291,7 @@ def decode(blocks: Sequence[bytes]) -> list[np.ndarray]:
     starts = ends - np.concatenate(counts)
     model = Model(np.array([len(x) for x in lists], np.int64), lanes.block)
     coder = Decoder(np.concatenate([*words, [0]]).astype(np.int64), starts[lanes.order], ends[lanes.order])
-    ids = np.zeros((lanes.steps, len(lanes.block)), np.int64)
+    ids = np.zeros((lanes.steps, len(lanes.block)), np.uint16)
     for step, n in enumerate(lanes.running):
         now = slice(0, n)
         model.look(n)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import backoff, bpe, cgk, host_paths, licenses, simhash, slots, token_files, toxicity, vectors, warc
+from tidebook.llm import backoff, bpe, cgk, conversation_trie, hard_negatives, host_paths, licenses, simhash, slots, token_files, toxicity, vectors, warc
 from tidebook.llm.scratch import new_folder
 
 
@@ -117,6 +117,71 @@ def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(files, folder).withColumnRenamed("id", "doc_id")
 
 
+def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.spliced(turns, step=5, heads=9)).withColumnRenamed("saved", "saved_tokens")
+
+
+def conversation_sql() -> str:
+    """CRC-32 is spelt out, DuckDB has none."""
+    low = "list_reduce(list_prepend(xor(crc, byte) & 255, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT)), lambda crc, byte: xor(crc >> 8, {low})), 4294967295)"
+    return f"""
+    WITH own AS (
+        SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ),
+    cut AS (SELECT conv_id, turns, {crc} % 9 AS h FROM (SELECT *, conv_id::VARCHAR AS name FROM own)),
+    rebuilt AS (
+        SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+        FROM cut c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+    ),
+    paths AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+    named AS (SELECT conv_id, depth, sha256(turns[1:depth]::VARCHAR) AS node, sha256(turns[1:depth - 1]::VARCHAR) AS parent,
+        CASE WHEN depth = 0 THEN 0 ELSE strlen(turns[depth].text) END AS size, depth = len(turns) AS ends FROM paths),
+    nodes AS (
+        SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+            sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+        FROM named GROUP BY depth, node
+    ),
+    children AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+    kept AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (depth, node)),
+    totals AS (
+        SELECT up.depth, up.node, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n_convs - 1) * u.size) AS saved_tokens
+        FROM kept u JOIN named up ON up.conv_id = u.conv_id AND up.depth <= u.depth GROUP BY ALL
+    )
+    SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+    FROM kept k JOIN totals t USING (depth, node) LEFT JOIN nodes p ON p.depth = k.depth - 1 AND p.node = k.parent
+    """
+
+
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+NEGATIVES_SQL = """
+WITH good AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+    FROM good a JOIN good c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+),
+negatives AS (
+    SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INT AS rank
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe,
     "op2_rotated_codes": rotated_codes,
@@ -129,6 +194,12 @@ QUERIES = {
     "op9_cgk_windows": cgk_leaks,
     "op10_warc_members": warc_round_trip,
     "op11_mixing_coder": token_blocks,
+    "op12_conversation_trie": conversation_nodes,
+    "op13_hard_negatives": mined_negatives,
 }
 
-ORACLE_SQL = {"op3_license_digests": license_sql()}
+ORACLE_SQL = {
+    "op3_license_digests": license_sql(),
+    "op12_conversation_trie": conversation_sql(),
+    "op13_hard_negatives": NEGATIVES_SQL,
+}

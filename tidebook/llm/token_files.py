@@ -28,7 +28,7 @@ from tidebook.llm.scratch import stored
 
 MAGIC, END = b"TKID\x01\r\n\x00", struct.Struct("<QI8s")
 #: Blocks coded side by side, ids after which a task begins its next file, and bytes of text tokenised at once.
-TOGETHER, FILE_IDS, TEXTS = 64, 1 << 24, 1 << 22
+TOGETHER, FILE_IDS, TEXTS = 128, 1 << 24, 1 << 22
 #: Distinct chunks of text whose ids a worker remembers, and stops that part a word from what follows.
 MEMORY = 1 << 20
 STOPS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
