@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import book as book_checks
+from checks import linear
 from checks.inputs import AUCTION, auction_panel, snapshots
-from checks.panel import ROW_SQL
+from checks.panel import ALL_NAMES, FEATURE_SQL, ROW_SQL
 from checks.shape import emit, sql
 from checks.snapshot import FOLDS, members, test_rows
 from tidebook.operators import classify, closed_form, ml_models, panel, panel_models, stats
@@ -141,25 +142,73 @@ def preprocessing_parameters_blocked(spark, sf):
     return preprocessing_parameters(spark, sf, 5000)
 
 
-@query("panel_ridge_cv")
+PREDICTIVE = "rows:i mae:d spearman_ic:d directional_accuracy:d"
+
+
+def predictive_sql(source, keys):
+    """Metrics of (keys, target, prediction) with average ranks."""
+    rank = lambda c: f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + (count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2e0"
+    return f"""ranked AS (SELECT *, {rank("target")} AS ra, {rank("prediction")} AS rb FROM {source}),
+result AS (SELECT {keys}, count(*) AS rows, avg(abs(target - prediction)) AS mae,
+    CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS spearman_ic,
+    avg(CASE WHEN target <> 0 THEN (sign(target) = sign(prediction))::INT END) AS directional_accuracy FROM ranked GROUP BY {keys})"""
+
+
+def all_features(spark, sf):
+    return panel.panel_features(auction_panel(spark, sf), AUCTION)
+
+
+JOINED = "JOIN prep USING (fit) JOIN coefs USING (fit) LEFT JOIN effects e ON e.fit = coefs.fit AND e.alpha = coefs.alpha AND e.name = coefs.name AND e.stock_id = {0}.stock_id"
+SCORED = f"{linear.panel_prediction(ALL_NAMES)} AS prediction"
+PANEL_CV_SQL = (
+    "RECURSIVE " + FEATURE_SQL + """,
+turns AS (SELECT date_id FROM (SELECT DISTINCT date_id FROM panel) QUALIFY row_number() OVER (ORDER BY date_id) > 2),
+later AS (SELECT date_id, ntile(3) OVER (ORDER BY date_id) AS fold FROM turns),
+firsts AS (SELECT fold AS fit, min(date_id) AS first_date FROM later GROUP BY fold),
+fitted AS MATERIALIZED (SELECT fit, true AS fits, true AS preps, c.* FROM crossed c JOIN firsts ON date_id < first_date WHERE target IS NOT NULL),"""
+    + linear.panel_ridge("fitted", ALL_NAMES, ALPHAS, {"all": ALL_NAMES})
+    + f""", held AS (SELECT fold AS fit, c.* FROM crossed c JOIN later USING (date_id) WHERE target IS NOT NULL),
+scored AS MATERIALIZED (SELECT held.fit AS fold, coefs.alpha AS alpha, target, {SCORED} FROM held {JOINED.format("held")}),
+""" + predictive_sql("scored", "fold, alpha")
+)
+
+
+@query("panel_ridge_cv", sql(PANEL_CV_SQL, "fold:i alpha:d " + PREDICTIVE, places=5))
 def panel_ridge_cv(spark, sf):
-    data = rows(spark, sf)
-    return emit(panel_study.ridge_cross_validation(data, "date_id", PANEL_FEATURES, "target", ALPHAS, skip=2, folds=3))
+    return emit(panel_study.ridge_cross_validation(all_features(spark, sf), "date_id", ALL_NAMES, "target", ALPHAS, skip=2, folds=3), 5)
+
 
+FROZEN_SQL = (
+    "RECURSIVE " + FEATURE_SQL + """,
+fitted AS MATERIALIZED (SELECT 1 AS fit, target IS NOT NULL AS fits, date_id <= 3 AS preps, c.* FROM crossed c WHERE date_id <= 4),"""
+    + linear.panel_ridge("fitted", ALL_NAMES, [1.0], {"all": ALL_NAMES})
+    + f""", held AS (SELECT 1 AS fit, c.* FROM crossed c WHERE date_id > 4 AND target IS NOT NULL),
+scored AS MATERIALIZED (SELECT date_id, target, {SCORED} FROM held {JOINED.format("held")}),
+""" + predictive_sql("scored", "date_id")
+)
 
-@query("panel_frozen_refit")
+
+@query("panel_frozen_refit", sql(FROZEN_SQL, "date_id:i " + PREDICTIVE, places=5))
 def panel_frozen_refit(spark, sf):
-    return emit(panel_study.frozen_refit(rows(spark, sf), "date_id", PANEL_FEATURES, "target", 1.0, 3, 4))
+    return emit(panel_study.frozen_refit(all_features(spark, sf), "date_id", ALL_NAMES, "target", 1.0, 3, 4), 5)
+
 
+FAMILY_OF = panel.families(AUCTION)
+LEFT_OUT = {"all": ALL_NAMES} | {f"without_{v}": [f for f in ALL_NAMES if FAMILY_OF[f] != v] for v in dict.fromkeys(FAMILY_OF.values())}
+ABLATION_SQL = (
+    "RECURSIVE " + FEATURE_SQL + """,
+fitted AS MATERIALIZED (SELECT 1 AS fit, true AS fits, true AS preps, c.* FROM crossed c WHERE date_id <= 3 AND target IS NOT NULL),"""
+    + linear.panel_ridge("fitted", ALL_NAMES, [1.0], LEFT_OUT)
+    + f""", held AS (SELECT 1 AS fit, c.* FROM crossed c WHERE date_id = 4 AND target IS NOT NULL),
+scored AS MATERIALIZED (SELECT coefs.name AS features, target, {SCORED} FROM held {JOINED.format("held")}),
+""" + predictive_sql("scored", "features")
+)
 
-@query("family_ablation")
+
+@query("family_ablation", sql(ABLATION_SQL, "features:s " + PREDICTIVE, places=5))
 def family_ablation(spark, sf):
-    data = panel.panel_features(auction_panel(spark, sf), AUCTION)
-    crossed = [f"{c}_cs_{kind}" for c in AUCTION.ranked for kind in ("rank", "demeaned")]
-    names = [*PANEL_FEATURES, "wap_return_10s_bps", "spread_bps_change_10s", *crossed]
-    return emit(
-        panel_study.family_ablation(data.where("date_id <= 3"), data.where("date_id = 4"), names, "target", 1.0, AUCTION)
-    )
+    data = all_features(spark, sf)
+    return emit(panel_study.family_ablation(data.where("date_id <= 3"), data.where("date_id = 4"), ALL_NAMES, "target", 1.0, AUCTION), 5)
 
 
 # --- Classifiers -----------------------------------------------------------------------------------

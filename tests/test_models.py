@@ -85,19 +85,66 @@ def test_panel_ridge_matches_dense_one_hot(spark):
     y = np.nan_to_num(x) @ [0.5, -1.0] + s * 0.3 + rng.normal(size=n)
     rows = [(int(k), float(a), None if np.isnan(b) else float(b), float(t)) for k, (a, b), t in zip(s, x, y)]
     df = spark.createDataFrame(rows, "stock_id long, a double, b double, target double")
-    prep = panel_models.fit_preprocessing(df, ["a", "b"])
-    model = panel_models.fit_panel_ridge(df, "target", alpha, prep)
+    medians = panel_models.feature_medians(df, ["a", "b"])
+    part = F.when(F.col("a") > 2, 1).otherwise(0)  # sums of two parts
+    sums = panel_models.PanelMoments(df, part, ["a", "b"], "target", medians[()] - 0.7)
+    case = panel_models.RidgeCase("all", (0, 1), alpha, ())
+    model = panel_models.fit_panel_ridges(sums, [case], medians)
     filled = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
     z = (filled - filled.mean(0)) / filled.std(0)
     design = np.column_stack([z, np.eye(stocks)[s], np.ones(n)])
     penalty = alpha * np.eye(design.shape[1])
     penalty[-1, -1] = 0
     beta = np.linalg.solve(design.T @ design + penalty, design.T @ y)
-    np.testing.assert_allclose(model.coefficients, beta[:2], rtol=1e-8)
-    got = sorted((r["target"], r["prediction"]) for r in model.predict(df).collect())
+    got = sorted((r["target"], r["prediction"]) for r in model.predict(df, {0: [0]}).collect())
     np.testing.assert_allclose([p for _, p in got], [p for _, p in sorted(zip(y, design @ beta))], rtol=1e-8)
     unknown = spark.createDataFrame([(99, 1.0, 1.0)], "stock_id long, a double, b double")
-    assert model.predict(unknown).first()["prediction"] is not None
+    assert model.predict(unknown, {0: [0]}).first()["prediction"] is not None
+    fitted = panel_models.fit_preprocessing(df, ["a", "b"])
+    for kind in ("median", "mean", "scale"):
+        np.testing.assert_allclose(getattr(model.preprocessing[0], kind), getattr(fitted, kind), rtol=1e-9)
+
+
+def test_panel_ridge_cases_equal_fits_of_their_own(spark):
+    """Folds, left-out features and frozen preprocessing from one set of sums, each against a dense solution."""
+    rng = np.random.default_rng(5)
+    n, stocks = 400, 9
+    x = rng.normal([5, -100, 0.01], [1, 30, 0.002], size=(n, 3))
+    x[rng.random((n, 3)) < 0.1] = np.nan
+    s, part = rng.integers(0, stocks, n), np.arange(n) * 3 // n
+    y = np.where(rng.random(n) < 0.1, np.nan, np.nan_to_num(x) @ [1.0, 0.1, 50.0] + s + rng.normal(size=n))
+    null = lambda v: None if np.isnan(v) else float(v)
+    rows = [(int(k), int(p), null(t), *map(null, v)) for k, p, t, v in zip(s, part, y, x)]
+    df = spark.createDataFrame(rows, "stock_id long, p int, target double, a double, b double, c double")
+    names = ["a", "b", "c"]
+    labeled = df.where("target IS NOT NULL")
+    both = {(1,): labeled.where("p = 0"), (2,): labeled.where("p <= 1"), (3,): df.where("p = 0")}
+    medians = {k: panel_models.feature_medians(v, names)[()] for k, v in both.items()}
+    cases = [
+        panel_models.RidgeCase("fold1", (0,), 2.0, (1,)),
+        panel_models.RidgeCase("fold2", (0, 1), 0.5, (2,)),
+        panel_models.RidgeCase("no_b", (0, 1), 0.5, (2,), use=("a", "c")),
+        panel_models.RidgeCase("frozen", (0, 1), 1.0, (3,), prep=(0,), unlabeled=True),
+    ]
+    sums = panel_models.PanelMoments(df, F.col("p"), names, "target", medians[(2,)])
+    models = panel_models.fit_panel_ridges(sums, cases, medians)
+    held = spark.createDataFrame([r for r in rows if r[1] == 2], df.schema)
+    got = {}
+    for r in models.predict(held, {0: range(4)}).collect():
+        got.setdefault(r["case"], []).append(r["prediction"])
+    for case, prep_rows in zip(cases, (part < 1, part < 2, part < 2, part < 1)):
+        fits = np.isin(part, case.parts) & ~np.isnan(y)
+        base = prep_rows if case.unlabeled else prep_rows & ~np.isnan(y)
+        m = np.nanmedian(x[base], axis=0)
+        filled = np.where(np.isnan(x), m, x)
+        z = (filled - filled[base].mean(0)) / filled[base].std(0)
+        use = [i for i, f in enumerate(names) if case.use is None or f in case.use]
+        dense = np.column_stack([z[:, use], np.eye(stocks)[s], np.ones(n)])
+        penalty = case.alpha * np.eye(dense.shape[1])
+        penalty[-1, -1] = 0
+        beta = np.linalg.solve(dense[fits].T @ dense[fits] + penalty, dense[fits].T @ y[fits])
+        want = (dense @ beta)[part == 2]
+        np.testing.assert_allclose(sorted(got[case.name]), sorted(want), rtol=1e-7)
 
 
 def test_all_missing_feature_is_kept_as_zero(spark):

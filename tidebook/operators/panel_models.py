@@ -1,24 +1,32 @@
-"""Ridge regression of the auction panel: imputation, scaling and a penalised effect per stock.
+"""Ridge regression of the auction panel: imputation, scaling and a penalised effect per stock, from sums.
 
-The stock effects make the normal matrix as wide as the market, but their block is diagonal. They are
-eliminated exactly: each stock's sums are one row of a grouped table, its share of the reduced matrix
-is added up where the rows are, and the driver solves only a system of feature-count size. Any number of
-stocks works.
+One pass over the rows adds up, per part of the chronology, the products of all columns, and per part and stock the
+columns themselves. A missing value is kept as a zero and an indicator, so that filling with any median, centring and
+scaling are linear maps of the sums: every fold, penalty, frozen preprocessing and set of left-out features is solved
+from the same sums without reading the rows again.
+
+The stock effects make the normal matrix as wide as the market, but their block is diagonal. They are eliminated
+exactly (a Schur complement); each stock is one row of a grouped table, and the driver solves only systems of
+feature-count size. Any number of stocks works.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.scalars import nan_to_null
-from tidebook.operators import order_stats
-from tidebook.operators.closed_form import gram_by_group
-from tidebook.operators.stats import labeled_rows
+from tidebook.functions.scalars import dot, is_finite, nan_to_null
+from tidebook.operators import blocks, order_stats
+
+TINY = 1e-12
+PART, GROUP = "_part", "_group"
 
 
 @dataclass(frozen=True)
@@ -30,87 +38,202 @@ class Preprocessing:
     mean: tuple[float, ...]
     scale: tuple[float, ...]
 
-    def columns(self) -> list[Column]:
-        return [
-            (F.coalesce(nan_to_null(F.col(f)), F.lit(m)) - c) / s
-            for f, m, c, s in zip(self.features, self.median, self.mean, self.scale)
-        ]
-
     def table(self, df: DataFrame) -> DataFrame:
         """The parameters as rows (feature, median, mean, scale)."""
         rows = list(zip(self.features, self.median, self.mean, self.scale))
         return df.sparkSession.createDataFrame(rows, "feature string, median double, mean double, scale double")
 
 
+def feature_medians(
+    rows: DataFrame, features: Sequence[str], keys: Sequence[str] = (), limit: int | None = None
+) -> dict[tuple, np.ndarray]:
+    """Exact medians per key in one table; an all-missing feature gets 0. One row a key and feature reaches the driver."""
+    keys = list(keys)
+    clean = rows.select(*keys, *[nan_to_null(F.col(f)).alias(f) for f in features])
+    long = order_stats.stacked(clean, keys, features)
+    found = order_stats.quantiles(long, [*keys, order_stats.NAME], order_stats.VALUE, [0.5], "q", limit)
+    place = {f: i for i, f in enumerate(features)}
+    out: dict[tuple, np.ndarray] = {} if keys else {(): np.zeros(len(features))}
+    for row in found.collect():
+        medians = out.setdefault(tuple(row[k] for k in keys), np.zeros(len(features)))
+        medians[place[row[order_stats.NAME]]] = row["q"][0]
+    return out
+
+
 def fit_preprocessing(train: DataFrame, features: Sequence[str], limit: int | None = None) -> Preprocessing:
-    """Exact medians (an all-missing feature gets 0), then mean and population deviation after filling."""
-    clean = train.select(*[nan_to_null(F.col(f)).alias(f) for f in features])
-    long = order_stats.stacked(clean, [], features)
-    found = order_stats.quantiles(long, [order_stats.NAME], order_stats.VALUE, [0.5], "q", limit)
-    medians = {r[order_stats.NAME]: r["q"][0] for r in found.collect()}  # one row per feature
-    median = [float(medians.get(f, 0.0)) for f in features]
-    filled = [F.coalesce(F.col(f), F.lit(m)) for f, m in zip(features, median)]
-    row = clean.agg(
+    """Exact medians, then mean and population deviation after filling."""
+    median = [float(m) for m in feature_medians(train, features, limit=limit)[()]]
+    filled = [F.coalesce(nan_to_null(F.col(f)), F.lit(m)) for f, m in zip(features, median)]
+    row = train.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(filled)],
         *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(filled)],
     ).first()
     scale = [row[f"s{i}"] for i in range(len(features))]
     return Preprocessing(
         tuple(features), tuple(median), tuple(row[f"m{i}"] for i in range(len(features))),
-        tuple(s if s > 1e-12 else 1.0 for s in scale),
+        tuple(s if s > TINY else 1.0 for s in scale),
     )
 
 
 @dataclass(frozen=True)
-class PanelRidge:
-    """Fitted coefficients; stock effects stay a table, one row per stock."""
-
-    preprocessing: Preprocessing
-    coefficients: tuple[float, ...]
-    intercept: float
-    effects: DataFrame
+class RidgeCase:
+    """One model: the parts it is fitted on, its penalty, its features, and where its preprocessing comes from.
 
-    def predict(self, panel: DataFrame, name: str = "prediction") -> DataFrame:
-        """Unknown stocks get no effect. The effect table joins by stock; AQE picks the strategy."""
-        out = F.lit(self.intercept)
-        for column, value in zip(self.preprocessing.columns(), self.coefficients):
-            out = out + column * value
-        joined = panel.join(self.effects, "stock_id", "left")
-        return joined.withColumn(name, out + F.coalesce("_effect", F.lit(0.0))).drop("_effect")
+    `prep` names the parts of the preprocessing (None: those of the fit), `medians` the key of the medians, and with
+    `unlabeled` the preprocessing also counts rows without a target.
+    """
 
+    name: str
+    parts: tuple[int, ...]
+    alpha: float
+    medians: tuple
+    use: tuple[str, ...] | None = None
+    prep: tuple[int, ...] | None = None
+    unlabeled: bool = False
+
+
+class PanelMoments:
+    """Sums of a panel from one pass. Columns are, for d features: values less a centre (0 where missing), indicators of
+    missing values, the target, and 1."""
+
+    def __init__(self, panel: DataFrame, part: Column, features: Sequence[str], target: str, centre: np.ndarray):
+        self.features, self.target, self.centre = list(features), target, centre
+        d = len(self.features)
+        self.x, self.y, self.one = np.arange(2 * d), 2 * d, 2 * d + 1
+        labeled = is_finite(F.col(target))
+        y = F.when(labeled, F.col(target).cast("double")).otherwise(0.0)
+        rows = panel.select(part.cast("int").alias(PART), labeled.alias("_labeled"), F.col("stock_id").alias(GROUP), F.concat(self.raw(), F.array(y)).alias("v"))
+        kind = panel.schema["stock_id"].dataType.simpleString()
+        w = 2 * d + 2
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            products: dict[tuple, np.ndarray] = {}
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                values = np.column_stack([np.stack(pdf["v"].to_numpy()), np.ones(len(pdf))])
+                for key, at in pdf.groupby([PART, "_labeled"]).indices.items():
+                    products[key] = products.get(key, 0) + values[at].T @ values[at]
+                kept = pdf["_labeled"].to_numpy()
+                if kept.any():
+                    groups = pdf.loc[kept].groupby([PART, GROUP], dropna=False, sort=False).ngroup().to_numpy()
+                    sums = np.zeros((groups.max() + 1, w))
+                    np.add.at(sums, groups, values[kept])
+                    heads = pdf.loc[kept, [PART, GROUP]].iloc[np.unique(groups, return_index=True)[1]]
+                    yield heads.assign(_labeled=True, _whole=False, g=list(sums))[[PART, "_labeled", "_whole", GROUP, "g"]]
+            rows = [(int(p), bool(l), True, None, m.ravel()) for (p, l), m in products.items()]
+            yield pd.DataFrame(rows, columns=[PART, "_labeled", "_whole", GROUP, "g"]).astype({GROUP: "object"})
+
+        ddl = f"{PART} int, _labeled boolean, _whole boolean, {GROUP} {kind}, g array<double>"
+        parts = rows.mapInPandas(partial, ddl).withColumn("v", array_to_vector("g"))
+        cube = blocks.settled(parts.groupBy(PART, "_labeled", "_whole", GROUP).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("g")))
+        self.products = {(r[PART], r["_labeled"]): np.array(r["g"]).reshape(w, w) for r in cube.where("_whole").collect()}
+        pair = F.struct(F.col(PART).alias("part"), "g")
+        self.stocks = blocks.settled(cube.where("NOT _whole").groupBy(GROUP).agg(F.collect_list(pair).alias("sums")))  # a pair a part
+
+    def raw(self) -> Column:
+        """The row's values as the sums hold them, without target and 1."""
+        clean = [nan_to_null(F.col(f).cast("double")) for f in self.features]
+        values = [F.coalesce(c - F.lit(float(m)), F.lit(0.0)) for c, m in zip(clean, self.centre)]
+        return F.array(*values, *[c.isNull().cast("double") for c in clean])
+
+    def total(self, parts: Sequence[int], unlabeled: bool = False) -> np.ndarray:
+        w = self.one + 1
+        return sum((m for (p, l), m in self.products.items() if p in parts and (l or unlabeled)), np.zeros((w, w)))
+
+    def standardise(self, case: RidgeCase, medians: np.ndarray) -> tuple[Preprocessing, np.ndarray]:
+        """The preprocessing, and the map from raw columns to [scaled features, target, 1]."""
+        d, w = len(self.features), self.one + 1
+        fill = np.zeros((d, w))
+        fill[:, :d], fill[:, d : 2 * d] = np.eye(d), np.diag(medians - self.centre)
+        sums = self.total(case.prep or case.parts, case.unlabeled)
+        n = max(1.0, sums[self.one, self.one])
+        mean = fill @ sums[:, self.one] / n
+        scale = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", fill, sums, fill) / n - mean**2, 0))
+        scale[scale <= TINY * np.maximum(1, np.abs(mean))] = 1.0
+        out = np.zeros((d + 2, w))
+        out[:d] = fill / scale[:, None]
+        out[:d, self.one] -= mean / scale
+        out[d, self.y] = out[d + 1, self.one] = 1.0
+        floats = lambda v: tuple(float(x) for x in v)
+        return Preprocessing(tuple(self.features), floats(medians), floats(mean + self.centre), floats(scale)), out
+
+    def explained(self, cases: Sequence[RidgeCase]) -> dict[tuple, np.ndarray]:
+        """Per parts and penalty the products that the stock effects take: sums over stocks of s s' / (n + penalty)."""
+        wanted = sorted({(c.parts, c.alpha) for c in cases})
+        w, one = self.one + 1, self.one
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((len(wanted), w, w))
+            for pdf in batches:
+                for sums in pdf["sums"]:
+                    held = {s["part"]: np.asarray(s["g"]) for s in sums}
+                    for k, (parts, alpha) in enumerate(wanted):
+                        v = sum((g for p, g in held.items() if p in parts), np.zeros(w))
+                        if v[one]:
+                            out[k] += np.outer(v, v) / (v[one] + alpha)
+            yield pd.DataFrame({"k": range(len(wanted)), "g": [m.ravel() for m in out]})
+
+        found = self.stocks.mapInPandas(partial, "k int, g array<double>").withColumn("v", array_to_vector("g"))
+        rows = found.groupBy("k").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("g")).collect()
+        taken = {wanted[r["k"]]: np.array(r["g"]).reshape(w, w) for r in rows}
+        return {key: taken.get(key, np.zeros((w, w))) for key in wanted}
 
-def fit_panel_ridge(
-    train: DataFrame, target: str, alpha: float, prep: Preprocessing, use: Sequence[str] | None = None
-) -> PanelRidge:
-    """Penalised least squares on standardised features and stock indicators with a free intercept.
 
-    `prep` may come from an earlier training range (frozen preprocessing). `use` keeps a subset.
-    """
-    if use is not None:
-        keep = [i for i, f in enumerate(prep.features) if f in set(use)]
-        pick = lambda values: tuple(values[i] for i in keep)
-        prep = Preprocessing(pick(prep.features), pick(prep.median), pick(prep.mean), pick(prep.scale))
-    d = len(prep.features)
-    names = [f"z{i}" for i in range(d)]
-    rows = labeled_rows(train, target).select(
-        "stock_id", *[c.alias(n) for c, n in zip(prep.columns(), names)], F.col(target).cast("double").alias("y")
-    )
-    whole = gram_by_group(rows, [], [*names, "y"])[()]
-    per_stock = rows.groupBy("stock_id").agg(
-        F.count("*").cast("double").alias("n"), *[F.sum(c).alias(c) for c in [*names, "y"]]
-    )
-    # Rows scaled by 1/sqrt(n + alpha): their Gram matrix is the part explained by the stock effects.
-    root = F.sqrt(F.col("n") + alpha)
-    shares = per_stock.select(*[(F.col(c) / root).alias(c) for c in [*names, "y", "n"]])
-    taken = gram_by_group(shares, [], [*names, "y", "n"])[()]
-    at = [*range(d), d + 1]  # features and intercept in `whole`; the same order in `taken`
-    normal = whole[np.ix_(at, at)] - taken[np.ix_(at, at)]
-    rhs = whole[at, d] - taken[at, d]
-    penalty = np.eye(d + 1) * alpha
-    penalty[-1, -1] = 0.0
-    beta = np.linalg.solve(normal + penalty, rhs)
-    fitted = F.lit(float(beta[-1])) * F.col("n")
-    for name, value in zip(names, beta[:-1]):
-        fitted = fitted + F.col(name) * float(value)
-    effects = per_stock.select("stock_id", ((F.col("y") - fitted) / (F.col("n") + alpha)).alias("_effect"))
-    return PanelRidge(prep, tuple(float(b) for b in beta[:-1]), float(beta[-1]), effects)
+@dataclass(frozen=True)
+class PanelRidges:
+    """Fitted models over one set of sums; stock effects stay a table with one row a stock."""
+
+    moments: PanelMoments
+    cases: tuple[RidgeCase, ...]
+    weights: tuple[np.ndarray, ...]  # on raw columns, then 1
+    preprocessing: tuple[Preprocessing, ...]
+
+    def effects(self) -> DataFrame:
+        """(stock_id, effects): a stock's effect in every case; 0 where the case has not seen it."""
+        w, y, one = self.moments.one + 1, self.moments.y, self.moments.one
+        cases, weights = self.cases, self.weights
+
+        def effect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for sums in pdf["sums"]:
+                    held = {s["part"]: np.asarray(s["g"]) for s in sums}
+                    row = []
+                    for case, b in zip(cases, weights):
+                        v = sum((g for p, g in held.items() if p in case.parts), np.zeros(w))
+                        row.append((v[y] - b[:-1] @ v[:y] - b[-1] * v[one]) / (v[one] + case.alpha) if v[one] else 0.0)
+                    out.append(row)
+                yield pd.DataFrame({"stock_id": pdf[GROUP], "effects": out})
+
+        kind = self.moments.stocks.schema[GROUP].dataType.simpleString()
+        return self.moments.stocks.mapInPandas(effect, f"stock_id {kind}, effects array<double>")
+
+    def predict(self, panel: DataFrame, of: dict[int, Sequence[int]], select: Column | None = None) -> DataFrame:
+        """Each row once per case, as (panel columns, case, prediction). `select` is the row's key into `of`, which lists
+        the cases for it; without it every row is scored by `of[0]`. Unknown stocks get no effect."""
+        spark = panel.sparkSession
+        rows = [(k, i, self.cases[i].name, [float(v) for v in self.weights[i][:-1]], float(self.weights[i][-1])) for k, cases in of.items() for i in cases]
+        table = spark.createDataFrame(rows, "_of int, _case int, case string, _b array<double>, _b0 double")  # a row a case
+        scored = panel.withColumns({"_of": (F.lit(0) if select is None else select).cast("int"), "_raw": self.moments.raw()})
+        scored = blocks.null_safe_join(scored, self.effects(), ["stock_id"], "left").join(F.broadcast(table), "_of")
+        effect = F.coalesce(F.get("effects", F.col("_case")), F.lit(0.0))
+        return scored.withColumn("prediction", dot(F.col("_raw"), F.col("_b")) + F.col("_b0") + effect).drop("_of", "_case", "_raw", "_b", "_b0", "effects")
+
+
+def fit_panel_ridges(moments: PanelMoments, cases: Sequence[RidgeCase], medians: dict[tuple, np.ndarray]) -> PanelRidges:
+    """Penalised least squares on standardised features and stock indicators with a free intercept, for every case."""
+    taken = moments.explained(cases)
+    d, weights, preps = len(moments.features), [], []
+    for case in cases:
+        prep, mapped = moments.standardise(case, medians[case.medians])
+        left = mapped @ (moments.total(case.parts) - taken[case.parts, case.alpha]) @ mapped.T
+        use = [i for i, f in enumerate(moments.features) if case.use is None or f in case.use]
+        at = [*use, d + 1]
+        penalty = np.eye(len(at)) * case.alpha
+        penalty[-1, -1] = 0.0
+        beta = np.linalg.solve(left[np.ix_(at, at)] + penalty, left[at, d])
+        onto = mapped[at].T @ beta
+        weights.append(np.append(onto[: moments.y], onto[moments.one]))
+        preps.append(prep)
+    return PanelRidges(moments, tuple(cases), tuple(weights), tuple(preps))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,24 +26,30 @@ def baseline_predictions(df: DataFrame, slope: str = "slope", feature: str = "au
 def ridge_cross_validation(
     panel: DataFrame, date: str, features: Sequence[str], target: str, alphas: Sequence[float], skip: int, folds: int
 ) -> DataFrame:
-    """Predictive metrics per (fold, alpha); preprocessing and model see only the fold's train dates."""
+    """Predictive metrics per (fold, alpha); preprocessing and model see only the labeled rows of the fold's train dates.
+
+    Medians of all folds come from one table, the models of all folds and penalties from one pass, and each validation
+    row is scored once per penalty by its own fold's models.
+    """
+    features = list(features)
     panel = blocks.settled(panel.select("stock_id", date, target, *features))
-    plan: dict[int, dict[str, list]] = {}
-    for row in chronological.expanding_folds(panel, date, skip, folds).collect():  # folds x dates
-        plan.setdefault(row["fold"], {"train": [], "validation": []})[row["role"]].append(row[date])
-    parts = []
-    for fold, roles in sorted(plan.items()):
-        train = panel.where(F.col(date).isin(roles["train"]))
-        inside = stats.labeled_rows(panel.where(F.col(date).isin(roles["validation"])), target)
-        prep = panel_models.fit_preprocessing(train, features)
-        for alpha in alphas:
-            model = panel_models.fit_panel_ridge(train, target, alpha, prep)
-            scored = model.predict(inside).select(
-                F.lit(fold).alias("fold"), F.lit(float(alpha)).alias("alpha"), target, "prediction"
-            )
-            parts.append(scored)
-    everything = reduce(lambda a, b: a.unionByName(b), parts)
-    return stats.predictive_metrics(everything, ["fold", "alpha"], target, "prediction")
+    blocked = chronological.expanding_folds(panel, date, skip, folds).where("role = 'validation'")
+    starts = [r["start"] for r in blocked.groupBy("fold").agg(F.min(date).alias("start")).orderBy("fold").collect()]
+    # dates before the first block are part 0, block k is part k and validates fold k
+    part = F.size(F.filter(F.array(*[F.lit(d) for d in starts]), lambda d: d <= F.col(date)))
+    inside = stats.labeled_rows(panel, target).withColumn("fold", part)
+    later = inside.select(*features, F.explode(F.sequence(F.col("fold") + 1, F.lit(len(starts) + 1))).alias("fold"))
+    medians = panel_models.feature_medians(later.where(F.col("fold") <= len(starts)), features, ["fold"])
+    sums = panel_models.PanelMoments(inside, F.col("fold"), features, target, medians[(len(starts),)])
+    cases = [
+        panel_models.RidgeCase(str(float(alpha)), tuple(range(fold)), float(alpha), (fold,))
+        for fold in range(1, len(starts) + 1) for alpha in alphas
+    ]
+    models = panel_models.fit_panel_ridges(sums, cases, medians)
+    of = {fold: range((fold - 1) * len(alphas), fold * len(alphas)) for fold in range(1, len(starts) + 1)}
+    scored = models.predict(inside.where("fold > 0"), of, F.col("fold"))
+    scored = scored.select("fold", F.col("case").cast("double").alias("alpha"), target, "prediction")
+    return stats.predictive_metrics(scored, ["fold", "alpha"], target, "prediction")
 
 
 def validation_summary(daily: DataFrame, model: str) -> DataFrame:
@@ -66,31 +71,33 @@ def pick_candidate(scores: DataFrame, error: str = "mae", spec: str = "spec_id")
 def family_ablation(
     train: DataFrame, validation: DataFrame, features: Sequence[str], target: str, alpha: float, params: AuctionParams
 ) -> DataFrame:
-    """Metrics of ridge on all features and with each feature family left out."""
+    """Metrics of ridge on all features and with each feature family left out, all solved from the same sums."""
+    features = list(features)
     columns = ["stock_id", target, *features]
-    train, validation = blocks.settled(train.select(*columns)), blocks.settled(validation.select(*columns))
-    prep = panel_models.fit_preprocessing(train, features)
-    cases = {"all": list(features)}
+    train, validation = blocks.settled(stats.labeled_rows(train, target).select(*columns)), stats.labeled_rows(validation, target).select(*columns)
     family_of = families(params)
+    cases = {"all": tuple(features)}
     for family in dict.fromkeys(family_of[f] for f in features):
-        kept = [f for f in features if family_of[f] != family]
+        kept = tuple(f for f in features if family_of[f] != family)
         if kept:
             cases[f"without_{family}"] = kept
-    parts = []
-    for name, kept in cases.items():
-        model = panel_models.fit_panel_ridge(train, target, alpha, prep, use=kept)
-        scored = model.predict(stats.labeled_rows(validation, target))
-        parts.append(scored.select(F.lit(name).alias("features"), target, "prediction"))
-    everything = reduce(lambda a, b: a.unionByName(b), parts)
-    return stats.predictive_metrics(everything, ["features"], target, "prediction")
+    medians = panel_models.feature_medians(train, features)
+    sums = panel_models.PanelMoments(train, F.lit(0), features, target, medians[()])
+    models = panel_models.fit_panel_ridges(sums, [panel_models.RidgeCase(name, (0,), float(alpha), (), kept) for name, kept in cases.items()], medians)
+    scored = models.predict(validation, {0: range(len(cases))}).select(F.col("case").alias("features"), target, "prediction")
+    return stats.predictive_metrics(scored, ["features"], target, "prediction")
 
 
 def frozen_refit(
     panel: DataFrame, date: str, features: Sequence[str], target: str, alpha: float, train_last: int, development_last: int
 ) -> DataFrame:
-    """Per-date metrics on later dates: preprocessing from train, coefficients from train + validation."""
+    """Per-date metrics on later dates: preprocessing from all train rows, coefficients from labeled train + validation."""
+    features = list(features)
     rows = blocks.settled(panel.select("stock_id", date, target, *features))
-    prep = panel_models.fit_preprocessing(rows.where(F.col(date) <= train_last), features)
-    model = panel_models.fit_panel_ridge(rows.where(F.col(date) <= development_last), target, alpha, prep)
-    held = rows.where(F.col(date) > development_last)
-    return stats.predictive_metrics(model.predict(held), [date], target, "prediction")
+    part = (F.col(date) > train_last).cast("int") + (F.col(date) > development_last).cast("int")
+    medians = panel_models.feature_medians(rows.where(F.col(date) <= train_last), features)
+    sums = panel_models.PanelMoments(rows.where(F.col(date) <= development_last), part, features, target, medians[()])
+    case = panel_models.RidgeCase("frozen", (0, 1), float(alpha), (), prep=(0,), unlabeled=True)
+    models = panel_models.fit_panel_ridges(sums, [case], medians)
+    held = models.predict(rows.where(F.col(date) > development_last), {0: [0]})
+    return stats.predictive_metrics(held, [date], target, "prediction")
