@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import book as book_checks
 from checks import linear
-from checks.inputs import AUCTION, auction_panel, snapshots
+from checks.book import TRIMMED_SQL
+from checks.inputs import AUCTION, BOOK, auction_panel, snapshots
 from checks.panel import ALL_NAMES, FEATURE_SQL, ROW_SQL
 from checks.shape import emit, sql
 from checks.snapshot import FOLDS, members, test_rows
-from tidebook.operators import classify, closed_form, ml_models, panel, panel_models, stats
+from tidebook.operators import blocks, book, classify, closed_form, ml_models, panel, panel_models, stats
 from tidebook.plans import book_study, panel_study
 
 QUERIES, SQL = {}, {}
@@ -89,34 +92,108 @@ def candidate_pick(spark, sf):
 # --- Book ridge over expanding folds, every fold and penalty from one pass -------------------------
 
 ALPHAS = (0.1, 10.0)
-BOOK_FEATURES = ["queue_imbalance_l1", "depth_imbalance_l5", "ofi_900000ms", "spread_ticks"]
-BOOK_TARGETS = ["target_300000ms_ticks", "target_1800000ms_ticks"]
+BOOK_FEATURES = list(book.feature_names(BOOK))
+BOOK_TARGETS = [f"target_{h}ms_ticks" for h in BOOK.horizons_ms]
+ALPHA_OF = dict.fromkeys(BOOK_TARGETS, 1.0)
+ALONE = ["microprice_displacement_ticks", "queue_imbalance_l1"]
+LONG_SQL = "RECURSIVE " + TRIMMED_SQL + f""",
+long AS MATERIALIZED (SELECT *, unnest([{", ".join(f"{{'target': '{t}', 'actual': {t}}}" for t in BOOK_TARGETS)}], recursive := true) FROM trimmed)"""
+CORRELATION = "CASE WHEN stddev_pop(prediction) > 0 AND stddev_pop(actual) > 0 THEN covar_pop(prediction, actual) / (stddev_pop(prediction) * stddev_pop(actual)) END AS correlation"
+ERRORS = f"""count(*) AS rows, avg(abs(actual - prediction)) AS mae, sqrt(avg((actual - prediction) * (actual - prediction))) AS rmse, {CORRELATION},
+    avg(CASE WHEN actual <> 0 THEN (sign(actual) = sign(prediction))::INT END) AS directional_accuracy"""
+
+
+def ranks_sql(source, name, keys):
+    """Rank correlation of (prediction, actual) per keys."""
+    rank = lambda c: f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + (count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2e0"
+    return f"""{name} AS (SELECT {keys}, CASE WHEN count(*) >= 2 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS spearman_ic
+  FROM (SELECT {keys}, {rank("actual")} AS ra, {rank("prediction")} AS rb FROM {source}) GROUP BY {keys})"""
+
+
+BOOK_CV_SQL = (
+    LONG_SQL + """,
+later AS (SELECT session_date, ntile(3) OVER (ORDER BY session_date) AS fold FROM (SELECT DISTINCT session_date FROM trimmed QUALIFY dense_rank() OVER (ORDER BY session_date) > 10)),
+firsts AS (SELECT fold, min(session_date) AS first_date FROM later GROUP BY fold),
+fitted AS MATERIALIZED (SELECT fold || '/' || target AS fit, l.* FROM long l JOIN firsts ON session_date < first_date),"""
+    + linear.scaled_ridge("fitted", BOOK_FEATURES, "actual", ALPHAS)
+    + f""", scored AS MATERIALIZED (SELECT fold, target, alpha, session_date, actual, {linear.scaled_prediction(BOOK_FEATURES)} AS prediction FROM long JOIN later USING (session_date) JOIN coefs ON coefs.fit = fold || '/' || target),
+{ranks_sql("scored", "daily", "fold, target, alpha, session_date")},
+result AS (SELECT * FROM (SELECT fold, target, alpha, {ERRORS} FROM scored GROUP BY ALL) JOIN (SELECT fold, target, alpha, avg(spearman_ic) AS mean_daily_ic FROM daily GROUP BY ALL) USING (fold, target, alpha)),
+summary AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY mean_daily_ic DESC NULLS LAST, alpha) = 1 AS chosen FROM (
+  SELECT target, alpha, avg(mean_daily_ic) AS mean_daily_ic, avg(mae) AS mean_mae, avg(rmse) AS mean_rmse, avg(correlation) AS mean_correlation, avg(directional_accuracy) AS mean_directional_accuracy, count(*) AS folds FROM result GROUP BY ALL))"""
+)
 
 
-@query("book_ridge_cv")
-def book_ridge_cv(spark, sf):
+def book_cv(spark, sf):
     table = book_checks.decision_table(spark, sf)
-    scores = book_study.ridge_cross_validation(
-        table, "session_date", BOOK_FEATURES, BOOK_TARGETS, ALPHAS, skip=10, folds=3
-    )
-    return emit(scores)
+    return book_study.ridge_cross_validation(table, "session_date", BOOK_FEATURES, BOOK_TARGETS, ALPHAS, skip=10, folds=3)
 
 
-@query("book_cv_summary")
+@query("book_ridge_cv", sql(BOOK_CV_SQL, "fold:i target:s alpha:d rows:i mae:d rmse:d correlation:d directional_accuracy:d mean_daily_ic:d", places=5))
+def book_ridge_cv(spark, sf):
+    return emit(book_cv(spark, sf), 5)
+
+
+@query("book_cv_summary", sql(BOOK_CV_SQL, "target:s alpha:d mean_daily_ic:d mean_mae:d mean_rmse:d mean_correlation:d mean_directional_accuracy:d folds:i chosen:b", "summary", 5))
 def book_cv_summary(spark, sf):
+    return emit(book_study.cv_summary(book_cv(spark, sf)), 5)
+
+
+def split_sql(fits):
+    """daily(split, session_date, target, model, ...) of models fitted on each (name, split list, scored split list)."""
+    chosen = " UNION ALL ".join(f"SELECT '{name}/' || target AS fit, '{name}' AS stage, l.* FROM long l WHERE split IN ({train})" for name, train, _ in fits)
+    held = " UNION ALL ".join(f"SELECT '{name}' AS stage, l.* FROM long l WHERE split IN ({score})" for name, _, score in fits)
+    single = ", ".join(f"regr_slope(actual, {f}) AS slope_{f}, regr_intercept(actual, {f}) AS base_{f}" for f in ALONE)
+    cases = ", ".join([
+        f"{{'model': 'ridge', 'prediction': {linear.scaled_prediction(BOOK_FEATURES)}}}",
+        "{'model': 'zero', 'prediction': 0e0}",
+        *[f"{{'model': 'only_{f}', 'prediction': base_{f} + slope_{f} * {f}}}" for f in ALONE],
+    ])
+    keys = "split, session_date, target, model"
+    return LONG_SQL + f""",
+fitted AS MATERIALIZED ({chosen}),
+{linear.scaled_ridge("fitted", BOOK_FEATURES, "actual", [1.0])},
+alone AS (SELECT fit, {single} FROM fitted GROUP BY fit),
+scored AS MATERIALIZED (SELECT split, session_date, target, actual, unnest([{cases}], recursive := true) FROM ({held}) h JOIN coefs ON coefs.fit = stage || '/' || target JOIN alone ON alone.fit = coefs.fit),
+{ranks_sql("scored", "ranks", keys)},
+daily AS (SELECT * FROM (SELECT {keys}, {ERRORS} FROM scored GROUP BY {keys}) JOIN ranks USING ({keys})),
+means AS (SELECT split, target, model, count(*) AS sessions, sum(rows) AS rows, avg(spearman_ic) AS mean_daily_ic, avg(mae) AS mean_mae, avg(directional_accuracy) AS mean_directional_accuracy FROM daily GROUP BY ALL)"""
+
+
+TRAIN, DEVELOPMENT = "'train'", "'train', 'validation'"
+SPLIT_SQL = split_sql([("train", TRAIN, "'validation', 'holdout'")])
+
+
+def book_daily(spark, sf):
     table = book_checks.decision_table(spark, sf)
-    scores = book_study.ridge_cross_validation(
-        table, "session_date", BOOK_FEATURES, BOOK_TARGETS, ALPHAS, skip=10, folds=3
-    )
-    return emit(book_study.cv_summary(scores))
+    return book_study.split_scores(table, "session_date", BOOK_FEATURES, BOOK_TARGETS, ALPHA_OF, ALONE)
 
 
-@query("book_split_scores")
+@query("book_split_scores", sql(SPLIT_SQL, "split:s session_date:s target:s model:s rows:i mae:d rmse:d correlation:d directional_accuracy:d spearman_ic:d", "daily", 5))
 def book_split_scores(spark, sf):
+    return emit(book_daily(spark, sf), 5)
+
+
+HORIZON_SQL = SPLIT_SQL + """,
+horizons AS (SELECT * EXCLUDE (split), model = 'ridge' AND row_number() OVER (PARTITION BY model ORDER BY mean_daily_ic DESC NULLS LAST, regexp_extract(target, '[0-9]+')::BIGINT) = 1 AS chosen FROM means WHERE split = 'validation')"""
+
+
+@query("book_horizon_summary", sql(HORIZON_SQL, "target:s model:s sessions:i rows:i mean_daily_ic:d mean_mae:d mean_directional_accuracy:d chosen:b", "horizons", 5))
+def book_horizon_summary(spark, sf):
+    return emit(book_study.horizon_summary(book_daily(spark, sf).where("split = 'validation'")), 5)
+
+
+GAPS = ("mean_daily_ic", "mean_mae", "mean_directional_accuracy")
+GAP_SQL = split_sql([("train", TRAIN, "'validation'"), ("development", DEVELOPMENT, "'holdout'")]) + f""",
+gaps AS (SELECT target, model, {", ".join(f"d.{c} AS development_{c}, h.{c} AS holdout_{c}, d.{c} - h.{c} AS gap_{c}" for c in GAPS)}
+  FROM (SELECT * FROM means WHERE split = 'validation') d JOIN (SELECT * FROM means WHERE split = 'holdout') h USING (target, model))"""
+
+
+@query("book_holdout_gap", sql(GAP_SQL, "target:s model:s " + " ".join(f"{k}_{c}:d" for c in GAPS for k in ("development", "holdout", "gap")), "gaps", 5))
+def book_holdout_gap(spark, sf):
     table = book_checks.decision_table(spark, sf)
-    return emit(
-        book_study.split_scores(table, "session_date", BOOK_FEATURES, BOOK_TARGETS[0], 1.0, ["queue_imbalance_l1", "spread_ticks"])
-    )
+    path = f"{blocks.shared_folder(table).rstrip('/')}/models-{uuid.uuid4().hex}"
+    return emit(book_study.holdout_gap(table, "session_date", BOOK_FEATURES, BOOK_TARGETS, ALPHA_OF, ALONE, path), 5)
 
 
 # --- Panel ridge -----------------------------------------------------------------------------------

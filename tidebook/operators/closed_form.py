@@ -184,7 +184,9 @@ def ridge_from_gram(gram: np.ndarray, features: Sequence[int], target: int, alph
     _, _, shift = _standardised(sub, sub[-1, -1], len(features), 1e-12)
     penalty = np.eye(len(take)) * alpha
     penalty[-1, -1] = 0.0
-    beta = np.linalg.solve(shift @ sub @ shift.T + penalty, shift @ gram[take, target])
+    normal, rhs = shift @ sub @ shift.T + penalty, shift @ gram[take, target]
+    # without a penalty a constant feature leaves the system singular; the shortest solution gives it 0
+    beta = np.linalg.solve(normal, rhs) if alpha else np.linalg.lstsq(normal, rhs, rcond=None)[0]
     raw = shift.T @ beta
     return raw[:-1], float(raw[-1])
 
