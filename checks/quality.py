@@ -183,6 +183,14 @@ FLAWS = {
     "near_price": "CASE WHEN stock_id % 41 = 8 AND seconds_in_bucket = 130 THEN -5 ELSE near_price END",
     "time_id": "CASE WHEN stock_id % 43 = 9 AND seconds_in_bucket = 140 THEN 7 ELSE time_id END",
 }
+#: Values that no typed column of the panel has: infinite and not-a-number prices, a fraction for a whole number, no row_id.
+ODD = FLAWS | {
+    "wap": "CASE WHEN stock_id % 47 = 10 AND seconds_in_bucket = 150 THEN CAST('Infinity' AS DOUBLE) ELSE wap END",
+    "far_price": "CASE WHEN stock_id % 53 = 11 AND seconds_in_bucket = 310 THEN CAST('NaN' AS DOUBLE) ELSE far_price END",
+    "target": "CASE WHEN stock_id % 59 = 12 AND seconds_in_bucket = 160 THEN CAST('NaN' AS DOUBLE) WHEN stock_id % 61 = 13 AND seconds_in_bucket = 170 THEN CAST('-Infinity' AS DOUBLE) ELSE target END",
+    "imbalance_buy_sell_flag": "CASE WHEN stock_id % 29 = 3 AND seconds_in_bucket = 50 THEN 2 WHEN stock_id % 67 = 14 AND seconds_in_bucket = 180 THEN CAST(0.5 AS DOUBLE) ELSE CAST(imbalance_buy_sell_flag AS DOUBLE) END",
+    "row_id": "CASE WHEN stock_id % 71 = 15 AND seconds_in_bucket = 190 THEN NULL ELSE row_id END",
+}
 NAMES = [
     "stock_id", "date_id", "seconds_in_bucket", "imbalance_size", "imbalance_buy_sell_flag", "reference_price",
     "matched_size", "far_price", "near_price", "bid_price", "bid_size", "ask_price", "ask_size", "wap", "target",
@@ -193,20 +201,24 @@ PANEL_FLAWED_SQL = PANEL_SQL + ", bent AS (SELECT " + ", ".join(
 ) + " FROM panel)"
 
 
-def bent_panel(spark, sf):
+def bent_panel(spark, sf, flaws=FLAWS):
     panel = auction_panel(spark, sf)
-    return panel.selectExpr(*[f"{FLAWS[n]} AS {n}" if n in FLAWS else n for n in NAMES])
+    return panel.selectExpr(*[f"{flaws[n]} AS {n}" if n in flaws else n for n in NAMES])
 
 
-ROW_RULES_SQL = PANEL_FLAWED_SQL + """,
+FINITE = [n for n in NAMES if n not in ("far_price", "near_price", "target", "row_id")]
+ROW_RULES_SQL = PANEL_SQL + ", bent AS (SELECT " + ", ".join(f"{ODD[n]} AS {n}" if n in ODD else n for n in NAMES) + " FROM panel)" + f""",
 marks AS (SELECT
+    {" OR ".join(f"{n} IS NULL OR NOT isfinite({n}::DOUBLE)" for n in FINITE)} AS not_finite,
+    {" OR ".join(f"coalesce({n}::DOUBLE <> floor({n}::DOUBLE), false)" for n in panel_quality.INTEGERS)} AS not_integral,
+    row_id IS NULL AS missing_row_id, coalesce(NOT isfinite(target), false) AS target_not_finite,
     imbalance_buy_sell_flag NOT IN (-1, 0, 1) AS flag_domain,
     seconds_in_bucket < 0 OR seconds_in_bucket >= 600 OR seconds_in_bucket % 10 <> 0 AS second_grid,
     stock_id < 0 OR date_id < 0 OR time_id < 0 AS negative_id,
     bid_size <= 0 OR ask_size <= 0 AS quote_size,
     imbalance_size < 0 OR matched_size < 0 AS auction_size,
     reference_price <= 0 OR bid_price <= 0 OR ask_price <= 0 OR wap <= 0 AS price_sign,
-    coalesce(near_price <= 0, false) OR coalesce(far_price <= 0, false) AS optional_price,
+    coalesce(near_price <= 0 OR NOT isfinite(near_price), false) OR coalesce(far_price <= 0 OR NOT isfinite(far_price), false) AS optional_price,
     ask_price < bid_price AS crossed_quote, wap < bid_price OR wap > ask_price AS wap_outside,
     row_id <> date_id || '_' || seconds_in_bucket || '_' || stock_id AS row_id_text
   FROM bent),
@@ -215,9 +227,7 @@ result AS (SELECT rule, coalesce(sum(bad::INT), 0) AS failures FROM (UNPIVOT mar
 
 @query("panel_row_rules", sql(ROW_RULES_SQL, "rule:s failures:i"))
 def panel_row_rules(spark, sf):
-    counts = panel_quality.row_rule_counts(bent_panel(spark, sf))
-    # Finiteness and integrality cannot fail on typed columns; the rest is compared.
-    return emit(counts.where("rule NOT IN ('not_finite', 'not_integral', 'target_not_finite', 'missing_row_id')"))
+    return emit(panel_quality.row_rule_counts(bent_panel(spark, sf, ODD)))
 
 
 SET_RULES_SQL = PANEL_FLAWED_SQL + """,

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
+import numpy as np
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
-from checks.inputs import PANEL_SQL, auction_panel, snapshots, SNAP_SQL, table
+from checks.inputs import BOOK_SQL, PANEL_SQL, SESSION, SNAP_SQL, auction_panel, book_events, snapshots, table
 from checks.shape import emit, sql
-from tidebook.operators import blocks
-from tidebook.operators.sessions import split_of
+from checks.snapshot import MEMBERS_SQL, members
+from tidebook.operators import blocks, quality
+from tidebook.operators.panel_quality import PANEL_COLUMNS
+from tidebook.operators.sessions import in_session, local_date, split_of
 from tidebook.params import SplitRange
 from tidebook.sources import files, sinks
 
@@ -149,3 +155,128 @@ def primary_labels(spark, sf):
     return emit(
         snapshots(spark, sf).groupBy(files.primary_label(3).alias("label")).agg(F.count("*").alias("rows"))
     )
+
+
+# --- Text written and read again -------------------------------------------------------------------
+
+
+def text_files(rows, by, lines_of, folder):
+    """One text file for each key in the shared folder, named and filled by lines_of; returns the number of files."""
+
+    def write(pdf):
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name, text = lines_of(pdf)
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+            out.write(gzip.compress(text.encode()) if name.endswith(".gz") else text.encode())
+        return pd.DataFrame({"name": [name]})
+
+    return rows.groupBy(*by).applyInPandas(write, "name string").count()
+
+
+BOOK_TEXT_SQL = BOOK_SQL + """, utc AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM book),
+result AS (SELECT day AS session_date, count(*) AS rows, sum(sequence) AS sequences, sum(size) AS size, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns,
+    sum(bid_px[1]) AS bid, sum(ask_px[10]) AS ask, sum(bid_sz[10]) AS depth, count_if(action = 'T') AS trades FROM utc GROUP BY day)"""
+
+
+@query("book_csv_round_trip", sql(BOOK_TEXT_SQL, "session_date:s rows:i sequences:i size:d first_ns:i last_ns:i bid:d ask:d depth:d trades:i"))
+def book_csv_round_trip(spark, sf):
+    """A file a day, every second one compressed, every third one with its columns in another order, next to side files."""
+    base = book_events(spark, sf)
+    ladders = {"bid_px": "bid_px", "ask_px": "ask_px", "bid_sz": "bid_sz", "ask_sz": "ask_sz", "bid_ct": "bid_sz", "ask_ct": "ask_sz"}
+    stamp = lambda c: F.concat(F.date_format(F.timestamp_micros(F.expr(f"{c} div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
+    wide = base.select(
+        stamp("ts_ns").alias("ts_recv"), stamp("ts_event_ns").alias("ts_event"), "action", "side", "sequence", F.element_at("bid_px", 1).alias("price"), "size", "symbol",
+        *[F.element_at(ladders[c.rsplit("_", 1)[0]], int(c.rsplit("_", 1)[1]) + 1).alias(c) for c in quality.required_columns()[7:]],
+    )
+
+    def lines_of(pdf):
+        day = pdf["ts_recv"].iloc[0][:10]
+        k = int(day.replace("-", ""))
+        pdf = pdf.sort_values("sequence")
+        text = (pdf[pdf.columns[::-1]] if k % 3 == 0 else pdf).to_csv(index=False)
+        return f"book-{day}.csv" + (".gz" if k % 2 else ""), text
+
+    folder = fresh_path(wide, "book-text")
+    text_files(wide, [F.substring("ts_recv", 1, 10)], lines_of, folder)
+    text_files(wide.limit(1), ["symbol"], lambda pdf: ("book-2024-01-01_definition.csv", "not,a,book\n"), folder)
+    back = files.read_book_csv(spark, folder)
+    return emit(
+        back.groupBy("session_date").agg(
+            F.count("*").alias("rows"), F.sum("sequence").alias("sequences"), F.sum("size").alias("size"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
+            F.sum(F.element_at("bid_px", 1)).alias("bid"), F.sum(F.element_at("ask_px", 10)).alias("ask"), F.sum(F.element_at("bid_sz", 10)).alias("depth"), F.count_if(F.col("action") == "T").alias("trades"),
+        )
+    )
+
+
+@query(
+    "panel_csv_round_trip",
+    sql(
+        PANEL_SQL + """, result AS (SELECT date_id, count(*) AS rows, sum(target) AS target, sum(stock_id) AS stocks, count(near_price) AS near, sum(wap) AS wap, 0 AS hidden FROM panel GROUP BY 1)""",
+        "date_id:i rows:i target:d stocks:i near:i wap:d hidden:i", places=4,
+    ),
+)
+def panel_csv_round_trip(spark, sf):
+    """The closed panel schema with its target, and without (hidden counts target columns of the blind scan)."""
+    rows = auction_panel(spark, sf)
+    path = fresh_path(rows, "panel-text")
+    sinks.write_table(rows.select(*PANEL_COLUMNS), path, "csv")
+    whole, blind = files.read_panel_csv(spark, path), files.read_panel_csv(spark, path, with_target=False)
+    hidden = sum(c == "target" for c in blind.columns)
+    waps = blind.groupBy("date_id").agg(F.sum("wap").alias("wap"))
+    rest = whole.groupBy("date_id").agg(F.count("*").alias("rows"), F.sum("target").alias("target"), F.sum("stock_id").alias("stocks"), F.count("near_price").alias("near"))
+    return emit(rest.join(waps, "date_id").withColumn("hidden", F.lit(hidden)), 4)
+
+
+@query(
+    "matrix_text_round_trip",
+    sql(
+        MEMBERS_SQL + """, result AS (SELECT fold, split, count(*) AS rows, sum(labels[1]) AS first_label, sum(labels[5]) AS last_label, sum(features[1]::DOUBLE) AS first_feature, sum(features[64]::DOUBLE) AS last_feature, 69 AS height FROM members GROUP BY ALL)""",
+        "fold:i split:s rows:i first_label:i last_label:i first_feature:d last_feature:d height:i", places=4,
+    ),
+)
+def matrix_text_round_trip(spark, sf):
+    """A transposed text file per fold and split, named by both, read back as observations."""
+    rows = members(spark, sf).select("fold", "split", "obs_id", "features", "labels")
+
+    def lines_of(pdf):
+        pdf = pdf.sort_values("obs_id")
+        values = np.vstack([np.stack(pdf["features"].to_numpy()).astype(np.float32).T.astype(object), np.stack(pdf["labels"].to_numpy()).astype(int).T.astype(object)])
+        kind = "Train" if pdf["split"].iloc[0] == "train" else "Test"
+        return f"{kind}_Dst_NoAuction_ZScore_CF_{pdf['fold'].iloc[0]}.txt", "".join("  ".join(map(str, line)) + "\n" for line in values)
+
+    folder = fresh_path(rows, "matrix-text")
+    text_files(rows, ["fold", "split"], lines_of, folder)
+    back = files.read_matrix_text(spark, folder, features=64, labels=5)
+    value = lambda c, i: F.sum(F.element_at(c, i).cast("double"))
+    return emit(
+        back.groupBy("fold", "split").agg(
+            F.count("*").alias("rows"), F.sum(F.element_at("labels", 1)).alias("first_label"), F.sum(F.element_at("labels", 5)).alias("last_label"),
+            value("features", 1).alias("first_feature"), value("features", 64).alias("last_feature"), F.max("height").alias("height"),
+        ), 4,
+    )
+
+
+@query(
+    "session_batch",
+    sql(
+        BOOK_SQL + """, result AS (SELECT CASE WHEN session_date <= DATE '2024-01-15' THEN 'train' WHEN session_date <= DATE '2024-01-22' THEN 'validation' ELSE 'holdout' END AS split, session_date, count(*) AS rows, sum(sequence) AS sequences
+  FROM sess WHERE session_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY ALL)""",
+        "split:s session_date:s rows:i sequences:i",
+    ),
+)
+def session_batch(spark, sf):
+    """All sessions in two runs: the first sees the earlier half of them, and an attempt that died has left a wrong folder
+    for a session that only the second commits. What is read back has been compared with the catalog."""
+    events = book_events(spark, sf)
+    dated = events.withColumn("session_date", local_date("ts_ns", SESSION.zone).cast("string"))
+    splits = [SplitRange("train", "2024-01-01", "2024-01-15"), SplitRange("validation", "2024-01-16", "2024-01-22"), SplitRange("holdout", "2024-01-23", "2024-01-31")]
+    split, path = split_of(F.col("session_date"), splits), fresh_path(events, "batch")
+    process = lambda rows: in_session(rows.drop("session_date"), SESSION).select("session_date", "symbol", "sequence", "ts_ns", "size")
+    sinks.process_sessions(dated.where("session_date <= '2024-01-12'"), path, process, split)
+    left = process(dated.where("session_date = '2024-01-18'")).withColumns({"split": F.lit("validation"), "size": F.lit(-1)})
+    sinks.write_partitions(left, f"{path}/sessions", ["split", "session_date"])
+    listed = sinks.process_sessions(dated, path, process, split)
+    parts = [files.read_cataloged(spark, f"{path}/sessions", listed.where("rows > 0"), s.name, ["session_date"]) for s in splits]
+    back = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("size > 0")
+    return emit(back.groupBy("split", F.col("session_date").cast("string").alias("session_date")).agg(F.count("*").alias("rows"), F.sum("sequence").alias("sequences")))

@@ -34,14 +34,18 @@ def feature_ic(
 def quantile_edges(
     df: DataFrame, value: str, bins: int, keys: Sequence[str] = (), open_ends: bool = True, limit: int | None = None
 ) -> DataFrame:
-    """Distinct inner bin edges per key. With open ends an edge equal to the minimum still counts."""
+    """Distinct inner bin edges per key. With open ends an edge equal to the minimum still counts.
+
+    A key with fewer than two bins (no inner edge) stops the job when its row is read.
+    """
     points = [i / bins for i in range(bins + 1)]
     found = order_stats.quantiles(df, keys, value, points, "_q", limit)
     inner = F.array_distinct(F.slice("_q", 2, bins - 1))
     if not open_ends:
         low, high = F.element_at("_q", 1), F.element_at("_q", -1)
         inner = F.filter(inner, lambda e: (e > low) & (e < high))
-    return found.select(*keys, inner.alias("edges"))
+    few = F.raise_error(F.lit(f"{value}: fewer than three distinct quantile edges")).cast("array<double>")
+    return found.select(*keys, inner.alias("edges")).withColumn("edges", F.when(F.size("edges") > 0, F.col("edges")).otherwise(few))
 
 
 def bin_of(value: Column, edges: Column) -> Column:

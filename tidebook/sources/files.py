@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,11 +74,23 @@ def arrival_order() -> Column:
     return (start * F.lit(10**10).cast("decimal(11,0)") + within).cast("decimal(31,0)")
 
 
+#: Headers read at the same time.
+READERS = 16
+
+
+def header_lines(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, ...]]:
+    """Column names of each CSV file. Spark takes one line for them, so a file of any size costs its first block's start;
+    the small jobs of several files run side by side."""
+    plain = lambda names: tuple(n.lstrip("\ufeff").strip() for n in names)
+    with ThreadPoolExecutor(READERS) as pool:
+        return list(pool.map(lambda path: plain(spark.read.option("header", True).csv(path).columns), paths))
+
+
 def read_book_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Canonical book events of every daily file below `path`; two files of one session stop the read.
 
-    Each file's own header names its columns: files are grouped by header line, so one with its columns in another
-    order is read by name. Side files are left out before any header is looked at. Everything is read as text and
+    Each file's own header names its columns: files are grouped by header, so one with its columns in another order is
+    read by name. Side files are left out before any header is looked at. Everything is read as text and
     coerced, so bad cells become NULL instead of failing the scan. A gzip file is one task; sessions are spread again by
     the first shuffle that follows.
     """
@@ -87,14 +100,12 @@ def read_book_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
     paths = sorted(r.path for r in daily.select("path").collect())  # one name a session
     if not paths:
         raise ValueError(f"no daily files below {path}")
-    first = F.struct(arrival_order().alias("ord"), "value")
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), first.alias("line"))
-    headers: dict[str, list[str]] = {}
-    for r in lines.groupBy("file").agg(F.min("line.ord").alias("ord"), F.min("line").alias("line")).collect():
-        headers.setdefault(r.line.value, []).append(r.file)
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for name, header in zip(paths, header_lines(spark, paths)):
+        headers.setdefault(header, []).append(name)
     parts = []
     for header, files in sorted(headers.items()):
-        names = [c.strip().strip('"') for c in header.lstrip("\ufeff").split(",")]
+        names = list(header)
         wanted = columns or [*quality.required_columns(), *[c for c in ("symbol",) if c in names]]
         require_columns(names, [c for c in wanted if c != "symbol"], "book")
         schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
@@ -197,6 +208,19 @@ def read_prepared(spark: SparkSession, path: str, split: str | None = None, colu
     return rows.select(*columns) if columns else rows
 
 
+def read_cataloged(spark: SparkSession, path: str, catalog: DataFrame, split: str, keys: Sequence[str]) -> DataFrame:
+    """Rows of one split, after its partitions have been compared with the catalog: each partition that is listed is
+    there with as many rows, and no other one is. Counting reads no column but the keys, which are folder names."""
+    rows = read_prepared(spark, path, split)
+    keys = list(keys)
+    listed = catalog.where(F.col("split") == split).select(*keys, F.col("rows").alias("_listed"))
+    found = rows.groupBy(*keys).agg(F.count("*").alias("_found"))
+    apart = listed.join(found, keys, "full").where("NOT (_listed <=> _found)").limit(10).collect()
+    if apart:
+        raise ValueError(f"partitions that differ from the catalog: {[r.asDict() for r in apart]}")
+    return rows
+
+
 def row_count(spark: SparkSession, path: str) -> int:
     """Rows of a Parquet table without reading a column."""
     return spark.read.parquet(path).count()

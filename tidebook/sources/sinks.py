@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.operators import blocks
+
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Parquet, CSV or gzip CSV; Spark's commit makes the output appear whole or not at all."""
@@ -41,6 +44,44 @@ def not_yet_done(sessions: DataFrame, catalog: DataFrame, keys: Sequence[str]) -
     return sessions.join(catalog.select(*keys), list(keys), "left_anti")
 
 
+#: What a catalog of sessions holds.
+CATALOG = "split string, session_date string, rows long, fingerprint long"
+
+
+def committed_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Catalog rows of the sessions whose commit is whole; none where there is no catalog yet."""
+    try:
+        return spark.read.schema(CATALOG).parquet(f"{path}/catalog")
+    except AnalysisException:  # no such folder
+        return spark.createDataFrame([], CATALOG)
+
+
+def process_sessions(events: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], split: Column) -> DataFrame:
+    """Processes every session of `events` that the catalog doesn't list, in one job, and returns the catalog.
+
+    `process` makes a session's rows from its events, keeping session_date; sessions outside every split are left out.
+    Rows are written first, one folder per split and session, replacing what an attempt that died has left there; then
+    they are counted as written, and only then are the sessions' rows appended to the catalog. So a session is in the
+    catalog if and only if its rows are whole, and running again takes up what is missing. A session whose processing
+    gives no row is listed with none.
+    """
+    spark = events.sparkSession
+    dated = events.withColumns({"session_date": F.col("session_date").cast("string"), "split": split}).where("split IS NOT NULL")
+    known = dated.select("split", "session_date").distinct()
+    wanted = blocks.settled(not_yet_done(known, committed_sessions(spark, path), ["session_date"]))
+    if wanted.isEmpty():
+        return committed_sessions(spark, path)
+    todo = dated.join(wanted.select("session_date"), "session_date", "left_semi").drop("split")
+    rows = process(todo).withColumn("session_date", F.col("session_date").cast("string")).join(wanted, "session_date")
+    write_partitions(rows, f"{path}/sessions", ["split", "session_date"])
+    kinds = rows.schema  # partition values are read back as they were written
+    written = spark.read.schema(kinds).parquet(f"{path}/sessions").join(wanted, ["split", "session_date"], "left_semi")
+    counted = wanted.join(catalog(written, ["split", "session_date"]), ["split", "session_date"], "left")
+    entries = counted.select("split", "session_date", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("fingerprint", F.lit(0)).cast("long").alias("fingerprint"))
+    entries.coalesce(1).write.mode("append").parquet(f"{path}/catalog")
+    return committed_sessions(spark, path)
+
+
 def compact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
