@@ -189,10 +189,14 @@ elig AS (SELECT * FROM ready WHERE on_grid AND valid_quotes AND clears_predictio
 sec AS (SELECT rule_id, date_id, time_id, count(*) AS n, CAST(floor(count(*) * any_value(quantile)) AS BIGINT) AS k, count_if(prediction < 0) AS dn, count_if(prediction > 0) AS up FROM elig GROUP BY ALL)"""
 
 
-def ready(spark, sf):
+def forecasts(spark, sf):
     rows = panel.with_row_features(auction_panel(spark, sf), AUCTION).withColumn("prediction", F.expr(PREDICTION))
     keep = ["stock_id", "date_id", "seconds_in_bucket", "time_id", *longshort.QUOTES, "prediction"]
-    return longshort.execution_panel(rows.select(*keep), RULES)
+    return rows.select(*keep)
+
+
+def ready(spark, sf):
+    return longshort.execution_panel(forecasts(spark, sf), RULES)
 
 
 @query(
@@ -227,7 +231,7 @@ funnel AS (SELECT {by}, * EXCLUDE ({by}, insufficient_cross_section_time_ids, on
 
 @query("filter_funnel", sql(funnel_sql(["rule_id"]), "rule_id:i " + " ".join(f"{c}:i" for c in COUNTERS), "funnel"))
 def filter_funnel(spark, sf):
-    return emit(longshort.filter_funnel(ready(spark, sf)))
+    return emit(longshort.filter_funnel(forecasts(spark, sf), RULES))
 
 
 @query(
@@ -239,7 +243,7 @@ def filter_funnel(spark, sf):
     ),
 )
 def summed_funnel(spark, sf):
-    return emit(longshort.summed_funnel(longshort.filter_funnel(ready(spark, sf), ["rule_id", "date_id"]), COUNTERS))
+    return emit(longshort.summed_funnel(longshort.filter_funnel(forecasts(spark, sf), RULES, ["date_id"]), COUNTERS))
 
 
 LEGS_SQL = READY_SQL + """,
