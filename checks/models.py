@@ -12,8 +12,8 @@ from checks.book import TRIMMED_SQL
 from checks.inputs import AUCTION, BOOK, auction_panel, snapshots
 from checks.panel import ALL_NAMES, FEATURE_SQL, ROW_SQL
 from checks.shape import emit, sql
-from checks.snapshot import FOLDS, members, test_rows
-from tidebook.operators import blocks, book, classify, closed_form, ml_models, panel, panel_models, stats
+from checks.snapshot import FOLDS, MEMBERS_SQL, METRIC_COLS, METRIC_CTES, members, test_rows
+from tidebook.operators import blocks, book, classify, closed_form, linear_classifiers, ml_models, panel, panel_models, stats
 from tidebook.plans import book_study, panel_study
 
 QUERIES, SQL = {}, {}
@@ -290,38 +290,113 @@ def family_ablation(spark, sf):
 
 # --- Classifiers -----------------------------------------------------------------------------------
 
-def _metrics(scored):
-    return emit(classify.classification_metrics(scored, ["fold"]))
+WIDTH = 64
+Z = [f"z{i}" for i in range(1, WIDTH + 1)]
+VALUES = [f"features[{i}]::DOUBLE" for i in range(1, WIDTH + 1)]
+#: Scaled features of the train rows with their balanced weights, per fold.
+BALANCED_SQL = MEMBERS_SQL + f""",
+tr AS (SELECT * FROM members WHERE split = 'train'),
+bal AS (SELECT fold, label, sum(count(*)) OVER (PARTITION BY fold) / (count(*) OVER (PARTITION BY fold) * count(*))::DOUBLE AS w FROM tr GROUP BY fold, label),
+prep AS MATERIALIZED (SELECT fold, [{", ".join(f"avg({v})" for v in VALUES)}] AS c, list_transform([{", ".join(f"stddev_pop({v})" for v in VALUES)}], lambda s: CASE WHEN s >= 1e-8 THEN s ELSE 1 END) AS s FROM tr GROUP BY fold),
+std AS MATERIALIZED (SELECT fold, label, w, {", ".join(f"({v} - c[{i}]) / s[{i}] AS z{i}" for i, v in enumerate(VALUES, 1))}, 1e0 AS one, {", ".join(f"(label = {c})::INT::DOUBLE AS y{c}" for c in (1, 2, 3))}
+  FROM tr JOIN prep USING (fold) JOIN bal USING (fold, label))"""
+RIDGE_SQL = (
+    "RECURSIVE " + BALANCED_SQL + f""",
+whole AS MATERIALIZED (SELECT fold, unnest({linear.pairs([*Z, "one", "y1", "y2", "y3"], "w")}) AS p FROM std GROUP BY fold),
+cells AS MATERIALIZED ({linear.mirrored("whole", "fold")}),
+systems AS MATERIALIZED (SELECT fold AS key, i, j, a + CASE WHEN i = j AND i <= {WIDTH} THEN 0.1 ELSE 0 END AS a FROM cells WHERE i <= {WIDTH + 1}),
+{linear.solved("systems", "solution")},
+coefs AS MATERIALIZED (SELECT key AS fold, list(b[1] ORDER BY i) AS b1, list(b[2] ORDER BY i) AS b2, list(b[3] ORDER BY i) AS b3 FROM solution GROUP BY key),
+points AS (SELECT m.fold, m.obs_id, m.label, [{", ".join(f"({v} - c[{i}]) / s[{i}]" for i, v in enumerate(VALUES, 1))}, 1e0] AS z FROM members m JOIN prep USING (fold) WHERE split = 'test'),
+logits AS (SELECT fold, obs_id, label, [list_dot_product(z, b1), list_dot_product(z, b2), list_dot_product(z, b3)] AS z FROM points JOIN coefs USING (fold)),
+said AS (SELECT *, 'ridge' AS spec_id, list_position(p, list_max(p)) AS predicted FROM (SELECT fold, obs_id, label, list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z))))) AS p FROM logits)),
+""" + METRIC_CTES
+)
+FOLD_METRICS = METRIC_COLS.removeprefix("spec_id:s ")
+
 
+def _metrics(scored, keys=("fold",)):
+    return emit(classify.classification_metrics(scored, list(keys)))
 
-@query("balanced_ridge_classifier")
+
+@query("balanced_ridge_classifier", sql(RIDGE_SQL, FOLD_METRICS, "metrics"))
 def balanced_ridge_classifier(spark, sf):
     from tidebook.plans.snapshot_study import balanced_ridge_scores
 
-    scored = balanced_ridge_scores(snapshots(spark, sf), test_rows(spark, sf), "block", FOLDS, 64, 0.1)
+    scored = balanced_ridge_scores(snapshots(spark, sf), test_rows(spark, sf), "block", FOLDS, WIDTH, 0.1)
     return _metrics(scored)
 
 
-def _last_fold(spark, sf):
-    data = members(spark, sf).where("fold = 5")
-    train, test = data.where("split = 'train'"), data.where("split = 'test'")
-    mean, scale = ml_models.scaling(train)
-    return (
-        ml_models.scaled(ml_models.weighted_training(train), mean, scale),
-        ml_models.scaled(test, mean, scale),
-    )
+PENALTIES = {linear_classifiers.SOFTMAX: (1e-3,), linear_classifiers.ONE_VS_REST: (1e-4, 1e-3)}
+
+
+def linear_table(spark, sf, kind):
+    rows = snapshots(spark, sf)
+    return linear_classifiers.fit_table(rows, linear_classifiers.newton_fits(rows, "block", FOLDS, PENALTIES[kind], kind, WIDTH))
+
+
+def linear_scored(spark, sf, kind):
+    return linear_classifiers.probabilities(test_rows(spark, sf), linear_table(spark, sf, kind), kind)
 
 
 @query("softmax_classifier")
 def softmax_classifier(spark, sf):
-    train, test = _last_fold(spark, sf)
-    return _metrics(ml_models.class_probabilities(ml_models.softmax_classifier(iterations=20).fit(train), test))
+    return _metrics(linear_scored(spark, sf, linear_classifiers.SOFTMAX), ("fold", "penalty"))
 
 
 @query("one_vs_rest_linear")
 def one_vs_rest_linear(spark, sf):
-    train, test = _last_fold(spark, sf)
-    return _metrics(ml_models.class_probabilities(ml_models.one_vs_rest_linear(0.001, 15).fit(train), test))
+    return _metrics(linear_scored(spark, sf, linear_classifiers.ONE_VS_REST), ("fold", "penalty"))
+
+
+def optimality(spark, sf, kind):
+    """The gradient at the fitted models, from the emitted scores of the train rows by plain aggregates: one row for each
+    fold, penalty, class and feature (65: intercept), and whether its entry is below 1e-7."""
+    table = linear_table(spark, sf, kind)
+    train = members(spark, sf).where("split = 'train'")
+    counts = train.groupBy("fold").agg(*[F.count_if(F.col("label") == c).alias(f"n{c}") for c in (1, 2, 3)], F.count("*").alias("n"))
+    moments = train.select("fold", F.posexplode("features").alias("at", "v")).groupBy("fold", "at").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    moments = moments.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m", "s"))), lambda r: r).alias("moments"))
+    own = F.when(F.col("label") == 1, F.col("n1")).when(F.col("label") == 2, F.col("n2")).otherwise(F.col("n3"))
+    scored = linear_classifiers.probabilities(train, table, kind).join(counts, "fold").join(moments, "fold")
+    p = "probabilities" if kind == linear_classifiers.SOFTMAX else "sigmoids"
+    scored = scored.withColumn("sigmoids", F.transform("_z", lambda z: 1 / (1 + F.exp(-z))))
+    z = F.concat(F.zip_with("features", "moments", lambda x, r: (x - r["m"]) / r["s"]), F.array(F.lit(1.0)))
+    entries = scored.select("fold", "penalty", (F.lit(1.0) / (3 * own)).alias("w"), "label", F.posexplode(p).alias("c", "p"), z.alias("z"))
+    residual = F.col("w") * (F.col("p") - (F.col("label") == F.col("c") + 1).cast("double"))
+    loss = entries.select("fold", "penalty", "c", residual.alias("r"), F.posexplode("z").alias("at", "z")).groupBy("fold", "penalty", "c", "at").agg(F.sum(F.col("r") * F.col("z")).alias("g"))
+    betas = table.join(moments, "fold").select("fold", "penalty", F.posexplode(F.array("_w1", "_w2", "_w3")).alias("c", "w"), "moments")
+    betas = betas.select("fold", "penalty", "c", F.posexplode(F.concat(F.zip_with("w", "moments", lambda w, r: w * r["s"]), F.array(F.lit(0.0)))).alias("at", "b"))
+    whole = loss.join(betas, ["fold", "penalty", "c", "at"])
+    return emit(whole.select("fold", (F.col("c") + 1).alias("class"), (F.col("at") + 1).alias("feature"), (F.col("penalty") * 1e6).cast("int").alias("penalty_ppm"), (F.abs(F.col("g") + F.col("penalty") * F.col("b")) < 1e-7).alias("stationary")))
+
+
+def optimality_sql(kind):
+    ppm = ", ".join(str(round(p * 1e6)) for p in PENALTIES[kind])
+    return sql(
+        MEMBERS_SQL + f", result AS (SELECT fold, class, feature, penalty_ppm, true AS stationary FROM (SELECT DISTINCT fold FROM members WHERE split = 'train'), (SELECT unnest([1, 2, 3]) AS class), (SELECT unnest(range(1, {WIDTH + 2})) AS feature), (SELECT unnest([{ppm}]) AS penalty_ppm))",
+        "fold:i class:i feature:i penalty_ppm:i stationary:b",
+    )
+
+
+@query("softmax_optimality", optimality_sql(linear_classifiers.SOFTMAX))
+def softmax_optimality(spark, sf):
+    return optimality(spark, sf, linear_classifiers.SOFTMAX)
+
+
+@query("one_vs_rest_optimality", optimality_sql(linear_classifiers.ONE_VS_REST))
+def one_vs_rest_optimality(spark, sf):
+    return optimality(spark, sf, linear_classifiers.ONE_VS_REST)
+
+
+def _last_fold(spark, sf):
+    data = members(spark, sf).where("fold = 5")
+    train, test = data.where("split = 'train'"), data.where("split = 'test'")
+    mean, scale = ml_models.scaling(train)
+    return (
+        ml_models.scaled(ml_models.weighted_training(train), mean, scale),
+        ml_models.scaled(test, mean, scale),
+    )
 
 
 @query("one_vs_rest_trees")

@@ -126,13 +126,15 @@ PER_CLASS = " UNION ALL ".join(
     f"SELECT spec_id, fold, {c} AS c, '{n}' AS class, count_if(label = {c} AND predicted = {c})::DOUBLE AS hit, count_if(predicted = {c}) AS chosen, count_if(label = {c}) AS support FROM said GROUP BY 1, 2"
     for c, n in ((1, "up"), (2, "stationary"), (3, "down"))
 )
-METRIC_SQL = SCORED_SQL + f""",
+#: Metrics of a table said(spec_id, fold, label, p, predicted).
+METRIC_CTES = f"""
 per AS (SELECT *, CASE WHEN chosen > 0 THEN hit / chosen ELSE 0 END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS recall,
     CASE WHEN chosen + support > 0 THEN 2 * hit / (chosen + support) ELSE 0 END AS f1 FROM ({PER_CLASS})),
 agg AS (SELECT spec_id, fold, avg(f1) AS macro_f1, avg(recall) FILTER (support > 0) AS balanced_accuracy, sum(hit) AS c, sum(support)::DOUBLE AS s,
     sum(chosen * support)::DOUBLE AS pt, sum(chosen * chosen)::DOUBLE AS pp, sum(support * support)::DOUBLE AS tt FROM per GROUP BY 1, 2),
 base AS (SELECT spec_id, fold, count(*) AS observations, avg(-ln(greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, p[label])))) AS log_loss, {CELLS} FROM said GROUP BY 1, 2),
 metrics AS (SELECT *, CASE WHEN (s * s - pp) * (s * s - tt) > 0 THEN (c * s - pt) / sqrt((s * s - pp) * (s * s - tt)) ELSE 0 END AS mcc FROM base JOIN agg USING (spec_id, fold))"""
+METRIC_SQL = SCORED_SQL + "," + METRIC_CTES
 METRIC_COLS = f"spec_id:s fold:i observations:i log_loss:d {CELL_COLS} macro_f1:d balanced_accuracy:d mcc:d"
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.operators import classify, closed_form, ml_models, panel_models, stats
+from tidebook.operators import classify, closed_form, linear_classifiers, ml_models, panel_models, stats
 from tidebook.functions.scalars import one_vs_rest_probabilities
 from tidebook.plans.snapshot_study import balanced_ridge_scores
 
@@ -248,3 +248,40 @@ def test_quantile_bins_cover_every_row(spark):
     df = spark.createDataFrame([(float(i), float(i)) for i in range(100)], "x double, y double")
     table = stats.quantile_table(df, stats.quantile_edges(df, "x", 10), "x", "y")
     assert sorted((r["bin"], r["rows"]) for r in table.collect()) == [(i, 10) for i in range(10)]
+
+
+@pytest.mark.parametrize("kind", [linear_classifiers.SOFTMAX, linear_classifiers.ONE_VS_REST])
+def test_newton_reaches_the_minimum_of_every_fold_and_penalty(spark, kind):
+    rng = np.random.default_rng(12)
+    n, d = 240, 4
+    x = rng.normal([0, 5, -2, 100], [1, 3, 0.1, 20], size=(n, d))
+    y = 1 + np.argmax(x[:, :3] / [1, 3, 0.1] - [0, 5 / 3, -20] + rng.gumbel(size=(n, 3)), axis=1)
+    part = np.arange(n) * 4 // n
+    df = spark.createDataFrame([(int(b), int(c), v.tolist()) for b, c, v in zip(part, y, x)], "block int, label int, features array<double>").repartition(3)
+    fits = linear_classifiers.newton_fits(df, "block", [(1, 2), (2, 3)], [1e-3, 0.1], kind, d)
+    assert [(f.fold, f.penalty) for f in fits] == [(1, 1e-3), (1, 0.1), (2, 1e-3), (2, 0.1)]
+    for f in fits:
+        xt, yt = x[part < f.edge], y[part < f.edge]
+        z = np.column_stack([(xt - xt.mean(0)) / xt.std(0), np.ones(len(xt))])
+        weight = np.array([1 / (3 * (yt == c).sum()) for c in yt])
+        target = np.equal.outer(yt, [1, 2, 3])
+
+        def objective(theta):
+            s = z @ theta.T
+            each = np.logaddexp.reduce(s, axis=1) - s[target] if kind == linear_classifiers.SOFTMAX else (np.logaddexp(0, s) - s * target).sum(1)
+            return weight @ each + f.penalty / 2 * (theta[:, :-1] ** 2).sum()
+
+        best = objective(f.theta)
+        assert f.gradient <= linear_classifiers.TOLERANCE and f.loss == pytest.approx(best)
+        assert all(objective(f.theta + 1e-3 * rng.normal(size=f.theta.shape)) > best for _ in range(20))
+    table = linear_classifiers.fit_table(df, fits)
+    scored = linear_classifiers.probabilities(df.withColumn("fold", F.lit(2)), table, kind)
+    p = np.array([r[0] for r in scored.select("probabilities").collect()])
+    np.testing.assert_allclose(p.sum(1), 1.0)
+    assert len(p) == 2 * n
+
+
+def test_separable_classes_converge(spark):
+    df = spark.createDataFrame([(0, c, [float(c), float(i % 3)]) for i in range(30) for c in (1, 3)], "block int, label int, features array<double>")
+    fits = linear_classifiers.newton_fits(df, "block", [(1, 1)], [1e-3], linear_classifiers.ONE_VS_REST, 2)
+    assert fits[0].gradient <= linear_classifiers.TOLERANCE
