@@ -1,4 +1,4 @@
-"""Fitted models: one-feature baselines, ridge by additive Gram matrices, panel ridge, Spark ML."""
+"""Fitted models: one-feature baselines, ridge by additive sums, linear classifiers, boosted trees."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from checks import book as book_checks
 from checks import linear
 from checks.book import TRIMMED_SQL
-from checks.inputs import AUCTION, BOOK, auction_panel, snapshots
+from checks.inputs import AUCTION, BOOK, PANEL_SQL, auction_panel, snapshots
 from checks.panel import ALL_NAMES, FEATURE_SQL, ROW_SQL
 from checks.shape import emit, sql
 from checks.snapshot import FOLDS, MEMBERS_SQL, METRIC_COLS, METRIC_CTES, members, test_rows
-from tidebook.operators import blocks, book, classify, closed_form, linear_classifiers, ml_models, panel, panel_models, stats
-from tidebook.plans import book_study, panel_study
+from checks.snapshot import scored as snapshot_scored
+from tidebook.operators import blocks, book, boosting, classify, closed_form, linear_classifiers, panel, panel_models, stats
+from tidebook.plans import book_study, panel_study, snapshot_study
 
 QUERIES, SQL = {}, {}
 
@@ -321,9 +322,7 @@ def _metrics(scored, keys=("fold",)):
 
 @query("balanced_ridge_classifier", sql(RIDGE_SQL, FOLD_METRICS, "metrics"))
 def balanced_ridge_classifier(spark, sf):
-    from tidebook.plans.snapshot_study import balanced_ridge_scores
-
-    scored = balanced_ridge_scores(snapshots(spark, sf), test_rows(spark, sf), "block", FOLDS, WIDTH, 0.1)
+    scored = snapshot_study.balanced_ridge_scores(snapshots(spark, sf), test_rows(spark, sf), "block", FOLDS, WIDTH, 0.1)
     return _metrics(scored)
 
 
@@ -389,31 +388,50 @@ def one_vs_rest_optimality(spark, sf):
     return optimality(spark, sf, linear_classifiers.ONE_VS_REST)
 
 
-def _last_fold(spark, sf):
-    data = members(spark, sf).where("fold = 5")
-    train, test = data.where("split = 'train'"), data.where("split = 'test'")
-    mean, scale = ml_models.scaling(train)
-    return (
-        ml_models.scaled(ml_models.weighted_training(train), mean, scale),
-        ml_models.scaled(test, mean, scale),
-    )
+TREES = boosting.TreeParams(rounds=15, step=0.2, depth=3, bins=32)
+
+
+def tree_scored(spark, sf):
+    return snapshot_study.boosted_class_scores(snapshots(spark, sf), "block", FOLDS, WIDTH, TREES, ["obs_id"])
 
 
 @query("one_vs_rest_trees")
 def one_vs_rest_trees(spark, sf):
-    train, test = _last_fold(spark, sf)
-    return _metrics(ml_models.class_probabilities(ml_models.one_vs_rest_trees(0.1, 4, 3).fit(train), test))
+    """A tree per class and round on shared softmax gradients, all five folds."""
+    return _metrics(tree_scored(spark, sf))
+
+
+@query("full_candidate_ranking")
+def full_candidate_ranking(spark, sf):
+    """Every family of the snapshot study in one ranking."""
+    named = lambda df, spec, complexity: df.select(F.lit(spec).alias("spec_id") if isinstance(spec, str) else spec, F.lit(complexity).alias("complexity"), "fold", "label", "probabilities")
+    of_penalty = lambda name: F.concat(F.lit(f"{name}(penalty="), F.col("penalty").cast("string"), F.lit(")"))
+    ridge = snapshot_study.balanced_ridge_scores(snapshots(spark, sf), test_rows(spark, sf), "block", FOLDS, WIDTH, 0.1)
+    parts = [
+        snapshot_scored(spark, sf).select("spec_id", "complexity", "fold", "label", "probabilities"),
+        named(ridge, "ridge(alpha=0.1)", 4),
+        *[named(linear_scored(spark, sf, kind), of_penalty(kind).alias("spec_id"), 5) for kind in PENALTIES],
+        named(tree_scored(spark, sf), "boosted_trees(rounds=15)", 6),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return emit(classify.rank_candidates(classify.classification_metrics(every, ["spec_id", "complexity", "fold"])))
 
 
 @query("boosted_regression")
 def boosted_regression(spark, sf):
-    data = stats.labeled_rows(rows(spark, sf)).fillna(0.0, PANEL_FEATURES)
-    train, held = data.where("date_id <= 4"), data.where("date_id > 4")
-    out = None
-    for loss in ("squared", "absolute"):
-        # The supplier count outgrows tree bins, so the stock effect is left to the ridge model.
-        model = ml_models.boosted_regression(PANEL_FEATURES, "target", loss, 0.1, 5, 3, stock=None).fit(train)
-        scored = model.transform(held).withColumn("model", F.lit(f"boosted_{loss}"))
-        part = stats.regression_metrics(scored, ["model", "date_id"], "target", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return emit(out)
+    scored = panel_study.boosted_scores(all_features(spark, sf), "date_id", ALL_NAMES, "target", 4, TREES)
+    return emit(stats.regression_metrics(scored, ["model", "date_id"], "target", "prediction"))
+
+
+LEVEL_SQL = PANEL_SQL + """, counted AS (SELECT stock_id, date_id, coalesce(sum(target) FILTER (date_id <= 4), 0) AS s, count(target) FILTER (date_id <= 4) AS n FROM panel GROUP BY ALL),
+days AS (SELECT date_id, coalesce(sum(sum(s)) OVER w / nullif(sum(sum(n)) OVER w, 0), 0) AS prior FROM counted GROUP BY date_id WINDOW w AS (ORDER BY date_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+result AS (SELECT stock_id, date_id, (coalesce(sum(s) OVER w, 0) + 20 * prior) / (coalesce(sum(n) OVER w, 0) + 20) AS stock_level
+  FROM counted JOIN days USING (date_id) WINDOW w AS (PARTITION BY stock_id ORDER BY date_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query("stock_target_levels", sql(LEVEL_SQL, "stock_id:i date_id:i stock_level:d"))
+def stock_target_levels(spark, sf):
+    leveled = boosting.ordered_target_statistic(auction_panel(spark, sf), "stock_id", "date_id", "target", F.col("date_id") <= 4)
+    return emit(leveled.select("stock_id", "date_id", "stock_level").distinct())

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.operators import classify, closed_form, linear_classifiers, ml_models, panel_models, stats
+from tidebook.operators import classify, closed_form, linear_classifiers, panel_models, stats
 from tidebook.functions.scalars import one_vs_rest_probabilities
 from tidebook.plans.snapshot_study import balanced_ridge_scores
 
@@ -211,21 +211,11 @@ def test_saturated_scores_stay_finite(spark):
     assert got == pytest.approx([0.0, 1.0, 0.0])
 
 
-def test_softmax_learns_and_weights_balance(spark):
+def test_weights_balance(spark):
     x, y = vectors(6, 300)
     y[:120] = 2
-    x[:120, 0] = 3
-    df = frame(spark, x, y)
-    weighed = classify.class_weights(df, [])
+    weighed = classify.class_weights(frame(spark, x, y), [])
     assert sum(r["weight"] * r["n"] for r in weighed.collect()) == pytest.approx(300)
-    mean, scale = ml_models.scaling(df)
-    np.testing.assert_allclose(scale, x.std(0), rtol=1e-6)
-    train = ml_models.scaled(ml_models.weighted_training(df), mean, scale)
-    for estimator in (ml_models.softmax_classifier(iterations=20), ml_models.one_vs_rest_linear(0.01, 20)):
-        scored = ml_models.class_probabilities(estimator.fit(train), train)
-        p = np.array([r[0] for r in scored.select("probabilities").collect()])
-        np.testing.assert_allclose(p.sum(1), 1.0)
-        assert classify.classification_metrics(scored.withColumn("k", F.lit(1)), ["k"]).first()["macro_f1"] > 0.5
 
 
 def test_bootstrap_is_deterministic_and_covers_the_mean(spark):

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.functions.scalars import nan_to_null
 from tidebook.operators import folds as chronological
-from tidebook.operators import blocks, panel_models, stats
+from tidebook.operators import blocks, boosting, order_stats, panel_models, stats
 from tidebook.operators.panel import families
 from tidebook.params import AuctionParams
 
@@ -101,3 +102,32 @@ def frozen_refit(
     models = panel_models.fit_panel_ridges(sums, [case], medians)
     held = models.predict(rows.where(F.col(date) > development_last), {0: [0]})
     return stats.predictive_metrics(held, [date], target, "prediction")
+
+
+def boosted_scores(
+    panel: DataFrame, date: str, features: Sequence[str], target: str, train_last: int, params: boosting.TreeParams
+) -> DataFrame:
+    """(panel columns, model, prediction) of boosted regressions with squared and absolute loss on rows after train_last.
+
+    Missing features are filled with the medians of labeled train rows; the stock enters as the mean target of its
+    earlier train dates.
+    """
+    features = list(features)
+    train = F.col(date) <= train_last
+    leveled = boosting.ordered_target_statistic(panel.select("stock_id", date, target, *features), "stock_id", date, target, train)
+    rows = blocks.settled(stats.labeled_rows(leveled, target))
+    names = [*features, "stock_level"]
+    medians = panel_models.feature_medians(rows.where(train), names)[()]
+    level = order_stats.quantiles(rows.where(train), [], target, [0.5]).first()["q"][0]
+    y = F.col(target)
+    size = rows.where(train).agg(F.avg(y).alias("mean"), F.avg(F.abs(y - F.lit(level))).alias("away")).first()
+    models = [
+        boosting.Boosted("boosted_squared", 1, boosting.SQUARED, start=size["mean"]),
+        boosting.Boosted("boosted_absolute", 1, boosting.ABSOLUTE, start=level, unit=max(size["away"], 1e-9)),
+    ]
+    filled = F.array(*[F.coalesce(nan_to_null(F.col(f).cast("double")), F.lit(float(m))) for f, m in zip(names, medians)])
+    table = rows.select("stock_id", date, target, y.alias("y"), F.when(train, 0).otherwise(1).alias("part"), filled.alias("features"))
+    cuts = boosting.cut_points(table.where("part = 0"), "features", len(names), params.bins)
+    grown = boosting.boost(boosting.binned(table, "features", cuts), models, len(names), params)
+    cases = F.array(*[F.struct(F.lit(m.name).alias("model"), F.get("scores", F.lit(i)).alias("prediction")) for i, m in enumerate(models)])
+    return grown.where("part = 1").select("stock_id", date, target, F.explode(cases).alias("_c")).select("stock_id", date, target, "_c.*")
