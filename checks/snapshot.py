@@ -40,7 +40,7 @@ def test_rows(spark, sf):
 @query("class_weights", sql(MEMBERS_SQL + """, result AS (SELECT fold, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY fold) / (count(*) OVER (PARTITION BY fold) * count(*))::DOUBLE AS weight
   FROM members WHERE split = 'train' GROUP BY fold, label)""", "fold:i label:i n:i weight:d"))
 def class_weights(spark, sf):
-    return emit(classify.class_weights(members(spark, sf).where("split = 'train'"), ["fold"]))
+    return emit(classify.balanced_weights(folds.fold_label_counts(snapshots(spark, sf), "block", 5, 5), ["fold"]))
 
 
 PRESS = f"""press AS (SELECT *, greatest(-12, least(12, (0.75 * (({" + ".join(f"(features[{4 * i + 4}]::DOUBLE - features[{4 * i + 2}]::DOUBLE) / sqrt({i + 1}e0)" for i in range(10))}) / ({" + ".join(f"1 / sqrt({i}e0)" for i in range(1, 11))}))
@@ -87,7 +87,7 @@ def lda_scored(spark, sf, shrinkage):
 
 def scored(spark, sf):
     rows = test_rows(spark, sf)
-    prior = closed_form.class_prior(members(spark, sf).where("split = 'train'"), ["fold"])
+    prior = closed_form.class_prior(folds.fold_label_counts(snapshots(spark, sf), "block", 5, 5), ["fold"])
     parts = [
         rows.withColumn("probabilities", closed_form.always_stationary()),
         rows.join(F.broadcast(prior), "fold"),  # one row per fold
@@ -289,3 +289,38 @@ def probability_forms(spark, sf):
             one_vs_rest_probabilities(F.col("z"))[0].alias("ovr_up"), top_class(F.col("z")).alias("top"),
         )
     )
+
+
+HELD_SQL = METRIC_SQL + """,
+places AS (SELECT spec_id, avg(macro_f1) AS dev FROM metrics WHERE fold < 5 GROUP BY 1
+  ORDER BY avg(macro_f1) DESC, min(macro_f1) DESC, CASE split_part(spec_id, '(', 1) WHEN 'always_stationary' THEN 0 WHEN 'class_prior' THEN 1 WHEN 'liquidity_pressure' THEN 2 ELSE 3 END, spec_id LIMIT 1),
+held AS (SELECT spec_id, observations, dev AS development_macro_f1, macro_f1 AS holdout_macro_f1, dev - macro_f1 AS gap_macro_f1, balanced_accuracy AS holdout_balanced_accuracy, mcc AS holdout_mcc, log_loss AS holdout_log_loss
+  FROM metrics JOIN places USING (spec_id) WHERE fold = 5)"""
+
+
+@query(
+    "snapshot_held_out",
+    sql(HELD_SQL, "spec_id:s observations:i development_macro_f1:d holdout_macro_f1:d gap_macro_f1:d holdout_balanced_accuracy:d holdout_mcc:d holdout_log_loss:d", "held"),
+)
+def snapshot_held_out(spark, sf):
+    return emit(classify.held_out(scored(spark, sf), 5))
+
+
+UPLIFT_SQL = RANK_SQL + """, lifted AS (SELECT min_by(spec_id, place) FILTER (complexity >= 2) AS spec_id, max(mean_macro_f1) FILTER (complexity >= 2) AS mean_macro_f1,
+  max(mean_macro_f1) FILTER (complexity < 2) AS best_other_mean_macro_f1, max(mean_macro_f1) FILTER (complexity >= 2) - max(mean_macro_f1) FILTER (complexity < 2) AS uplift FROM ranking)"""
+
+
+@query("family_uplift", sql(UPLIFT_SQL, "spec_id:s mean_macro_f1:d best_other_mean_macro_f1:d uplift:d", "lifted"))
+def family_uplift(spark, sf):
+    return emit(classify.uplift_of(ranking(spark, sf), ["liquidity_pressure", "diagonal_lda"]))
+
+
+WINNER_SQL = RANK_SQL + ", " + DIAG_SQL.split("said AS", 1)[1].split(",\n", 1)[1].replace("spec_id = 'liquidity_pressure(temperature=0.1)'", "spec_id = (SELECT spec_id FROM ranking WHERE place = 1)")
+
+
+@query("winner_thresholds", sql(WINNER_SQL, FRONTIER_COLS + " coverage_eligible:b folds:i", "cand"))
+def winner_thresholds(spark, sf):
+    """Threshold candidates of the specification that ranks first."""
+    winner = ranking(spark, sf).where("place = 1").select("spec_id")
+    own = diagnostics(spark, sf).join(F.broadcast(winner), "spec_id", "left_semi")  # one row
+    return emit(classify.threshold_candidates(own, 0.05))

@@ -275,3 +275,22 @@ def test_separable_classes_converge(spark):
     df = spark.createDataFrame([(0, c, [float(c), float(i % 3)]) for i in range(30) for c in (1, 3)], "block int, label int, features array<double>")
     fits = linear_classifiers.newton_fits(df, "block", [(1, 1)], [1e-3], linear_classifiers.ONE_VS_REST, 2)
     assert fits[0].gradient <= linear_classifiers.TOLERANCE
+
+
+def test_invalid_probabilities_stop_every_counter(spark):
+    rows = [("a", 1, 1, 1, [1, 1, 1, 1, 1], [0.2, 0.5, 0.3]), ("a", 1, 1, 1, [1, 1, 1, 1, 1], None)]
+    scored = spark.createDataFrame(rows, "spec_id string, complexity int, fold int, label int, labels array<int>, probabilities array<double>")
+    for run in (
+        lambda: classify.classification_metrics(scored, ["fold"]),
+        lambda: classify.directional_diagnostics(scored, ["fold"], [0.5]),
+        lambda: classify.alternate_horizons(scored, ["fold"]),
+    ):
+        with pytest.raises(Exception, match="no valid probabilities"):
+            run().collect()
+
+
+def test_fewer_than_three_edges_stop(spark):
+    df = spark.createDataFrame([(1.0,), (1.0,)], "x double")
+    assert stats.quantile_edges(df, "x", 4).first()["edges"] == [1.0]  # open ends: three edges with both infinities
+    with pytest.raises(Exception, match="three distinct"):
+        stats.quantile_edges(df, "x", 4, open_ends=False).collect()

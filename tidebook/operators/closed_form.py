@@ -42,10 +42,10 @@ def pressure_probabilities(
     return softmax(F.array(pressure, F.lit(float(stationary)), -pressure))
 
 
-def class_prior(train: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
-    """Class shares per key as a probability array."""
-    share = lambda c: F.count_if(F.col(label) == c) / F.count("*")
-    return train.groupBy(*keys).agg(F.array(*[share(c) for c in CLASSES]).alias("probabilities"))
+def class_prior(counts: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
+    """Class shares per key as a probability array, from counts `n` per key and class."""
+    share = lambda c: F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)) / F.sum("n")
+    return counts.groupBy(*keys).agg(F.array(*[share(c) for c in CLASSES]).alias("probabilities"))
 
 
 # --- Diagonal discriminant -------------------------------------------------------------------------

@@ -80,3 +80,11 @@ def paired_members(
     edge = F.col("fold") + (first_train_blocks - 1)
     role = F.when(F.col(block) < edge, "train").when(F.col(block) == edge, "test")
     return seen.withColumn("split", role).where(F.col("split").isNotNull())
+
+
+def fold_label_counts(snapshots: DataFrame, block: str, first_train_blocks: int, folds: int, label: str = "label") -> DataFrame:
+    """(fold, label, n) of the train members of anchored folds. Rows are counted once, per block; folds add up counts."""
+    counts = snapshots.groupBy(block, label).agg(F.count("*").alias("n"))
+    each = F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold")
+    inside = counts.select(block, label, "n", each).where(F.col(block) < F.col("fold") + (first_train_blocks - 1))
+    return inside.groupBy("fold", label).agg(F.sum("n").alias("n"))
