@@ -232,17 +232,12 @@ def alternate_horizons(spark, sf):
     return emit(classify.alternate_horizons(scored(spark, sf), ["spec_id", "fold"]))
 
 
-FAMILIES = {  # fixed display names and order of the model families
-    "always_stationary": ("Naive stationary", 0),
-    "class_prior": ("Class-prior baseline", 1),
-    "liquidity_pressure": ("Manual liquidity rule", 2),
-    "diagonal_lda": ("Diagonal LDA", 3),
-}
+FAMILIES = ["always_stationary", "class_prior", "liquidity_pressure", "diagonal_lda"]
 RANK_SQL = METRIC_SQL + """,
 spec AS (SELECT spec_id, CASE split_part(spec_id, '(', 1) WHEN 'always_stationary' THEN 0 WHEN 'class_prior' THEN 1 WHEN 'liquidity_pressure' THEN 2 ELSE 3 END AS complexity,
     avg(macro_f1) AS mean_macro_f1, min(macro_f1) AS worst_fold_macro_f1, max(macro_f1) AS best_fold_macro_f1, stddev_pop(macro_f1) AS std_macro_f1, count(*) AS folds FROM metrics GROUP BY 1),
 ranking AS (SELECT *, row_number() OVER (ORDER BY mean_macro_f1 DESC, worst_fold_macro_f1 DESC, complexity, spec_id) AS place FROM spec),
-family AS (SELECT *, CASE complexity WHEN 0 THEN 'Naive stationary' WHEN 1 THEN 'Class-prior baseline' WHEN 2 THEN 'Manual liquidity rule' ELSE 'Diagonal LDA' END AS family, complexity AS family_order
+family AS (SELECT *, split_part(spec_id, '(', 1) AS family, complexity AS family_order
   FROM ranking QUALIFY row_number() OVER (PARTITION BY complexity ORDER BY place) = 1),
 port AS (SELECT spec_id, mean_macro_f1, std_macro_f1, worst_fold_macro_f1, best_fold_macro_f1, bb AS best_baseline_mean_macro_f1, bm AS best_manual_mean_macro_f1, mean_macro_f1 - bb AS uplift_vs_best_baseline
   FROM ranking, (SELECT max(mean_macro_f1) FILTER (complexity <= 1) AS bb, max(mean_macro_f1) FILTER (complexity >= 2) AS bm FROM ranking) WHERE place = 1)"""

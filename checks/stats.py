@@ -200,7 +200,7 @@ def feature_ic_table(spark, sf):
     return emit(ic_table(spark, sf))
 
 
-def bootstrap_sql(source, keys, cluster, value, reps, seed=20260815):
+def bootstrap_sql(source, keys, cluster, value, reps, seed=0):
     by = ", ".join(keys)
     sel = f"{by}, " if keys else ""
     part = f"PARTITION BY {by}" if keys else ""
@@ -329,8 +329,8 @@ def daily_predictive_metrics(spark, sf):
 
 
 REGIME_SQL = SCORED_SQL + """,
-reg AS (SELECT target, prediction, 'time_regime' AS dimension, CASE WHEN time_remaining_seconds <= 120 THEN 'last_120s' WHEN time_remaining_seconds <= 300 THEN '121_to_300s' ELSE 'more_than_300s' END AS regime FROM scored
-  UNION ALL SELECT target, prediction, 'imbalance_regime', CASE WHEN abs(auction_imbalance_ratio) <= 0.05 THEN 'low' WHEN abs(auction_imbalance_ratio) <= 0.2 THEN 'medium' ELSE 'high' END FROM scored WHERE auction_imbalance_ratio IS NOT NULL)"""
+reg AS (SELECT target, prediction, 'time_remaining_seconds' AS dimension, CASE WHEN time_remaining_seconds <= 120 THEN 'up to 120' WHEN time_remaining_seconds <= 300 THEN '120 to 300' ELSE 'above 300' END AS regime FROM scored
+  UNION ALL SELECT target, prediction, 'auction_imbalance_ratio', CASE WHEN abs(auction_imbalance_ratio) <= 0.05 THEN 'up to 0.05' WHEN abs(auction_imbalance_ratio) <= 0.2 THEN '0.05 to 0.2' ELSE 'above 0.2' END FROM scored WHERE auction_imbalance_ratio IS NOT NULL)"""
 
 
 @query("stability_table", sql(REGIME_SQL + "," + predictive_sql("reg", ["dimension", "regime"]), "dimension:s regime:s rows:i mae:d spearman_ic:d directional_accuracy:d", "pm"))

@@ -93,7 +93,7 @@ def cluster_bootstrap(
     value: str,
     repetitions: int = 2000,
     confidence: float = 0.95,
-    seed: int = 20260815,
+    seed: int = 0,
 ) -> DataFrame:
     """Percentile interval of the mean of cluster values (one row per cluster, resampled whole).
 
@@ -162,17 +162,25 @@ def predictive_metrics(
     return joined.select(*keys, "rows", "mae", "spearman_ic", "directional_accuracy")
 
 
-def regimes(df: DataFrame) -> DataFrame:
-    """Each row once per dimension: time left before the close, and size of the imbalance."""
-    left, size = F.col("time_remaining_seconds"), F.abs("auction_imbalance_ratio")
-    clock = F.when(left <= 120, "last_120s").when(left <= 300, "121_to_300s").when(left.isNotNull(), "more_than_300s")
-    pressure = F.when(size <= 0.05, "low").when(size <= 0.2, "medium").when(size.isNotNull(), "high")
-    both = F.array(
-        F.struct(F.lit("time_regime").alias("dimension"), clock.alias("regime")),
-        F.struct(F.lit("imbalance_regime").alias("dimension"), pressure.alias("regime")),
-    )
+def interval_of(value: Column, cuts: Sequence[float]) -> Column:
+    """Text of the right-closed interval between neighbouring cuts that holds a value, NULL for none."""
+    out = F.when(value > cuts[-1], f"above {cuts[-1]:g}")
+    for low, high in reversed(list(zip([None, *cuts], cuts))):
+        out = F.when(value <= high, f"up to {high:g}" if low is None else f"{low:g} to {high:g}").otherwise(out)
+    return out
+
+
+def regimes(df: DataFrame, cuts: dict[str, Sequence[float]]) -> DataFrame:
+    """Each row once per column of `cuts` (as dimension), with the interval of the column's absolute value (as regime)."""
+    both = F.array(*[F.struct(F.lit(c).alias("dimension"), interval_of(F.abs(c), at).alias("regime")) for c, at in cuts.items()])
     return df.select("*", F.explode(both).alias("_r")).select("*", "_r.*").drop("_r").where("regime IS NOT NULL")
 
 
-def stability_table(df: DataFrame, actual: str, predicted: str, limit: int | None = None) -> DataFrame:
-    return predictive_metrics(regimes(df), ["dimension", "regime"], actual, predicted, limit)
+#: Seconds before the close, and sizes of the imbalance.
+REGIMES = {"time_remaining_seconds": (120, 300), "auction_imbalance_ratio": (0.05, 0.2)}
+
+
+def stability_table(
+    df: DataFrame, actual: str, predicted: str, limit: int | None = None, cuts: dict[str, Sequence[float]] = REGIMES
+) -> DataFrame:
+    return predictive_metrics(regimes(df, cuts), ["dimension", "regime"], actual, predicted, limit)
