@@ -324,7 +324,7 @@ dist AS (SELECT rule_id, avg(v) AS daily_mean_bps, stddev_pop(v) AS daily_standa
 base AS (SELECT rule_id, count(*) AS decisions, sum(stock_legs) AS stock_legs, avg(gross_return_bps) AS gross_mean_bps, avg(net_return_bps) AS net_mean_bps,
     avg((net_return_bps > 0)::INT) AS hit_rate, 2.0 * count(*) AS turnover_round_trip_gross, avg(spread_cost_bps) AS spread_cost_mean_bps, avg(fee_bps) AS fee_mean_bps,
     greatest(0, avg(net_return_bps)) AS break_even_additional_total_cost_bps, min(minimum_displayed_capacity_units) AS minimum_displayed_capacity_units,
-    quantile_cont(net_return_bps, 0.5) AS net_median_bps FROM decs GROUP BY 1),""" + bootstrap_sql("d", ["rule_id"], "date_id", "v", 300) + """,
+    quantile_cont(net_return_bps, 0.5) AS net_median_bps FROM decs GROUP BY 1),""" + bootstrap_sql("d", ["rule_id"], "date_id", "v", 2000) + """,
 ts AS (SELECT *, clusters AS dates, lower AS ci_low, upper AS ci_high FROM base JOIN sides USING (rule_id) JOIN dist USING (rule_id) JOIN boot USING (rule_id))"""
 FULL_COLS = (
     "rule_id:i decisions:i stock_legs:i gross_mean_bps:d net_mean_bps:d hit_rate:d turnover_round_trip_gross:d spread_cost_mean_bps:d fee_mean_bps:d "
@@ -337,7 +337,7 @@ FULL_COLS = (
 @query("trading_summary", sql(FULL_SQL, FULL_COLS, "ts", 4))
 def trading_summary(spark, sf):
     chosen = longshort.legs(ready(spark, sf))
-    return emit(longshort.trading_summary(chosen, longshort.decisions(chosen), repetitions=300), 4)
+    return emit(longshort.trading_summary(chosen, longshort.decisions(chosen), repetitions=2000), 4)
 
 
 @query(

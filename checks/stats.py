@@ -217,23 +217,23 @@ boot AS (SELECT {sel}n AS clusters, mean AS estimate, lower, upper FROM size {"L
 
 @query(
     "feature_ic_bootstrap",
-    sql(IC_SQL + "," + bootstrap_sql("ic", ["feature", "target"], "session_date", "spearman_ic", 400), "feature:s target:s clusters:i estimate:d lower:d upper:d", "boot"),
+    sql(IC_SQL + "," + bootstrap_sql("ic", ["feature", "target"], "session_date", "spearman_ic", 2000), "feature:s target:s clusters:i estimate:d lower:d upper:d", "boot"),
 )
 def feature_ic_bootstrap(spark, sf):
-    return emit(stats.cluster_bootstrap(ic_table(spark, sf), ["feature", "target"], "session_date", "spearman_ic", 400))
+    return emit(stats.cluster_bootstrap(ic_table(spark, sf), ["feature", "target"], "session_date", "spearman_ic", 2000))
 
 
 BY_DATE = "clusters AS (SELECT o_orderdate, avg(CAST(round(o_totalprice * 100) AS BIGINT)) / 100 AS v FROM orders GROUP BY 1)"
 
 
-@query("cluster_bootstrap", sql(BY_DATE + "," + bootstrap_sql("clusters", [], "o_orderdate", "v", 200), "clusters:i estimate:d lower:d upper:d", "boot", 4))
+@query("cluster_bootstrap", sql(BY_DATE + "," + bootstrap_sql("clusters", [], "o_orderdate", "v", 2000), "clusters:i estimate:d lower:d upper:d", "boot", 4))
 def cluster_bootstrap(spark, sf):
     from checks.inputs import table
 
     days = table(spark, sf, "orders").groupBy("o_orderdate").agg(
         (F.avg(F.expr("cast(round(o_totalprice * 100) AS bigint)")) / 100).alias("v")
     )
-    return emit(stats.cluster_bootstrap(days, [], "o_orderdate", "v", 200), 4)
+    return emit(stats.cluster_bootstrap(days, [], "o_orderdate", "v", 2000), 4)
 
 
 # --- Quantile tables -------------------------------------------------------------------------------
