@@ -7,8 +7,7 @@ from tidebook.llm import host_paths as hp
 
 
 def text(page):
-    found = hp.blocks(page)
-    return "\n\n".join(hp.within(found, hp.vote(found)[0]))
+    return hp.chosen(hp.blocks(page), None)
 
 
 def test_furniture_goes_and_the_article_stays():
@@ -38,6 +37,40 @@ def test_sections_are_one_article():
     assert text(page).startswith("t\n\na a")
 
 
+WORDS = "The harbour opened late and the boats waited outside. "
+
+
+def test_wrappers_with_marking_names_keep_their_text():
+    for page in (
+        "<body><div class='elementor-widget-container'><p>{0}</p></div></body>",
+        "<body><div class='content-sidebar-wrap'><article><p>{0}</p></article></div></body>",
+        "<body><main><div class='share-price-report'><p>{0}</p></div></main></body>",
+        "<body><div class='x-widget x-widget-wrap'><div class='x-widget-body'><p>{0}</p></div></div></body>",
+    ):
+        assert text(page.format(WORDS * 5)) == (WORDS * 5).strip()
+    builder = "<body><div class='e-widget e-widget-title'><h1>T</h1></div><div class='e-widget e-widget-text'><p>{0}</p></div><div class='comments-area'><p>{0}{0}</p></div></body>"
+    assert text(builder.format(WORDS)) == "T\n\n" + WORDS.strip()
+    longer = "<body><div class='text'><p>{0}</p></div><div class='related-posts'><p>{0}{0}</p></div><div id='comments'><p>" + WORDS * 40 + "</p></div></body>"
+    assert text(longer.format(WORDS * 2)) == (WORDS * 2).strip()
+    assert text("<body><div class='comments'><p>" + WORDS + "</p></div></body>") == ""
+
+
+def test_lede_and_end_beside_the_container_stay():
+    page = "<body><div class='top'><p>A lede of one sentence.</p></div><div class='text'><p>{0}</p></div><div class='end'><p>And so it closed.</p></div><div class='x'><p>short</p></div></body>"
+    got = text(page.format(WORDS * 30))
+    assert got.startswith("A lede of one sentence.\n\nThe harbour") and "And so it closed." in got
+
+
+def test_the_host_decides_between_containers_that_a_page_cannot_tell_apart(spark):
+    usual = "<body><div class='text'><p>{0}</p></div></body>"
+    mixed = "<body><div class='text'><p>{0}</p></div><div class='aside-col'><p>Our offices move in spring.</p></div></body>"
+    rows = [(i, "http://h.example/", usual.format(WORDS * (i + 4))) for i in range(5)] + [(9, "http://h.example/9", mixed.format(WORDS * 9))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in hp.main_text(pages).collect()}
+    assert got == {**{i: (WORDS * (i + 4)).strip() for i in range(5)}, 9: (WORDS * 9).strip()}
+    assert "offices" in text(mixed.format(WORDS * 9))
+
+
 def test_hosts_vote(spark):
     usual = "<body><div class='text p{0}'><p>{1}</p></div><div class='box'><p>short</p></div></body>"
     odd = "<body><div class='text p9'><p>tiny</p></div><div class='box'><p>" + "a much longer box than usual " * 9 + "</p></div></body>"
@@ -47,7 +80,7 @@ def test_hosts_vote(spark):
     pages = spark.createDataFrame([(*r, "clash", "x") for r in rows], "page_id long, url string, html string, host string, path string").repartition(3)
     got = sorted(((r.id, r.url, r.text) for r in hp.main_text(pages).collect()), key=repr)
     long = " ".join(["long words here"] * 9)
-    want = [(r[0], r[1], long if "long words" in (r[2] or "") else {9: "tiny", 10: "no host", None: "no id", 13: "another layout"}.get(r[0], "")) for r in rows]
+    want = [(r[0], r[1], long if "long words" in (r[2] or "") else {9: " ".join(["a much longer box than usual"] * 9), 10: "no host", None: "no id", 13: "another layout"}.get(r[0], "")) for r in rows]
     assert got == sorted(want, key=repr)
     assert hp.main_text(pages.limit(0)).collect() == []
 

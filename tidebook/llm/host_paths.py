@@ -1,8 +1,8 @@
 """Main text of web pages by consensus paths of hosts.
 
 Each page scores its containers and names the path (tags and classes from the root, numbers generalised) that holds its
-main text; Spark counts the votes of every host, and each page is read again from its host's winning path. A page without
-that path is read from its own.
+main text; Spark counts the votes of every host, and each page is read again from its host's winning path. A page where
+that path is missing, or holds clearly less than the container the page itself would choose, is read from its own.
 """
 
 from __future__ import annotations
@@ -20,6 +20,12 @@ from tidebook.llm.scratch import stored
 
 #: Share of a page's text (without links) that its container holds at least; among several the deepest gets the vote.
 SHARE = 0.8
+#: Share of what the page's own choice holds (without links) that the host's path holds at least on a page read from it.
+COVER = 0.8
+#: Characters from which on a block counts as prose even if it doesn't end like a sentence.
+PROSE_CHARS = 60
+#: A page that keeps less than this share of its text gives up the class words that removed the rest.
+LEFT = 0.2
 #: Elements nested deeper count as their ancestor of this depth.
 DEPTH = 64
 #: Characters of extracted text that a batch of results holds.
@@ -52,6 +58,9 @@ MARKS = (
     "recommended newsletter subscribe signup popup modal overlay widget widgets toolbar pagination pager"
 ).split()
 MARKED = re.compile(rf"(?<![a-z])(?<!has-)(?<!with-)(?<!no-)(?<!has_)(?<!with_)(?<!no_)(?:{'|'.join(MARKS)})(?![a-z])")
+# Marks that never belong to the article, however much of the page they hold.
+SURE = set("comment comments disqus reply replies respond cookie cookies consent gdpr".split())
+SENTENCE = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -59,13 +68,25 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def is_dropped(tag: str, found: dict[str, str], in_article: bool) -> bool:
+    """Whether tag, role or attributes say that the element is not the article."""
     if tag in DROPPED or tag == "header" and not in_article:
         return True
-    if tag in SAFE or not found:
-        return False
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True
-    return any(MARKED.search(name.lower()) for key in ("class", "id") for name in found.get(key, "").split())
+    return tag not in SAFE and bool(found) and ("hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES)
+
+
+def marks_of(tag: str, found: dict[str, str]) -> frozenset[str]:
+    """The names by which classes and id mark the element: up to the marking word, or whole where they begin with it."""
+    names = set()
+    if tag not in SAFE and found:
+        for name in (n.lower() for key in ("class", "id") for n in found.get(key, "").split()):
+            if match := MARKED.search(name):
+                names.add(name if match.start() == 0 or match[0] in SURE else name[: match.end()])
+    return frozenset(names)
+
+
+def is_sure(name: str) -> bool:
+    """A mark that says it all: the word alone, or one that never stands for an article's wrapper."""
+    return name in MARKS or any(m in SURE for m in MARKED.findall(name))
 
 
 def step(tag: str, found: dict[str, str]) -> str:
@@ -75,12 +96,23 @@ def step(tag: str, found: dict[str, str]) -> str:
 
 @dataclass(frozen=True)
 class Block:
-    """A run of text between the borders of block elements: its container, characters in links, whether it is a heading."""
+    """A run of text between the borders of block elements: its container, characters in links, whether it is a heading,
+    and the innermost marked element around it."""
 
     container: int
     text: str
     links: int
     heading: bool
+    mark: int = -1
+
+    @property
+    def plain(self) -> int:
+        """Characters outside links."""
+        return max(0, len(self.text) - self.links)
+
+    @property
+    def prose(self) -> bool:
+        return not self.heading and 2 * self.links < len(self.text) and (len(self.text) >= PROSE_CHARS or SENTENCE.search(self.text) is not None)
 
 
 @dataclass(frozen=True)
@@ -98,7 +130,8 @@ def blocks(page: str) -> tuple[list[Block], list[Container]]:
     """
     out: list[Block] = []
     nodes = [Container(-1, "", "")]
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, dropped, in an article
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, -1)]  # tag, container, dropped, in an article, mark
+    marks: list[tuple[int, frozenset[str]]] = []  # the mark around it, and its names
     words: list[str] = []
     links = anchors = at = 0
 
@@ -107,7 +140,7 @@ def blocks(page: str) -> tuple[list[Block], list[Container]]:
         if words:
             text = " ".join("".join(words).split())
             if text:
-                out.append(Block(stack[-1][1], text, links, stack[-1][0] in HEADINGS))
+                out.append(Block(stack[-1][1], text, links, stack[-1][0] in HEADINGS, stack[-1][4]))
             words.clear()
         links = 0
 
@@ -147,11 +180,10 @@ def blocks(page: str) -> tuple[list[Block], list[Container]]:
         if tag == "a":
             anchors += 1
         found = attributes(match[3])
-        _, node, dropped, in_article = stack[-1]
-        gone = dropped or is_dropped(tag, found, in_article)
+        _, node, dropped, in_article, mark = stack[-1]
         if tag in INLINE:
-            if gone and not dropped:
-                stack.append((tag, node, True, in_article))
+            if not dropped and (is_dropped(tag, found, in_article) or marks_of(tag, found)):
+                stack.append((tag, node, True, in_article, mark))
             continue
         flush()
         if tag in RAW:
@@ -160,36 +192,62 @@ def blocks(page: str) -> tuple[list[Block], list[Container]]:
             continue
         while stack[-1][0] == "p" or stack[-1][0] in ENDS_ITSELF.get(tag, ()):
             stack.pop()
-        _, node, dropped, in_article = stack[-1]
+        _, node, dropped, in_article, mark = stack[-1]
         gone = dropped or is_dropped(tag, found, in_article)
+        if not gone and (names := marks_of(tag, found)):
+            marks.append((mark, names))
+            mark = len(marks) - 1
+            gone = any(map(is_sure, names))
         if tag in CONTAINERS and len(stack) < DEPTH:
             nodes.append(Container(node, f"{nodes[node].path}>{step(tag, found)}", tag))
             node = len(nodes) - 1
         if match[3].endswith("/") and tag not in CONTAINERS:
             continue
-        stack.append((tag, node, gone, in_article or tag in ("article", "main")))
+        stack.append((tag, node, gone, in_article or tag in ("article", "main"), mark))
     say(page[at:])
     flush()
-    return out, nodes
+    return unmarked(out, marks), nodes
+
+
+def unmarked(found: list[Block], marks: list[tuple[int, frozenset[str]]]) -> list[Block]:
+    """The blocks outside marked elements. Where hardly any text is left, the page's builder uses these names for its
+    wrappers: the names around most of the lost text are given up, one after another, until enough is left."""
+    if not marks:
+        return found
+    total, given_up = sum(b.plain for b in found), set()
+    while True:
+        blocking: list[frozenset[str]] = []
+        for around, names in marks:  # a mark stands after the one around it
+            blocking.append((names - given_up) | (blocking[around] if around >= 0 else frozenset()))
+        kept = [b for b in found if b.mark < 0 or not blocking[b.mark]]
+        if sum(b.plain for b in kept) >= LEFT * total:
+            return kept
+        lost: dict[str, int] = {}
+        for b in found:
+            for name in blocking[b.mark] if b.mark >= 0 else ():
+                lost[name] = lost.get(name, 0) + b.plain
+        if not lost:
+            return kept
+        given_up.add(max(lost, key=lambda name: (lost[name], name)))
 
 
 def vote(page: tuple[list[Block], list[Container]]) -> tuple[str, int]:
     """Path of the container that the page would choose, and how many characters outside links it holds.
 
     That is the deepest single container with enough of the page's text; the article or main element around it, if there
-    is one; else the nearest ancestor that adds nothing but headings of its own.
+    is one; else the nearest ancestor that holds all prose, and from there the nearest that adds nothing but headings.
     """
     found, nodes = page
-    held, plain, titled = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+    held, plain, titled, prose = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
     for block in found:
-        held[block.container] += max(0, len(block.text) - block.links)
-        plain[block.container] += not block.heading
-        titled[block.container] += block.heading
-    all_titled = list(titled)
+        title = block.heading and 2 * block.links < len(block.text)
+        held[block.container] += block.plain
+        prose[block.container] += block.prose
+        plain[block.container] += not title
+        titled[block.container] += title
     for k in range(len(nodes) - 1, 0, -1):  # a container stands after its parent
-        held[nodes[k].parent] += held[k]
-        plain[nodes[k].parent] += plain[k]
-        all_titled[nodes[k].parent] += all_titled[k]
+        for count in (held, prose, plain, titled):
+            count[nodes[k].parent] += count[k]
     depth = [0] * len(nodes)
     for k in range(1, len(nodes)):
         depth[k] = depth[nodes[k].parent] + 1
@@ -200,25 +258,34 @@ def vote(page: tuple[list[Block], list[Container]]) -> tuple[str, int]:
     for tag in ("article", "main"):
         if around := [k for k in up if nodes[k].tag == tag]:
             return nodes[around[0]].path, held[around[0]]
-    below = best
+    up = up[next((i for i, k in enumerate(up) if prose[k] == prose[0]), len(up) - 1) :]
+    best = up[0] if prose[best] < prose[0] else best
     for k in up[1:]:
-        if plain[k] != plain[below] or all_titled[k] - all_titled[below] != titled[k]:
+        if plain[k] != plain[best]:
             break
-        below = k
-        if titled[k]:
+        if titled[k] > titled[best]:
             best = k
     return nodes[best].path, held[best]
 
 
-def within(page: tuple[list[Block], list[Container]], path: str | None) -> list[str]:
-    """Texts below the containers with this path; the page's own path is the empty one."""
+def within(page: tuple[list[Block], list[Container]], path: str | None) -> list[Block]:
+    """Blocks below the containers with this path; the page's own path is the empty one."""
     found, nodes = page
     if path is None:
         return []
     inside = [False] * len(nodes)
     for k, node in enumerate(nodes):
         inside[k] = node.path == path or (k > 0 and inside[node.parent])
-    return [block.text for block in found if inside[block.container]]
+    return [block for block in found if inside[block.container]]
+
+
+def chosen(page: tuple[list[Block], list[Container]], path: str | None) -> str:
+    """Text below the host's path if it covers what the page's own choice holds, else that choice."""
+    own, held = vote(page)
+    agreed = within(page, path)
+    if not agreed or sum(b.plain for b in agreed) < COVER * held:
+        agreed = within(page, own)
+    return "\n\n".join(b.text for b in agreed)
 
 
 def host_of(url: Column) -> Column:
@@ -261,8 +328,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for batch in batches:
             first, texts, size = 0, [], 0
             for i, (page, path) in enumerate(zip(batch.column("html"), batch.column("path"), strict=True)):
-                found = blocks(page.as_py())
-                texts.append("\n\n".join(within(found, path.as_py()) or within(found, vote(found)[0])))
+                texts.append(chosen(blocks(page.as_py()), path.as_py()))
                 size += len(texts[-1])
                 if size >= BATCH_CHARS or i + 1 == batch.num_rows:
                     some = batch.slice(first, len(texts))
