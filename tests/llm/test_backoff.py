@@ -81,10 +81,22 @@ def test_odd_rows(spark):
     assert backoff.scores(docs.limit(0), "learn").collect() == []
 
 
+def test_repeated_rows_are_parted_and_small_blocks_agree(spark):
+    rows = [(1, "the cat sat on the mat", True)] * 300 + [(i, t, i % 4 > 0) for i, t in enumerate(texts(5, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(6)
+    want, _, _ = plain([(t, k) for _, t, k in rows], 3, 4.0)
+    for size in (256, 1 << 22):
+        got = backoff.scores(docs, "learn", block_bytes=size).collect()
+        key = lambda r: (r[0], r[1], r[2], round(r[3], 6), round(r[4], 6))
+        assert sorted(key((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in got) == sorted(map(key, want))
+
+
 def test_packing():
     draw = np.random.default_rng(2)
     for n in (0, 1, 5, 10_000):
         hashes = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
         assert np.array_equal(backoff.unpacked(backoff.packed(hashes)), hashes)
+        short = hashes >> np.uint64(17) << np.uint64(17)
+        assert np.array_equal(backoff.unpacked(backoff.packed(short, 17), 17), short)
         counts = draw.integers(0, 2**40, n)
         assert np.array_equal(backoff.unpacked_counts(backoff.packed_counts(counts)), counts)

@@ -8,7 +8,11 @@ arc needs counts alone and failure weighs m / (c(h) + m).
 The automaton grows with the corpus and is never in one place. Texts are dealt into blocks; a block asks for the counts
 of the n-grams that it holds, buckets of n-gram hashes add up what all blocks have seen in training texts and answer
 each block, and the block builds the part of the automaton that its texts can reach and walks each text once, from left
-to right. The texts are shuffled once; asking and answering takes 6 to 7 bytes and about one byte an n-gram and block.
+to right. The texts are shuffled once; asking takes about 4 bytes an n-gram and block, answering about one. A block asks
+only buckets of which it holds an n-gram, so the rows that move are never more than the n-grams of all blocks.
+
+Words are known by 64-bit hashes. Longer n-grams are known by as many bits as the bytes of the input need, and 20 more, at
+every size: another n-gram adds to the count of one in about two million.
 """
 
 from __future__ import annotations
@@ -24,23 +28,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: n-gram length, weight of the prior, text bytes of a block, and blocks at least (so that small inputs spread too).
-ORDER, PRIOR, BLOCK_BYTES, LEAST_BLOCKS = 2, 4.0, 4 << 20, 48
+ORDER, PRIOR, BLOCK_BYTES, LEAST_BLOCKS = 3, 4.0, 4 << 20, 48
+#: Bits of the hash of a longer n-gram beyond those that count the bytes of the input.
+SPARE_BITS = 20
+#: A-Z in lower case, and what parts words, for Spark's own functions.
+UPPER, LOWER, WHITE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", r"[\x20\x09-\x0D]+"
 #: Hashes of the start of a text, which is a history but no token, and of its end, which is a token.
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """Sorted hashes as differences, in as many bytes each as the largest needs."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
+def packed(hashes: np.ndarray, drop: int = 0) -> bytes:
+    """Sorted hashes, whose lowest bits are zero, as differences without these bits: byte plane by byte plane, as many as
+    the largest needs, so that the shuffle's compression finds the empty ones."""
+    steps = np.diff(hashes, prepend=np.uint64(0)) >> np.uint64(drop)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
+def unpacked(raw: bytes, drop: int = 0) -> np.ndarray:
     steps = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
-    steps[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
-    return np.cumsum(steps.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+    steps[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1).T
+    return np.cumsum(steps.view("<u8").ravel().astype(np.uint64), dtype=np.uint64) << np.uint64(drop)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
@@ -61,9 +70,9 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 class Grams:
     """The n-grams of a block's texts: for each order the distinct ones, with prefix, last word and suffix by number, and
-    which stands at each place."""
+    which stands at each place. Hashes of more than one word lose their lowest bits."""
 
-    def __init__(self, texts: list[bytes], order: int):
+    def __init__(self, texts: list[bytes], order: int, drop: int = 0):
         words: defaultdict[bytes, int] = defaultdict()
         words.default_factory = lambda: len(words) + 2
         parts, lengths = [], []
@@ -89,7 +98,7 @@ class Grams:
             self.suffix.append(self.at[-1][here[first]])
             self.prefix.append(prefix)
             self.last.append(last)
-            self.hashes.append(mixed(self.hashes[-1][prefix], hashes[last] ^ np.uint64(n)))
+            self.hashes.append(mixed(self.hashes[-1][prefix], hashes[last] ^ np.uint64(n)) >> np.uint64(drop) << np.uint64(drop))
             self.at.append(now)
 
     def seen(self, train: np.ndarray) -> list[np.ndarray]:
@@ -162,23 +171,34 @@ class Automaton:
         return total
 
 
+def vocabulary(rows: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct tokens of the training texts, the end of a text among them."""
+    words = rows.where("train").select(F.explode(F.split(F.translate(F.col("text").cast("string"), UPPER, LOWER), WHITE)).alias("word"))
+    counted = words.where("word <> ''").groupBy("word").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = rows.where("train").count()
+    return counted[0] + ends, counted[1] + (ends > 0)
+
+
 def scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every row; train is a SQL condition on docs that
     says which rows are learnt from (null: not).
 
     Words are parted by ASCII white space, A-Z in lower case; every text ends with one end token, so null and empty texts
     have one token. base_score takes add-one unigrams, score the automaton. Rows that repeat are learnt from and scored
-    one by one. Without training rows all scores are those of the one unknown word.
+    one by one, and go to as many blocks as partitions they are read from. Without training rows all scores are those of
+    the one unknown word.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.expr(train), F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-total // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    drop = max(0, 64 - (total.bit_length() + SPARE_BITS))
+    tokens, types = vocabulary(rows)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int"))
 
     def grams_of(table: pa.Table) -> tuple[Grams, list[np.ndarray], list[np.ndarray]]:
         """With the order that sorts the hashes of each length, and the borders of the buckets in it."""
-        grams = Grams([t.as_py() for t in table.column("text")], order)
+        grams = Grams([t.as_py() for t in table.column("text")], order, drop)
         orders = [np.argsort(h, kind="stable") for h in grams.hashes]
         cuts = [np.searchsorted(bucket_of(h[o], blocks), np.arange(blocks + 1)) for h, o in zip(grams.hashes, orders, strict=True)]
         return grams, orders, cuts
@@ -189,43 +209,39 @@ def scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str =
         seen = grams.seen(table.column("train").to_numpy())
         hashes = [h[o] for h, o in zip(grams.hashes, orders, strict=True)]
         counts = [c[o] for c, o in zip(seen, orders, strict=True)]
-        parts = lambda make, lists, b: [make(x[c[b] : c[b + 1]]) for x, c in zip(lists, cuts, strict=True)]
+        some = np.flatnonzero(np.any([np.diff(c) > 0 for c in cuts], axis=0)).tolist()
+
+        def parts(make, lists, b: int) -> list[bytes]:
+            return [make(x[c[b] : c[b + 1]], n) for n, (x, c) in enumerate(zip(lists, cuts, strict=True))]
+
         block = table.column("block")[0].as_py()
         return pa.table(
             {
-                "bucket": pa.array(range(blocks), pa.int32()),
-                "block": pa.array([block] * blocks, pa.int32()),
-                "hashes": pa.array([parts(packed, hashes, b) for b in range(blocks)], pa.list_(pa.binary())),
-                "counts": pa.array([parts(packed_counts, counts, b) for b in range(blocks)], pa.list_(pa.binary())),
+                "bucket": pa.array(some, pa.int32()),
+                "block": pa.array([block] * len(some), pa.int32()),
+                "hashes": pa.array([parts(lambda x, n: packed(x, drop if n else 0), hashes, b) for b in some], pa.list_(pa.binary())),
+                "counts": pa.array([parts(lambda x, _: packed_counts(x), counts, b) for b in some], pa.list_(pa.binary())),
             }
         )
 
     def answer(table: pa.Table) -> pa.Table:
-        """Adds up a bucket; every block hears the sums it asked for, and the bucket's tokens and types."""
+        """Adds up a bucket; every block hears the sums it asked for."""
         asked, counted = table.column("hashes").to_pylist(), table.column("counts").to_pylist()
         replies: list[list[bytes]] = [[] for _ in asked]
-        tokens = types = 0
         for n in range(order):
-            lists = [unpacked(a[n]) for a in asked]
+            lists = [unpacked(a[n], drop if n else 0) for a in asked]
             distinct, number = np.unique(np.concatenate(lists), return_inverse=True)
             sums = np.zeros(len(distinct), np.int64)
             np.add.at(sums, number, np.concatenate([unpacked_counts(c[n]) for c in counted]))
-            if n == 0:
-                words = sums[distinct != START]
-                tokens, types = int(words.sum()), int((words > 0).sum())
             at = 0
             for reply, own in zip(replies, lists, strict=True):
                 reply.append(packed_counts(sums[number[at : at + len(own)]]))
                 at += len(own)
-        n = table.num_rows
-        return pa.table(
-            {"block": table.column("block"), "bucket": table.column("bucket"), "sums": pa.array(replies, pa.list_(pa.binary())), "tokens": pa.array([tokens] * n, pa.int64()), "types": pa.array([types] * n, pa.int64())}
-        )
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "sums": pa.array(replies, pa.list_(pa.binary()))})
 
     def score(_, table: pa.Table, replies: pa.Table) -> pa.Table:
         table, replies = arranged(table), replies.sort_by("bucket")
         grams, orders, cuts = grams_of(table)
-        tokens, types = sum(replies.column("tokens").to_pylist()), sum(replies.column("types").to_pylist())
         counts = [np.zeros(len(h), np.int64) for h in grams.hashes]
         for b, sums in zip(replies.column("bucket").to_pylist(), replies.column("sums").to_pylist(), strict=True):
             for n in range(order):
@@ -246,7 +262,7 @@ def scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str =
         )
 
     asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, hashes array<binary>, counts array<binary>")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, sums array<binary>, tokens long, types long")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, sums array<binary>")
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
