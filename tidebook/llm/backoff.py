@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 #: n-gram length, weight of the prior, text bytes of a block, and blocks at least (so that small inputs spread too).
 ORDER, PRIOR, BLOCK_BYTES, LEAST_BLOCKS = 3, 4.0, 4 << 20, 48
+#: Tokens that one lane of a traversal scores.
+LANE = 256
 #: Bits of the hash of a longer n-gram beyond those that count the bytes of the input.
 SPARE_BITS = 20
-#: A-Z in lower case, and what parts words, for Spark's own functions.
-UPPER, LOWER, WHITE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", r"[\x20\x09-\x0D]+"
 #: Hashes of the start of a text, which is a history but no token, and of its end, which is a token.
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -123,8 +123,7 @@ class Automaton:
         states[0][1] = 0  # nothing follows the end
         total = 1 + int((counts[0] > 0).sum())
         histories = [(states[0], counts[0], np.zeros(len(counts[0]), np.int64))]
-        self.arcs: dict[int, int] = {}
-        weights, nexts = [], []
+        keys, weights, nexts = [], [], []
         for n in range(1, len(counts)):
             prefix, last, suffix, c = grams.prefix[n], grams.last[n], grams.suffix[n], counts[n]
             before = counts[n - 1][prefix]
@@ -137,46 +136,61 @@ class Automaton:
                 states.append(own)
                 total += int((c > 0).sum())
             known = c > 0
-            key = states[n - 1][prefix[known]] * grams.words + last[known]
-            self.arcs.update(zip(key.tolist(), range(len(self.arcs), len(self.arcs) + len(key)), strict=True))
+            keys.append(states[n - 1][prefix[known]] * grams.words + last[known])
             weights.append(np.log10(chance[n][known]))
             nexts.append(states[n - 1][suffix[known]] if is_last else own[known])
-        self.weights = np.concatenate(weights).tolist() if weights else []
-        self.nexts = np.concatenate(nexts).tolist() if nexts else []
+        self.keys, self.weights = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*weights, np.zeros(0)])
+        self.nexts = np.concatenate([*nexts, np.zeros(0, np.int64)])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.weights, self.nexts = self.keys[order], self.weights[order], self.nexts[order]
         fail, back = np.zeros(total), np.zeros(total, np.int64)
         for state, c, shorter in histories:
             used = state > 0
             fail[state[used]] = np.log10(prior / (c[used] + prior))
             back[state[used]] = shorter[used]
-        self.fail, self.back = fail.tolist(), back.tolist()
-        self.root, self.root_next = self.unigram.tolist(), states[0].tolist()
-        self.words, self.start = grams.words, self.root_next[0]
-
-    def walk(self, tokens: list[int]) -> float:
-        """Log probability of a text's tokens, from left to right; the state carries the history."""
-        arcs, weights, nexts, fail, back, root, words = self.arcs.get, self.weights, self.nexts, self.fail, self.back, self.root, self.words
-        total, state = 0.0, self.start
-        for token in tokens:
-            while state:
-                arc = arcs(state * words + token)
-                if arc is not None:
-                    total += weights[arc]
-                    state = nexts[arc]
-                    break
-                total += fail[state]
-                state = back[state]
-            else:
-                total += root[token]
-                state = self.root_next[token]
+        self.fail, self.back, self.root_next = fail, back, states[0]
+        self.words, self.start, self.reach = grams.words, int(states[0][0]), len(counts) - 1
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Log probabilities of one token in each lane; the states move on."""
+        total, left = np.zeros(len(token)), np.arange(len(token))
+        while left.size:
+            at_root = state[left] == 0
+            done, left = left[at_root], left[~at_root]
+            total[done] += self.unigram[token[done]]
+            state[done] = self.root_next[token[done]]
+            key = state[left] * self.words + token[left]
+            arc = np.searchsorted(self.keys, key)
+            hit = self.keys.take(arc, mode="clip") == key if len(self.keys) else np.zeros(len(key), bool)
+            done, arc, left = left[hit], arc[hit], left[~hit]
+            total[done] += self.weights[arc]
+            state[done] = self.nexts[arc]
+            total[left] += self.fail[state[left]]
+            state[left] = self.back[state[left]]
         return total
 
-
-def vocabulary(rows: DataFrame) -> tuple[int, int]:
-    """Tokens and distinct tokens of the training texts, the end of a text among them."""
-    words = rows.where("train").select(F.explode(F.split(F.translate(F.col("text").cast("string"), UPPER, LOWER), WHITE)).alias("word"))
-    counted = words.where("word <> ''").groupBy("word").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = rows.where("train").count()
-    return counted[0] + ends, counted[1] + (ends > 0)
+    def walk(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Log probability of every token, each text from left to right; the state carries the history.
+
+        A long text is walked in lanes side by side. A state is what the last tokens leave, as many as a history has, so
+        a lane that starts inside a text reads these from the empty history first.
+        """
+        first, ends = begins[:-1] + 1, begins[1:]
+        n = np.maximum(-(-(ends - first) // LANE), 0)
+        text = np.repeat(np.arange(len(n)), n)
+        own = first[text] + LANE * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
+        begin, stop = np.maximum(own - self.reach, first[text]), np.minimum(own + LANE, ends[text])
+        order = np.argsort(begin - stop, kind="stable")
+        own, begin, stop = own[order], begin[order], stop[order]
+        state = np.where(begin == first[text[order]], self.start, 0)
+        out = np.zeros(len(tokens))
+        for k in range(int((stop - begin).max(initial=0))):
+            active = int(np.searchsorted(begin - stop, -k))
+            place = begin[:active] + k
+            chance = self.step(state[:active], tokens[place])
+            scored = place >= own[:active]
+            out[place[scored]] = chance[scored]
+        return out
 
 
 def scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -193,7 +207,6 @@ def scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str =
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-total // block_bytes))
     drop = max(0, 64 - (total.bit_length() + SPARE_BITS))
-    tokens, types = vocabulary(rows)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int"))
 
     def grams_of(table: pa.Table) -> tuple[Grams, list[np.ndarray], list[np.ndarray]]:
@@ -239,21 +252,30 @@ def scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str =
                 at += len(own)
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "sums": pa.array(replies, pa.list_(pa.binary()))})
 
+    def vocabulary(table: pa.Table) -> pa.Table:
+        """Tokens of the training texts that fall into a bucket, and how many distinct ones."""
+        hashes = np.concatenate([unpacked(a[0].as_py()) for a in table.column("hashes")])
+        counts = np.concatenate([unpacked_counts(c[0].as_py()) for c in table.column("counts")])
+        used = (counts > 0) & (hashes != START)
+        return pa.table({"tokens": pa.array([int(counts[used].sum())], pa.int64()), "types": pa.array([len(np.unique(hashes[used]))], pa.int64())})
+
     def score(_, table: pa.Table, replies: pa.Table) -> pa.Table:
         table, replies = arranged(table), replies.sort_by("bucket")
         grams, orders, cuts = grams_of(table)
+        tokens, types = (replies.column(name)[0].as_py() for name in ("tokens", "types"))
         counts = [np.zeros(len(h), np.int64) for h in grams.hashes]
         for b, sums in zip(replies.column("bucket").to_pylist(), replies.column("sums").to_pylist(), strict=True):
             for n in range(order):
                 counts[n][orders[n][cuts[n][b] : cuts[n][b + 1]]] = unpacked_counts(sums[n])
         model = Automaton(grams, counts, tokens, types, prior)
         at, n_tokens, n_known, base, full = grams.at[0], [], [], [], []
+        chances = model.walk(at, grams.begins)
         for begin, end in zip(grams.begins[:-1], grams.begins[1:], strict=True):
             own = at[begin + 1 : end]
             n_tokens.append(len(own))
             n_known.append(int((counts[0][own] > 0).sum()))
             base.append(math.fsum(model.unigram[own]))
-            full.append(model.walk(own.tolist()))
+            full.append(math.fsum(chances[begin + 1 : end]))
         return pa.table(
             {
                 "id": table.column("id"), "train": table.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
@@ -263,6 +285,9 @@ def scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str =
 
     asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, hashes array<binary>, counts array<binary>")
     answered = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, sums array<binary>")
+    # the same shuffle serves both; its totals are one row
+    totals = asked.groupBy("bucket").applyInArrow(vocabulary, "tokens long, types long").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+    answered = answered.crossJoin(F.broadcast(totals))
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
