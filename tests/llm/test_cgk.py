@@ -65,3 +65,11 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 0), (0, 2, 0), (1, 1, 0), (1, 2, 0), (4, 0, 0), (5, 1, 0), (5, 2, 0), (6, 1, 0), (6, 2, 0)]
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert cgk.leaks(docs, nothing).collect() == [] and cgk.leaks(docs.limit(0), items).collect() == []
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "What is  the capital of Peru?"), (2, "what is the capital of peru?"), (3, "Peru?"), (4, "capital"), (5, "é ü"), (6, "a" * 47), (7, " "), (8, "the capital of")]
+    docs = [(1, "Q: what IS the\ncapital of Peru? A: Lima"), (2, "capitals of Peru?x"), (3, "é  ü"), (4, "b " + "a" * 47), (5, "a" * 48), (6, ""), (7, None), (8, "the capital of the capital of")]
+    got = sorted((r.id, r.item, r.edits) for r in cgk.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = [(d, i, 0) for d, x in docs for i, y in items if cgk.plain(y) and f" {cgk.plain(y).decode()} " in f" {cgk.plain(x).decode()} "]
+    assert got == sorted(want) and len(want) == 9

@@ -6,6 +6,8 @@ for (j, letter) is set. Two strings that differ by few edits fall back into step
 few places. Windows start at every word of a document; an item is hashed from each of its words that a whole walk can
 follow, so an edit near one start leaves the others. Each of a number of samples of places is one hash table; their
 number is raised until a pilot on the items themselves, with edits planted, reaches the recall that is asked for.
+
+Items too short for a walk are found by an exact way instead, where their words stand in a row without an edit.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ STEPS, DRAWS, MOST_SAMPLES = 96, 10, 45
 AGREE = 56
 #: Share of an item's characters that may be edited, the planted share and the recall of the pilot, and the items it takes.
 EDITS, PILOT_EDITS, RECALL, PILOT_ITEMS = 0.2, 0.12, 0.99, 300
-#: Items with fewer characters say nothing about a leak and are passed over.
+#: Items with fewer characters give no walk enough letters; they are looked up word for word.
 LEAST_CHARS = 48
 #: Bytes of items that one pass over the documents looks for, windows walked at once, and document bytes taken together.
 ITEM_BYTES, WINDOWS, TEXT_BYTES = 2 << 20, 1 << 15, 1 << 22
@@ -111,7 +114,8 @@ def samples_for(items: list[bytes], share: float = PILOT_EDITS, recall: float =
 
 @dataclass(frozen=True)
 class Items:
-    """Normalised items, the walks from all their starts (a row each), and for each sample the sorted keys with the number of the start."""
+    """Normalised items, short ones last; the walks from all starts of the others (a row each), and for each sample the
+    sorted keys with the number of the start."""
 
     ids: list
     texts: list[bytes]
@@ -125,9 +129,11 @@ class Items:
 
 def indexed(rows: list[tuple]) -> Items:
     """rows: (id, normalised item)."""
-    samples = samples_for([text for _, text in rows])
-    walk, letters, item, start = Walk(samples), [], [], []
-    for i, (_, text) in enumerate(rows):
+    rows = sorted(rows, key=lambda r: len(r[1]) < LEAST_CHARS)
+    walked = [text for _, text in rows if len(text) >= LEAST_CHARS]
+    samples = samples_for(walked)
+    walk, letters, item, start = Walk(samples), [np.zeros((STEPS, 0), np.uint8)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i, text in enumerate(walked):
         padded = np.frombuffer(text + b"\x00", np.uint8)
         starts = item_starts(padded[:-1])
         letters.append(walk.letters(padded, starts))
@@ -168,6 +174,14 @@ class Search:
         self.shift, self.tables = np.uint32(32 - bits), np.zeros((items.samples, 1 << bits), bool)
         for k, keys in enumerate(items.keys):
             self.tables[k, keys >> self.shift] = True
+        self.short = ahocorasick.Automaton()
+        by_text: dict[bytes, list[int]] = {}
+        for i, text in enumerate(items.texts):
+            if len(text) < LEAST_CHARS:
+                by_text.setdefault(text, []).append(i)
+        for text, numbers in by_text.items():
+            self.short.add_word(f" {text.decode()} ", numbers)
+        self.short.make_automaton()
 
     def candidates(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and the places in the text where they would begin."""
@@ -196,8 +210,15 @@ class Search:
         both = np.unique(np.stack([np.concatenate(found_items).astype(np.int64), np.concatenate(found_at)]), axis=1)
         return both[0], both[1]
 
+    def verbatim(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """As matches, for the short items whose words stand in a row."""
+        for owner, text in enumerate(texts) if len(self.short) else ():
+            for item in sorted({i for _, numbers in self.short.iter(f" {text.decode()} ") for i in numbers}):
+                yield owner, item, 0
+
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(number of the text, number of the item, least edits) of every pair within the share of edits."""
+        yield from self.verbatim(texts)
         flat = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         items, places = self.candidates(flat, word_starts(flat))
@@ -230,8 +251,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(id, item, edits, similarity) of every document and benchmark item of which some part of the document is within
     share x the item's characters; edits is the least found, similarity 1 - edits / characters of the item.
 
-    Case of A-Z and runs of white space don't count. Null and empty texts and items under LEAST_CHARS match nothing; rows
-    that share an id are one document; equal items under two ids are both reported; null ids are ids.
+    Case of A-Z and runs of white space don't count. Null and empty texts and items match nothing; items under LEAST_CHARS
+    match only where their words stand in a row, with no edits; rows that share an id are one document; equal items under
+    two ids are both reported; null ids are ids.
 
     The items are a stated set of queries: they are read in blocks of bounded size, each of which goes to every task and
     costs one pass over the documents. Only matches are shuffled.
@@ -247,7 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for k in range(passes):
         block = queries.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()
         own = sorted({(r.item, plain(r.text)) for r in block}, key=lambda r: (r[0] is None, r))
-        own = [(i, t) for i, t in own if len(t) >= LEAST_CHARS]
+        own = [(i, t) for i, t in own if t]
         if own:
             found.append(rows.mapInArrow(one_pass(spark.sparkContext.broadcast(indexed(own)), share, to_arrow_type(queries.schema["item"].dataType)), kind))
     if not found:
