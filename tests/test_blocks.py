@@ -46,6 +46,16 @@ def test_only_large_keys_are_cut(spark):
     assert len(sizes) >= 5 and max(sizes) <= 200
 
 
+def test_cut_points_are_bounded_and_each_key_has_the_cells_it_needs(spark):
+    df = spark.range(40_000).selectExpr("id % 400 AS k", "id AS t").repartition(4)
+    cuts = blocks.cut_points(df, ["k"], "t", 20)
+    assert len(cuts.points) < blocks.MOST_POINTS and cuts.most == 5
+    sizes = [r["count"] for r in blocks.with_block(df, "t", cuts).groupBy("k", blocks.BLOCK).count().collect()]
+    assert sum(sizes) == 40_000 and len(sizes) <= 2 * 40_000 / 20 and max(sizes) <= 40
+    placed = blocks.positions(df, ["k"], ["t"], limit=20)
+    assert placed.where("position = t div 400 + 1").count() == 40_000
+
+
 @pytest.mark.parametrize("limit", [None, 40])
 def test_average_rank_and_quantiles(spark, limit):
     frame = skewed(5)

@@ -2,11 +2,11 @@
 
 A window over `partitionBy(key)` sends every row of a key to one task. When one key may hold a third
 of the table that task never ends, so ordered operators here cut the rows of *large* keys into blocks:
-the order column is cut at quantile points of the large keys' rows, a cell is one (key, block) pair,
-and a cell holds at most about one block's share of rows however the keys are distributed. Small keys
-stay whole. Each cell is processed by an ordinary window; what crosses a border travels as one summary
-row per cell, accumulated along the blocks of its key, and is joined back. The result is exactly that of
-the single window.
+the order column is cut at quantile points of the large keys' rows, neighbouring stretches of one key are
+put together until they hold about one block's share of rows, and a cell is one (key, block) pair. So a large
+key has about as many cells as it holds shares, however the keys are distributed. Small keys stay whole. Each
+cell is processed by an ordinary window; what crosses a border travels as one summary row per cell, accumulated
+along the blocks of its key, and is joined back. The result is exactly that of the single window.
 
 Key sizes are measured with one map-side-combined count. If no key is larger than a block, the plan is
 the plain window; the values are the same either way, in the columns' own types. A NULL key is a key like
@@ -25,11 +25,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
+STRETCH = "_stretch"
 WHOLE = -1.0  # block of rows whose key is not cut
 DEFAULT_ROWS = 4_000_000
 CONF_KEY = "spark.tidebook.rowsPerBlock"
-# Rows drawn per block to place the cut points. Only the borders depend on the draw, never the result.
-SAMPLE_PER_BLOCK = 200
+# Rows drawn per cut point to place it. Only the borders depend on the draw, never the result.
+SAMPLE_PER_POINT = 200
+# Cut points for each share of rows, and the most that pass through the driver. Beyond that a cell may hold
+# rows / MOST_POINTS more than its share; no row is left out.
+POINTS_PER_BLOCK = 4
+MOST_POINTS = 1024
 # Passed as `limit` where a key's rows are bounded by construction (for example 60 slots per stock and
 # date): no size check, one window.
 BOUNDED = -1
@@ -37,10 +42,16 @@ BOUNDED = -1
 
 @dataclass(frozen=True)
 class Cuts:
-    """Border values of the order column and the large keys they apply to (None: the whole table)."""
+    """Border values of the order column and the large keys they apply to (None: the whole table).
+
+    `cells` says for each large key and stretch between borders to which block it belongs; `most` is the largest number
+    of blocks of one key.
+    """
 
     points: tuple[float, ...]
     large: DataFrame | None
+    cells: DataFrame | None
+    most: int
 
 
 def rows_per_block(df: DataFrame, override: int | None = None) -> int:
@@ -63,15 +74,32 @@ def cut_points(
         # at most rows / limit keys; they stay a table, whose written size decides how it is joined
         large = settled(sizes.where(F.col("count") > limit).select(*keys))
         measured = null_safe_join(df, large, keys, "left_semi")
-    count = -(-rows // limit)
-    share = min(1.0, SAMPLE_PER_BLOCK * count / rows)
+    count = min(MOST_POINTS, -(-rows * POINTS_PER_BLOCK // limit))
+    share = min(1.0, SAMPLE_PER_POINT * count / rows)
     drawn = measured.select(F.col(order).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     if share < 1.0:
         drawn = drawn.sample(fraction=share, seed=7)
-    points = drawn.agg(
+    found = drawn.agg(
         F.percentile_approx("v", [i / count for i in range(1, count)] or [0.5], 10 * count)
     ).first()[0]
-    return Cuts(tuple(sorted(set(points or []))), large)
+    points = tuple(sorted(set(found or [])))
+    part = list(keys)
+    sizes = _stretched(measured, order, points).groupBy(*part, STRETCH).count()
+    before = F.sum("count").over(
+        Window.partitionBy(*(part or [F.lit(0)])).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    block = F.floor(F.coalesce(before, F.lit(0)) / limit).cast("double")
+    cells = settled(sizes.select(*part, STRETCH, block.alias(BLOCK)))
+    most = cells.agg(F.max(BLOCK)).first()[0]
+    return Cuts(points, large, cells, int(most) + 1)
+
+
+def _stretched(df: DataFrame, order: str, points: Sequence[float]) -> DataFrame:
+    """Add the number of the stretch between cut points that each row is in; NULL comes first, NaN last."""
+    staged = df.withColumn("_order_value", F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))))
+    splits = [float("-inf"), *points, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_order_value", outputCol=STRETCH, handleInvalid="keep")
+    return cut.transform(staged).drop("_order_value")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -106,18 +134,9 @@ def with_block(df: DataFrame, order: str, cuts: Cuts | None) -> DataFrame:
     """Add the block number of each row; rows of small keys get `WHOLE`."""
     if cuts is None:
         return df.withColumn(BLOCK, F.lit(WHOLE))
-    staged = df.withColumn("_order_value", F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))))
-    splits = [float("-inf"), *cuts.points, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_order_value", outputCol=BLOCK, handleInvalid="keep")
-    blocked = cut.transform(staged).drop("_order_value")
-    if cuts.large is None:
-        return blocked
-    marked = cuts.large.withColumn("_large", F.lit(True))
-    return (
-        null_safe_join(blocked, marked, cuts.large.columns, "left")
-        .withColumn(BLOCK, F.when(F.col("_large"), F.col(BLOCK)).otherwise(F.lit(WHOLE)))
-        .drop("_large")
-    )
+    keys = cuts.large.columns if cuts.large is not None else []
+    blocked = null_safe_join(_stretched(df, order, cuts.points), cuts.cells, [*keys, STRETCH], "left")
+    return blocked.withColumn(BLOCK, F.coalesce(BLOCK, F.lit(WHOLE))).drop(STRETCH)
 
 
 def running(

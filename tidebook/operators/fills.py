@@ -271,7 +271,7 @@ def non_overlapping(
             .groupBy(*keys, BLOCK)
             .applyInPandas(_leaving(keys), f"{ddl}, {BLOCK} double, _upto bigint, _out bigint")
         )
-        entries = _entries(steps, keys, len(cuts.points) + 1, limit)
+        entries = _entries(steps, keys, cuts.most, limit)
         entered = blocks.null_safe_join(celled, entries, [*keys, BLOCK], "left").withColumn(
             "_free", F.coalesce("_free", never)
         )
