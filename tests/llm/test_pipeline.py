@@ -73,3 +73,16 @@ def test_empty_table(spark, corpus, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
         assert (docs := spark.read.parquet(f"{tmp_path}/{name}")).count() == 0
+
+
+def test_near_copies_are_those_of_simhash(spark):
+    draw = random.Random(8)
+    while True:  # close fingerprints, though a third of the five-word shingles differ
+        words = prose(draw, 30).split()
+        changed = [*words[:15], "other", *words[16:]]
+        if (plain(" ".join(words)) ^ plain(" ".join(changed))).bit_count() <= 2:
+            break
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, prose(draw, 30)), (4, " ".join(words).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {1, 3}
