@@ -179,6 +179,42 @@ def _bracketed_quantiles(
     return found if found.where(whole).count() == groups else None
 
 
+def column_medians(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], limit: int | None = None
+) -> DataFrame:
+    """Exact medians of many columns per key as (keys, NAME, q), q an array of one; an all-missing column has no row.
+
+    Rows stay wide: one pass sketches two values around the median of every column, a second one counts what is below
+    and keeps only the values between them, a few in ten thousand besides ties, which count as one. Keys are few, and a
+    row a key passes through the driver. Values that are missing are NULL, not NaN.
+    """
+    keys, columns = list(keys), list(columns)
+    ends = [0.5 - MARGIN, 0.5 + MARGIN]
+    sketches = [F.percentile_approx(F.col(c).cast("double"), ends, SKETCH).alias(f"_b{i}") for i, c in enumerate(columns)]
+    grouped = lambda rows: rows.groupBy(*keys) if keys else rows
+    bounds = grouped(df).agg(*sketches)
+    bounds = df.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
+    at = F.broadcast(bounds)
+    paired = blocks.null_safe_join(df, at, keys, "inner") if keys else df.crossJoin(at)
+    value = [F.col(c).cast("double") for c in columns]
+    counts = [F.struct(F.lit(c).alias(NAME), F.count(v).alias("total"), F.count_if(v < F.col(f"_b{i}")[0]).alias("lower")) for i, (c, v) in enumerate(zip(columns, value))]
+    sizes = blocks.settled(
+        grouped(paired).agg(F.array(*counts).alias("_s")).select(*keys, F.explode("_s").alias("_s")).select(*keys, "_s.*").where("total > 0")
+    )
+    inside = [F.struct(F.lit(c).alias(NAME), F.when(v.between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]), v).alias(VALUE)) for i, (c, v) in enumerate(zip(columns, value))]
+    kept = paired.select(*keys, F.explode(F.filter(F.array(*inside), lambda e: e[VALUE].isNotNull())).alias("_e")).select(*keys, "_e.*")
+    by = [*keys, NAME]
+    table = blocks.settled(kept.groupBy(*by, VALUE).agg(F.count("*").alias("n")))
+    cuts = blocks.cut_points(table, by, VALUE, limit)
+    ranked = blocks.running(blocks.with_block(table, VALUE, cuts), by, [VALUE], {"upto": ("sum", F.col("n"))}, cuts)
+    placed = blocks.null_safe_join(ranked, sizes, by, "inner")
+    counted = placed.select(*by, VALUE, "n", (F.col("lower") + F.col("upto") - F.col("n")).alias("below"), "total")
+    found = blocks.settled(quantiles_from_counts(counted, by, VALUE, [0.5], "q"))
+    if found.where(~F.exists("q", lambda q: q.isNull())).count() == sizes.count():
+        return found
+    return quantiles(stacked(df, keys, columns), by, VALUE, [0.5], "q", limit)
+
+
 def quantiles_from_counts(
     counts: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], name: str = "q"
 ) -> DataFrame:

@@ -50,8 +50,7 @@ def feature_medians(
     """Exact medians per key in one table; an all-missing feature gets 0. One row a key and feature reaches the driver."""
     keys = list(keys)
     clean = rows.select(*keys, *[nan_to_null(F.col(f)).alias(f) for f in features])
-    long = order_stats.stacked(clean, keys, features)
-    found = order_stats.quantiles(long, [*keys, order_stats.NAME], order_stats.VALUE, [0.5], "q", limit)
+    found = order_stats.column_medians(clean, keys, features, limit)
     place = {f: i for i, f in enumerate(features)}
     out: dict[tuple, np.ndarray] = {} if keys else {(): np.zeros(len(features))}
     for row in found.collect():
@@ -215,10 +214,12 @@ class PanelRidges:
         spark = panel.sparkSession
         rows = [(k, i, self.cases[i].name, [float(v) for v in self.weights[i][:-1]], float(self.weights[i][-1])) for k, cases in of.items() for i in cases]
         table = spark.createDataFrame(rows, "_of int, _case int, case string, _b array<double>, _b0 double")  # a row a case
-        scored = panel.withColumns({"_of": (F.lit(0) if select is None else select).cast("int"), "_raw": self.moments.raw()})
-        scored = blocks.null_safe_join(scored, self.effects(), ["stock_id"], "left").join(F.broadcast(table), "_of")
+        scored = panel.withColumn("_of", (F.lit(0) if select is None else select).cast("int")).join(F.broadcast(table), "_of")
+        # the products first, so that only a number a row is carried where the stock effects are too many to broadcast
+        scored = scored.withColumn("_linear", dot(self.moments.raw(), F.col("_b")) + F.col("_b0")).drop("_of", "_b", "_b0")
+        scored = blocks.null_safe_join(scored, blocks.settled(self.effects()), ["stock_id"], "left")
         effect = F.coalesce(F.get("effects", F.col("_case")), F.lit(0.0))
-        return scored.withColumn("prediction", dot(F.col("_raw"), F.col("_b")) + F.col("_b0") + effect).drop("_of", "_case", "_raw", "_b", "_b0", "effects")
+        return scored.withColumn("prediction", F.col("_linear") + effect).drop("_case", "_linear", "effects")
 
 
 def fit_panel_ridges(moments: PanelMoments, cases: Sequence[RidgeCase], medians: dict[tuple, np.ndarray]) -> PanelRidges:
