@@ -126,6 +126,19 @@ def test_bracketed_quantiles_are_exact_and_keep_few_rows(spark):
         np.testing.assert_allclose(got[k], np.quantile(local.loc[local["k"] == k, "v"], probs), rtol=1e-12)
 
 
+@pytest.mark.parametrize("limit", [None, 3])
+def test_medians_of_wide_rows_equal_numpy(spark, limit):
+    rng = np.random.default_rng(4)
+    values = np.column_stack([rng.normal(size=5001), rng.integers(0, 3, 5001), np.full(5001, np.nan)])
+    values[rng.random((5001, 3)) < 0.1] = np.nan
+    rows = [(None if i % 3 == 2 else i % 3, *(None if np.isnan(x) else float(x) for x in v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double").repartition(3)
+    got = {(r.k, r[order_stats.NAME]): r.q[0] for r in order_stats.column_medians(df, ["k"], ["a", "b", "c"], limit).collect()}
+    assert got == {(None if k == 2 else k, n): pytest.approx(np.nanmedian(values[k::3, j]), abs=1e-12) for k in range(3) for j, n in enumerate("ab")}
+    whole = {r[order_stats.NAME]: r.q[0] for r in order_stats.column_medians(df, [], ["a", "b", "c"], limit).collect()}
+    assert whole == {n: pytest.approx(np.nanmedian(values[:, j]), abs=1e-12) for j, n in enumerate("ab")}
+
+
 @pytest.mark.parametrize("limit", [None, 20])
 def test_null_is_a_key_like_any_other(spark, limit):
     rows = [(None, t) for t in range(0, 700, 7)] + [(1, t) for t in range(0, 90, 9)]

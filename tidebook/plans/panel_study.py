@@ -49,7 +49,7 @@ def ridge_cross_validation(
     models = panel_models.fit_panel_ridges(sums, cases, medians)
     of = {fold: range((fold - 1) * len(alphas), fold * len(alphas)) for fold in range(1, len(starts) + 1)}
     scored = models.predict(inside.where("fold > 0"), of, F.col("fold"))
-    scored = scored.select("fold", F.col("case").cast("double").alias("alpha"), target, "prediction")
+    scored = blocks.settled(scored.select("fold", F.col("case").cast("double").alias("alpha"), target, "prediction"))
     return stats.predictive_metrics(scored, ["fold", "alpha"], target, "prediction")
 
 
@@ -86,6 +86,7 @@ def family_ablation(
     sums = panel_models.PanelMoments(train, F.lit(0), features, target, medians[()])
     models = panel_models.fit_panel_ridges(sums, [panel_models.RidgeCase(name, (0,), float(alpha), (), kept) for name, kept in cases.items()], medians)
     scored = models.predict(validation, {0: range(len(cases))}).select(F.col("case").alias("features"), target, "prediction")
+    scored = blocks.settled(scored)  # else every pass of the ranks would make the features again
     return stats.predictive_metrics(scored, ["features"], target, "prediction")
 
 
@@ -100,7 +101,7 @@ def frozen_refit(
     sums = panel_models.PanelMoments(rows.where(F.col(date) <= development_last), part, features, target, medians[()])
     case = panel_models.RidgeCase("frozen", (0, 1), float(alpha), (), prep=(0,), unlabeled=True)
     models = panel_models.fit_panel_ridges(sums, [case], medians)
-    held = models.predict(rows.where(F.col(date) > development_last), {0: [0]})
+    held = blocks.settled(models.predict(rows.where(F.col(date) > development_last), {0: [0]}).select(date, target, "prediction"))
     return stats.predictive_metrics(held, [date], target, "prediction")
 
 
