@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidebook.operators import asof, blocks, fills, folds, order_stats
 
@@ -164,3 +165,18 @@ def test_a_hot_left_key_is_cut(spark):
     assert max(r["count"] for r in cells) <= 100
     got = asof.asof_join(left, right, ["k"], "t", "s", ["x"], limit=50).collect()
     assert {(r.k, r.t): r.x for r in got} == {**{("hot", t): 1 if t >= 500 else None for t in range(1000)}, (None, 7): 2}
+
+
+def test_rows_of_many_keys_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS_PER_TASK", 100, raising=False)
+    rows = spark.range(2000).selectExpr("id % 400 AS k", "id AS t", "id AS sequence", "cast(id % 7 AS double) AS v")
+    probes = spark.range(400).selectExpr("id AS k", "cast(1500 AS bigint) AS t")
+    per_task = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    for found in (
+        blocks.previous(rows, ["k"], ["t"], ["v"]),
+        blocks.positions(rows, ["k"], ["t"]),
+        order_stats.average_rank(rows, ["k"], {"v": "r"}),
+    ):
+        assert found.count() == 2000 and max(per_task(found)) <= 300
+    states = asof.probe_states(rows, probes, ["k"], "t", ["sequence"], [{"n": ("sum", F.lit(1))}])
+    assert {r["n"] for r in states.collect()} == {4, 3} and len(per_task(states)) > 12

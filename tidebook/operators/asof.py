@@ -33,11 +33,11 @@ def probe_states(
     `blocks.running`, computed from event rows only; later phases may use names of earlier ones.
     """
     instants = events.select(*keys, time).unionAll(probes.select(*keys, time))
-    cuts = blocks.cut_points(instants, keys, time, limit)
+    cuts, rows = blocks.sized_cuts(instants, keys, time, limit)
     both = events.withColumn(PROBE, F.lit(0)).unionByName(
         probes.withColumn(PROBE, F.lit(1)), allowMissingColumns=True
     )
-    state = blocks.with_block(both, time, cuts)
+    state = blocks.dealt(blocks.with_block(both, time, cuts), rows, [*keys, blocks.BLOCK] if cuts else keys)
     order = [time, PROBE, *tie]
     for phase in phases:
         from_events = {

@@ -10,7 +10,7 @@ along the blocks of its key, and is joined back. The result is exactly that of t
 
 Key sizes are measured with one map-side-combined count. If no key is larger than a block, the plan is
 the plain window; the values are the same either way, in the columns' own types. A NULL key is a key like
-any other and is cut like one.
+any other and is cut like one. The same count says how many tasks the rows are dealt to.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ MOST_POINTS = 1024
 # Passed as `limit` where a key's rows are bounded by construction (for example 60 slots per stock and
 # date): no size check, one window.
 BOUNDED = -1
+# Rows a task gets where whole keys are dealt to tasks.
+ROWS_PER_TASK = 200_000
 
 
 @dataclass(frozen=True)
@@ -62,13 +64,20 @@ def cut_points(
     df: DataFrame, keys: Sequence[str], order: str, limit: int | None = None
 ) -> Cuts | None:
     """Where to cut large keys, or None when no key holds more than `limit` rows."""
+    return sized_cuts(df, keys, order, limit)[0]
+
+
+def sized_cuts(
+    df: DataFrame, keys: Sequence[str], order: str, limit: int | None = None
+) -> tuple[Cuts | None, int]:
+    """`cut_points` and the number of all rows, from the same count (0 where nothing is counted)."""
     if limit == BOUNDED:
-        return None
+        return None, 0
     limit = rows_per_block(df, limit)
     sizes = df.groupBy(*keys).count() if keys else df.select(F.count("*").alias("count"))
-    rows = sizes.agg(F.sum(F.when(F.col("count") > limit, F.col("count")))).first()[0]
+    rows, everything = sizes.agg(F.sum(F.when(F.col("count") > limit, F.col("count"))), F.sum("count")).first()
     if not rows:
-        return None
+        return None, everything or 0
     large, measured = None, df
     if keys:
         # at most rows / limit keys; they stay a table, whose written size decides how it is joined
@@ -91,7 +100,7 @@ def cut_points(
     block = F.floor(F.coalesce(before, F.lit(0)) / limit).cast("double")
     cells = settled(sizes.select(*part, STRETCH, block.alias(BLOCK)))
     most = cells.agg(F.max(BLOCK)).first()[0]
-    return Cuts(points, large, cells, int(most) + 1)
+    return Cuts(points, large, cells, int(most) + 1), everything
 
 
 def _stretched(df: DataFrame, order: str, points: Sequence[float]) -> DataFrame:
@@ -130,6 +139,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, keys: Sequence[str]) -> DataFrame:
+    """The same rows, dealt by `keys` to a task for every `ROWS_PER_TASK` of them.
+
+    Without a number adaptive execution joins shuffle partitions by their compressed bytes. Rows of ladders or of repeated
+    keys shrink forty times and more, so tasks would grow with the input until one sort holds gigabytes.
+    """
+    if rows <= ROWS_PER_TASK or not keys:
+        return df
+    return df.repartition(max(-(-rows // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def with_block(df: DataFrame, order: str, cuts: Cuts | None) -> DataFrame:
     """Add the block number of each row; rows of small keys get `WHOLE`."""
     if cuts is None:
@@ -219,8 +239,8 @@ def previous(
 
     The first order column must be numeric: it decides the blocks.
     """
-    cuts = cut_points(df, keys, order[0], limit)
-    blocked = with_block(df, order[0], cuts)
+    cuts, rows = sized_cuts(df, keys, order[0], limit)
+    blocked = dealt(with_block(df, order[0], cuts), rows, [*keys, BLOCK] if cuts else keys)
     return running(
         blocked, keys, order, {"prev": ("prior", F.struct(*columns))}, cuts
     ).drop(BLOCK)
@@ -234,6 +254,6 @@ def positions(
     limit: int | None = None,
 ) -> DataFrame:
     """Add the one-based rank of each row in `order` within `keys`; order columns must be unique."""
-    cuts = cut_points(df, keys, order[0], limit)
-    blocked = with_block(df, order[0], cuts)
+    cuts, rows = sized_cuts(df, keys, order[0], limit)
+    blocked = dealt(with_block(df, order[0], cuts), rows, [*keys, BLOCK] if cuts else keys)
     return running(blocked, keys, order, {name: ("sum", F.lit(1))}, cuts).drop(BLOCK)

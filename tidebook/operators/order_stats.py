@@ -41,11 +41,14 @@ def value_counts(
 
 def is_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
     """Whether some group holds more rows than one block."""
-    if limit == BOUNDED:
-        return False
+    return False if limit == BOUNDED else group_sizes(df, keys)[0] > blocks.rows_per_block(df, limit)
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all groups."""
     sizes = df.groupBy(*keys).count() if keys else df.select(F.count("*").alias("count"))
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    return largest > blocks.rows_per_block(df, limit)
+    largest, rows = sizes.agg(F.max("count"), F.sum("count")).first()
+    return largest or 0, rows or 0
 
 
 def average_rank(
@@ -56,8 +59,10 @@ def average_rank(
     limit: int | None = None,
 ) -> DataFrame:
     """Add ranks with ties averaged; NULL values get NULL. `columns` maps value to output name."""
-    if not is_hot(df, keys, limit):
+    largest, rows = (0, 0) if limit == BOUNDED else group_sizes(df, keys)
+    if limit == BOUNDED or largest <= blocks.rows_per_block(df, limit):
         part = keys or [F.lit(0)]
+        df = blocks.dealt(df, rows, keys)
 
         def rank(value: str) -> Column:
             # NULLs sort first and are subtracted, so that rank and peer count share one sort.
