@@ -134,7 +134,7 @@ CROSS_NAMES = [f"{c}_cs_{k}" for c in AUCTION.ranked for k in ("rank", "robust_z
 @query("panel_cross_section", sql(ROW_SQL + _cross_sql("r3"), cols(CROSS_NAMES), "crossed", 5))
 def panel_cross_section(spark, sf, limit=None):
     rows = panel.with_row_features(auction_panel(spark, sf), AUCTION)
-    return emit(panel.with_cross_section(rows, AUCTION.ranked, limit).select(*KEYS, *CROSS_NAMES), 5)
+    return emit(panel.with_cross_section(rows.select(*KEYS, *AUCTION.ranked), AUCTION.ranked, limit).select(*KEYS, *CROSS_NAMES), 5)
 
 
 @query("panel_cross_section_blocked", SQL["panel_cross_section"])
