@@ -2,7 +2,7 @@
 
 Features are cut into bins at quantiles of the train rows. A pass adds up gradients and second derivatives per model,
 output, node, feature and bin where the rows are; the driver picks the splits of one level of all trees from them. Scores
-are a column of a table that is written after each round, so no pass repeats earlier trees.
+are a column of a table that is written every few rounds; a pass adds the trees since then, which costs less than writing.
 
 A model with K classes grows K trees a round on the gradients of one shared softmax, with the classes' weights.
 """
@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tidebook.operators import blocks
 from tidebook.operators.linear_classifiers import SPREAD
 
+#: Rounds after which the scores are written anew.
+ROUNDS_APART = 8
 SOFTMAX, SQUARED, ABSOLUTE = "softmax", "squared", "absolute"
 
 
@@ -100,34 +103,73 @@ def _scores(models: Sequence[Boosted], flat: np.ndarray) -> list[np.ndarray]:
     return [flat[:, e - m.outputs : e] for m, e in zip(models, ends)]
 
 
-def _histograms(state: DataFrame, models: Sequence[Boosted], growing: list[list[tuple]], level: int, width: int, bins: int) -> list[np.ndarray]:
-    """Per model an array (output, node, feature, bin, 2) of summed derivatives over its train rows."""
+def _columns(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins (rows, width) and scores (rows, outputs) of a batch, read from its buffers."""
+    bins = batch.column("bins").cast(pa.binary())
+    ends = np.frombuffer(bins.buffers()[1], np.int32)[bins.offset : bins.offset + len(bins) + 1]
+    scores = batch.column("scores").flatten().to_numpy(zero_copy_only=False)
+    return np.frombuffer(bins.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, width), scores.reshape(len(bins), -1)
+
+
+def _grown_scores(bins: np.ndarray, scores: np.ndarray, rounds: Sequence[list[list[tuple]]], params: TreeParams) -> np.ndarray:
+    """Scores after the trees of some rounds, one round after another."""
+    for growing in rounds:
+        steps = [t[2][_leaf_of(bins, t, params.depth)] for trees in growing for t in trees]
+        scores = scores + params.step * np.stack(steps, axis=1)
+    return scores
+
+
+def _histograms(
+    state: DataFrame, models: Sequence[Boosted], since: list[list[list[tuple]]], growing: list[list[tuple]], level: int, width: int, params: TreeParams
+) -> list[np.ndarray]:
+    """Per model an array (output, node, feature, bin, 2) of summed derivatives over its train rows.
+
+    `since` has the rounds that the table's scores don't hold yet. A feature is counted at a time, so its bins and sums
+    stay in the cache; a loss with one second derivative for all rows only counts rows, which at the root all such
+    models with the same rows share.
+    """
+    bins = params.bins
     shapes = [(m.outputs, 2**level, width, bins, 2) for m in models]
+    first = max(m.edge for m in models)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [np.zeros(s) for s in shapes]
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            if not len(part):
                 continue
-            part, y = pdf["part"].to_numpy(), pdf["y"].to_numpy(float)
-            b = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), width).astype(int)
-            place = np.arange(width) * bins + b
-            for k, (model, score) in enumerate(zip(models, _scores(models, np.stack(pdf["scores"].to_numpy())))):
-                mine = part < model.edge
-                if not mine.any():
+            b, scores = _columns(batch, width)
+            y = batch.column("y").to_numpy()
+            scores = _grown_scores(b, scores, since, params)
+            by_edge: dict[int, tuple] = {}
+            for k, (model, score) in enumerate(zip(models, _scores(models, scores))):
+                if model.edge not in by_edge:
+                    mine = part < model.edge
+                    by_edge[model.edge] = mine, b[mine], np.ascontiguousarray(b[mine].T), {}
+                mine, rows, turned, counted = by_edge[model.edge]
+                if not len(rows):
                     continue
                 g, h = model.derivatives(score[mine], y[mine])
                 for o in range(model.outputs):
-                    at = (_leaf_of(b[mine], growing[k][o], level)[:, None] * (width * bins) + place[mine]).ravel()
-                    size = 2**level * width * bins
-                    for i, v in enumerate((g[:, o], h[:, o])):
-                        out[k][o, ..., i] += np.bincount(at, np.repeat(v, width), size).reshape(2**level, width, bins)
-        yield pd.DataFrame({"k": range(len(out)), "g": [a.ravel() for a in out]})
-
-    parts = state.mapInPandas(partial, "k int, g array<double>").select("k", (F.spark_partition_id() % SPREAD).alias("s"), array_to_vector("g").alias("v"))
+                    node = _leaf_of(rows, growing[k][o], level) * bins
+                    for f in range(width):
+                        at = node + turned[f]
+                        size = 2**level * bins
+                        out[k][o, :, f, :, 0] += np.bincount(at, g[:, o], size).reshape(-1, bins)
+                        if model.loss == SOFTMAX:
+                            out[k][o, :, f, :, 1] += np.bincount(at, h[:, o], size).reshape(-1, bins)
+                            continue
+                        counts = counted.get(f) if level == 0 else None
+                        if counts is None:
+                            counts = counted[f] = np.bincount(at, minlength=size).reshape(-1, bins)
+                        out[k][o, :, f, :, 1] += counts * h[0, o]
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(out)), pa.int32()), "g": pa.array([a.ravel() for a in out], pa.list_(pa.float64()))})
+
+    narrow = state.where(F.col("part") < first).select("part", "y", "bins", "scores")
+    parts = narrow.mapInArrow(partial, "k int, g array<double>").select("k", (F.spark_partition_id() % SPREAD).alias("s"), array_to_vector("g").alias("v"))
     some = parts.groupBy("k", "s").agg(Summarizer.sum(F.col("v")).alias("v"))
     found = {r["k"]: np.array(r["g"]) for r in some.groupBy("k").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("g")).collect()}
-    return [found[k].reshape(s) for k, s in enumerate(shapes)]
+    return [found[k].reshape(s) if k in found else np.zeros(s) for k, s in enumerate(shapes)]
 
 
 def best_splits(histogram: np.ndarray, params: TreeParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,10 +201,19 @@ def boost(rows: DataFrame, models: Sequence[Boosted], width: int, params: TreePa
     start = F.array(*[F.lit(float(m.start)) for m in models for _ in range(m.outputs)])
     state = blocks.settled(rows.withColumns({"y": F.coalesce(F.col("y").cast("double"), F.lit(0.0)), "part": F.col("part").cast("int"), "scores": start}))
     inner = 2**params.depth - 1
+    since: list[list[list[tuple]]] = []
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = pa.array(list(_grown_scores(*_columns(batch, width), since, params)), pa.list_(pa.float64()))
+                batch = batch.set_column(batch.schema.get_field_index("scores"), "scores", scores)
+            yield batch
+
     for _ in range(params.rounds):
         growing = [[(np.zeros(inner, int), np.zeros(inner, int), np.zeros(2**params.depth)) for _ in range(m.outputs)] for m in models]
         for level in range(params.depth):
-            for trees, histogram in zip(growing, _histograms(state, models, growing, level, width, params.bins)):
+            for trees, histogram in zip(growing, _histograms(state, models, since, growing, level, width, params)):
                 for tree, h in zip(trees, histogram):
                     first = 2**level - 1
                     feature, cut, a, b = best_splits(h, params)
@@ -171,17 +222,11 @@ def boost(rows: DataFrame, models: Sequence[Boosted], width: int, params: TreePa
                         tree[2][0::2], tree[2][1::2] = a, b
         for model, trees in zip(models, growing):
             model.trees.append(trees)
-
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    b = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), width).astype(int)
-                    steps = [t[2][_leaf_of(b, t, params.depth)] for trees in growing for t in trees]
-                    pdf["scores"] = list(np.stack(pdf["scores"].to_numpy()) + params.step * np.stack(steps, axis=1))
-                yield pdf
-
-        state = blocks.settled(state.mapInPandas(add, state.schema))
-    return state
+        since.append(growing)
+        if len(since) == ROUNDS_APART:
+            state = blocks.settled(state.mapInArrow(add, state.schema))
+            since = []
+    return blocks.settled(state.mapInArrow(add, state.schema)) if since else state
 
 
 def ordered_target_statistic(
