@@ -159,19 +159,36 @@ def primary_labels(spark, sf):
 
 # --- Text written and read again -------------------------------------------------------------------
 
+PIECE = 200  # observations of a matrix line that are written at a time
 
-def text_files(rows, by, lines_of, folder):
-    """One text file for each key in the shared folder, named and filled by lines_of; returns the number of files."""
 
-    def write(pdf):
+def text_files(rows, by, order, name_of, text_of, folder):
+    """One text file for each key in the shared folder; returns the number of files.
+
+    Rows are dealt by key, sorted by `order` and written batch by batch, so Python holds a batch of a file and not the file.
+    name_of(key) names it; text_of(rows, last) is the text of the next rows, `last` the row before them (None: the first).
+    """
+
+    def write(batches):
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        name, text = lines_of(pdf)
-        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
-            out.write(gzip.compress(text.encode()) if name.endswith(".gz") else text.encode())
-        return pd.DataFrame({"name": [name]})
-
-    return rows.groupBy(*by).applyInPandas(write, "name string").count()
+        current, last, out, plain = None, None, None, None
+        for pdf in batches:
+            for key, part in pdf.groupby(by, sort=False, dropna=False):
+                if out is None or str(key) != str(current):
+                    for stream in (out, plain) if out is not None else ():
+                        stream.close()
+                    name = name_of(key)
+                    plain = store.open_output_stream(f"{root}/{name}", compression=None)
+                    out, current, last = gzip.GzipFile(fileobj=plain, mode="wb") if name.endswith(".gz") else plain, key, None
+                    yield pd.DataFrame({"name": [name]})
+                out.write(text_of(part, last).encode())
+                last = part.iloc[-1]
+        for stream in (out, plain) if out is not None else ():
+            stream.close()
+
+    tasks = max(-(-rows.count() // blocks.ROWS_PER_TASK), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *by).sortWithinPartitions(*by, *order).mapInPandas(write, "name string").count()
 
 
 BOOK_TEXT_SQL = BOOK_SQL + """, utc AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM book),
@@ -190,16 +207,17 @@ def book_csv_round_trip(spark, sf):
         *[F.element_at(ladders[c.rsplit("_", 1)[0]], int(c.rsplit("_", 1)[1]) + 1).alias(c) for c in quality.required_columns()[7:]],
     )
 
-    def lines_of(pdf):
-        day = pdf["ts_recv"].iloc[0][:10]
-        k = int(day.replace("-", ""))
-        pdf = pdf.sort_values("sequence")
-        text = (pdf[pdf.columns[::-1]] if k % 3 == 0 else pdf).to_csv(index=False)
-        return f"book-{day}.csv" + (".gz" if k % 2 else ""), text
+    number = lambda day: int(day.replace("-", ""))
+
+    def text_of(pdf, last):
+        turned = number(pdf["_day"].iloc[0]) % 3 == 0
+        pdf = pdf.drop(columns="_day")
+        return (pdf[pdf.columns[::-1]] if turned else pdf).to_csv(index=False, header=last is None)
 
     folder = fresh_path(wide, "book-text")
-    text_files(wide, [F.substring("ts_recv", 1, 10)], lines_of, folder)
-    text_files(wide.limit(1), ["symbol"], lambda pdf: ("book-2024-01-01_definition.csv", "not,a,book\n"), folder)
+    dated = wide.withColumn("_day", F.substring("ts_recv", 1, 10))
+    text_files(dated, ["_day"], ["sequence"], lambda key: f"book-{key[0]}.csv" + (".gz" if number(key[0]) % 2 else ""), text_of, folder)
+    text_files(wide.limit(1), ["symbol"], [], lambda key: "book-2024-01-01_definition.csv", lambda pdf, last: "not,a,book\n", folder)
     back = files.read_book_csv(spark, folder)
     return emit(
         back.groupBy("session_date").agg(
@@ -239,14 +257,25 @@ def matrix_text_round_trip(spark, sf):
     """A transposed text file per fold and split, named by both, read back as observations."""
     rows = members(spark, sf).select("fold", "split", "obs_id", "features", "labels")
 
-    def lines_of(pdf):
+    def pieces(pdf):
         pdf = pdf.sort_values("obs_id")
         values = np.vstack([np.stack(pdf["features"].to_numpy()).astype(np.float32).T.astype(object), np.stack(pdf["labels"].to_numpy()).astype(int).T.astype(object)])
-        kind = "Train" if pdf["split"].iloc[0] == "train" else "Test"
-        return f"{kind}_Dst_NoAuction_ZScore_CF_{pdf['fold'].iloc[0]}.txt", "".join("  ".join(map(str, line)) + "\n" for line in values)
-
+        first = pdf.iloc[0]
+        return pd.DataFrame({"fold": first["fold"], "split": first["split"], "line": range(len(values)), "piece": first["piece"], "text": ["  ".join(map(str, line)) for line in values]})
+
+    def text_of(pdf, last):
+        """Pieces of one line are two spaces apart, and a line ends where the next one begins."""
+        before = pdf["line"].shift(fill_value=pdf["line"].iloc[0] if last is None else last["line"])
+        apart = np.where(pdf["line"] != before, "\n", "  ")
+        if last is None:
+            apart[0] = ""
+        return "".join(a + t for a, t in zip(apart, pdf["text"]))
+
+    kind = lambda split: "Train" if split == "train" else "Test"
+    cut = rows.withColumn("piece", F.expr(f"obs_id div {PIECE}"))
+    lines = cut.groupBy("fold", "split", "piece").applyInPandas(pieces, "fold int, split string, line int, piece long, text string")
     folder = fresh_path(rows, "matrix-text")
-    text_files(rows, ["fold", "split"], lines_of, folder)
+    text_files(blocks.settled(lines), ["fold", "split"], ["line", "piece"], lambda key: f"{kind(key[1])}_Dst_NoAuction_ZScore_CF_{key[0]}.txt", text_of, folder)
     back = files.read_matrix_text(spark, folder, features=64, labels=5)
     value = lambda c, i: F.sum(F.element_at(c, i).cast("double"))
     return emit(

@@ -1,6 +1,9 @@
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
+from checks import storage
 from tests.test_book import event
 from tidebook.operators import panel_quality, quality
 from tidebook.sources import files, sinks
@@ -128,3 +131,23 @@ def test_book_files_are_read_by_their_own_headers(spark, tmp_path):
     (tmp_path / "again-20260106.csv").write_text(",".join(names) + "\n")
     with pytest.raises(ValueError, match="more than one file"):
         files.read_book_csv(spark, str(tmp_path))
+
+
+def test_text_is_written_batch_by_batch(spark, tmp_path):
+    """Python never holds more of a file than a batch, and the pieces stand in order."""
+    rows = spark.range(1000).selectExpr("id % 3 AS k", "999 - id AS at")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+
+    def text_of(pdf, last):
+        if len(pdf) > 50:
+            raise ValueError(f"{len(pdf)} rows at once")
+        return "".join(f"{at}\n" for at in pdf["at"])
+
+    name = lambda key: f"{key[0]}.txt" + (".gz" if key[0] == 1 else "")
+    try:
+        assert storage.text_files(rows, ["k"], ["at"], name, text_of, tmp_path.as_uri()) == 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(3):
+        got = (gzip.decompress((tmp_path / "1.txt.gz").read_bytes()) if k == 1 else (tmp_path / f"{k}.txt").read_bytes()).decode()
+        assert got == "".join(f"{at}\n" for at in sorted(999 - i for i in range(1000) if i % 3 == k))
