@@ -180,3 +180,28 @@ def test_rows_of_many_keys_are_dealt_by_their_number(spark, monkeypatch):
         assert found.count() == 2000 and max(per_task(found)) <= 300
     states = asof.probe_states(rows, probes, ["k"], "t", ["sequence"], [{"n": ("sum", F.lit(1))}])
     assert {r["n"] for r in states.collect()} == {4, 3} and len(per_task(states)) > 12
+
+
+def test_floating_keys_are_dealt_by_rows_too(spark, monkeypatch):
+    """A window makes one of -0.0 and 0.0 before it groups, and must not shuffle the rows a second time for that."""
+    monkeypatch.setattr(blocks, "ROWS_PER_TASK", 100)
+    key = "CASE WHEN id % 400 = 0 THEN -0D WHEN id % 400 = 1 THEN 0D WHEN id % 400 = 2 THEN double('NaN') ELSE id % 400 END AS k"
+    rows = spark.range(2000).selectExpr(key, "id AS t", "id AS sequence", "cast(id div 800 AS double) AS v")
+    per_task = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    probes = rows.where("t < 400").selectExpr("k", "cast(1500 AS bigint) AS t")
+    ranks = order_stats.average_rank(rows, ["k"], {"v": "r"})
+    states = asof.probe_states(rows, probes, ["k"], "t", ["sequence"], [{"n": ("sum", F.lit(1))}])
+    for found in (ranks, blocks.previous(rows, ["k"], ["t"], ["v"]), blocks.positions(rows, ["k"], ["t"])):
+        assert found.columns[:4] == rows.columns and len(found.columns) == 5
+        assert found.count() == 2000 and max(per_task(found)) <= 300
+    assert sorted(r.r for r in ranks.where("k = 0").collect()) == [2.5] * 4 + [6.5] * 4 + [9.5] * 2
+    assert len(per_task(states)) > 12 and {(r.k, r.n) for r in states.where("k <= 0 OR k = 5").collect()} == {(0.0, 8), (5.0, 4)}
+
+
+def test_ranks_of_groups_beyond_a_task(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id % 3 AS k", "CASE WHEN id % 11 > 0 THEN cast(id % 50 AS double) END AS v")
+    whole = order_stats.average_rank(rows, ["k"], {"v": "r"}, percent=True).collect()
+    monkeypatch.setattr(order_stats, "GROUP_ROWS", 100)
+    cut = order_stats.average_rank(rows, ["k"], {"v": "r"}, percent=True)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and sorted(map(str, cut.collect())) == sorted(map(str, whole))

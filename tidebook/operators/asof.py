@@ -37,13 +37,14 @@ def probe_states(
     both = events.withColumn(PROBE, F.lit(0)).unionByName(
         probes.withColumn(PROBE, F.lit(1)), allowMissingColumns=True
     )
-    state = blocks.dealt(blocks.with_block(both, time, cuts), rows, [*keys, blocks.BLOCK] if cuts else keys)
+    state, by = blocks.dealing_keys(blocks.with_block(both, time, cuts), keys)
+    state = blocks.dealt(state, rows, [*by, blocks.BLOCK] if cuts else by)
     order = [time, PROBE, *tie]
     for phase in phases:
         from_events = {
             name: (kind, F.when(F.col(PROBE) == 0, expr)) for name, (kind, expr) in phase.items()
         }
-        state = blocks.running(state, keys, order, from_events, cuts)
+        state = blocks.running(state, by, order, from_events, cuts)
     names = [name for phase in phases for name in phase]
     return state.where(F.col(PROBE) == 1).select(*probes.columns, *names)
 

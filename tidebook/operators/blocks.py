@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 BLOCK = "_block"
 STRETCH = "_stretch"
-WHOLE = -1.0  # block of rows whose key is not cut
+WHOLE = -1  # block of rows whose key is not cut
 DEFAULT_ROWS = 4_000_000
 CONF_KEY = "spark.tidebook.rowsPerBlock"
 # Rows drawn per cut point to place it. Only the borders depend on the draw, never the result.
@@ -97,7 +97,7 @@ def sized_cuts(
     before = F.sum("count").over(
         Window.partitionBy(*(part or [F.lit(0)])).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
     )
-    block = F.floor(F.coalesce(before, F.lit(0)) / limit).cast("double")
+    block = F.floor(F.coalesce(before, F.lit(0)) / limit).cast("int")
     cells = settled(sizes.select(*part, STRETCH, block.alias(BLOCK)))
     most = cells.agg(F.max(BLOCK)).first()[0]
     return Cuts(points, large, cells, int(most) + 1), everything
@@ -150,6 +150,20 @@ def dealt(df: DataFrame, rows: int, keys: Sequence[str]) -> DataFrame:
     return df.repartition(max(-(-rows // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
+def dealing_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The rows with a column of text for each floating-point key, and the names to deal and to part them by.
+
+    A window makes one value of -0.0 and 0.0 and of all NaN first, which takes it for other keys than those that the rows
+    were dealt by: they would be shuffled once more, into tasks by bytes again. Equal keys have equal texts.
+    """
+    types, names = dict(df.dtypes), list(keys)
+    for i, k in enumerate(names):
+        if types[k] in ("double", "float"):
+            names[i] = f"_key_{k}"
+            df = df.withColumn(names[i], (F.col(k) + F.lit(0.0)).cast("string"))
+    return df, names
+
+
 def with_block(df: DataFrame, order: str, cuts: Cuts | None) -> DataFrame:
     """Add the block number of each row; rows of small keys get `WHOLE`."""
     if cuts is None:
@@ -240,10 +254,10 @@ def previous(
     The first order column must be numeric: it decides the blocks.
     """
     cuts, rows = sized_cuts(df, keys, order[0], limit)
-    blocked = dealt(with_block(df, order[0], cuts), rows, [*keys, BLOCK] if cuts else keys)
-    return running(
-        blocked, keys, order, {"prev": ("prior", F.struct(*columns))}, cuts
-    ).drop(BLOCK)
+    blocked, by = dealing_keys(with_block(df, order[0], cuts), keys)
+    values = {"prev": ("prior", F.struct(*columns))}
+    found = running(dealt(blocked, rows, [*by, BLOCK] if cuts else by), by, order, values, cuts)
+    return found.select(*df.columns, *values)
 
 
 def positions(
@@ -255,5 +269,7 @@ def positions(
 ) -> DataFrame:
     """Add the one-based rank of each row in `order` within `keys`; order columns must be unique."""
     cuts, rows = sized_cuts(df, keys, order[0], limit)
-    blocked = dealt(with_block(df, order[0], cuts), rows, [*keys, BLOCK] if cuts else keys)
-    return running(blocked, keys, order, {name: ("sum", F.lit(1))}, cuts).drop(BLOCK)
+    blocked, by = dealing_keys(with_block(df, order[0], cuts), keys)
+    values = {name: ("sum", F.lit(1))}
+    found = running(dealt(blocked, rows, [*by, BLOCK] if cuts else by), by, order, values, cuts)
+    return found.select(*df.columns, *values)

@@ -269,7 +269,7 @@ def non_overlapping(
         steps = blocks.settled(
             celled.where(F.col(BLOCK) != blocks.WHOLE)
             .groupBy(*keys, BLOCK)
-            .applyInPandas(_leaving(keys), f"{ddl}, {BLOCK} double, _upto bigint, _out bigint")
+            .applyInPandas(_leaving(keys), f"{ddl}, {BLOCK} int, _upto bigint, _out bigint")
         )
         entries = _entries(steps, keys, cuts.most, limit)
         entered = blocks.null_safe_join(celled, entries, [*keys, BLOCK], "left").withColumn(

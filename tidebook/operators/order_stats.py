@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tidebook.operators import blocks
 from tidebook.operators.blocks import BLOCK, BOUNDED
 
+GROUP_ROWS = 1_000_000  # of one group that a task ranks at once; more are ranked by blocks
+
 
 def value_counts(
     df: DataFrame, keys: Sequence[str], value: str, limit: int | None = None
@@ -60,22 +62,23 @@ def average_rank(
 ) -> DataFrame:
     """Add ranks with ties averaged; NULL values get NULL. `columns` maps value to output name."""
     largest, rows = (0, 0) if limit == BOUNDED else group_sizes(df, keys)
-    if limit == BOUNDED or largest <= blocks.rows_per_block(df, limit):
-        part = keys or [F.lit(0)]
-        df = blocks.dealt(df, rows, keys)
+    if limit == BOUNDED or largest <= min(GROUP_ROWS, blocks.rows_per_block(df, limit)):
+        given = df.columns
+        df, by = blocks.dealing_keys(df, keys)
+        df, part = blocks.dealt(df, rows, by), by or [F.lit(0)]
 
         def rank(value: str) -> Column:
-            # NULLs sort first and are subtracted, so that rank and peer count share one sort.
+            # NULLs sort first and are subtracted. The count runs up to the last row of the same value, so that the mean of
+            # both ends needs one sort, and every further window of this order none.
             by_value = Window.partitionBy(*part).orderBy(value)
-            peers = Window.partitionBy(*part, value)
-            group = Window.partitionBy(*part)
-            filled = F.count(value).over(group)
-            first = F.rank().over(by_value) - (F.count("*").over(group) - filled)
-            mean = first + (F.count("*").over(peers) - 1) / 2
-            scaled = mean / filled if percent else mean.cast("double")
+            last = F.count(value).over(by_value)
+            mean = (F.rank().over(by_value) - F.count_if(F.col(value).isNull()).over(by_value) + last) / 2
+            scaled = mean / F.count(value).over(Window.partitionBy(*part)) if percent else mean.cast("double")
             return F.when(F.col(value).isNotNull(), scaled)
 
-        return df.withColumns({out: rank(value) for value, out in columns.items()})
+        for value, out in columns.items():  # one after the other, for a window node sorts once for each order
+            df = df.withColumn(out, rank(value))
+        return df.select(*given, *columns.values())
     for value, out in columns.items():
         counts = value_counts(df.select(*keys, value), keys, value, limit)
         mean = F.col("below") + (F.col("n") + 1) / 2
