@@ -205,3 +205,11 @@ def test_ranks_of_groups_beyond_a_task(spark, monkeypatch):
     cut = order_stats.average_rank(rows, ["k"], {"v": "r"}, percent=True)
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and sorted(map(str, cut.collect())) == sorted(map(str, whole))
+
+
+def test_few_large_groups_do_not_meet_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS_PER_TASK", 100)
+    rows = spark.range(5000).selectExpr("concat('d', id % 20) AS k", "cast(id div 20 AS double) AS v")
+    found = order_stats.average_rank(rows, ["k"], {"v": "r"})
+    tasks = found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("r").alias("most")).collect()
+    assert max(r["n"] for r in tasks) <= 350 and {r["most"] for r in tasks} == {250.0}

@@ -139,15 +139,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, rows: int, keys: Sequence[str]) -> DataFrame:
+def dealt(df: DataFrame, rows: int, keys: Sequence[str], ranges: bool = False) -> DataFrame:
     """The same rows, dealt by `keys` to a task for every `ROWS_PER_TASK` of them.
 
     Without a number adaptive execution joins shuffle partitions by their compressed bytes. Rows of ladders or of repeated
     keys shrink forty times and more, so tasks would grow with the input until one sort holds gigabytes.
+
+    With `ranges` the keys are dealt in their order, so that a task gets its share and one key's rows at most, where hashes
+    bring several large keys together. The rows are read once more for the borders.
     """
     if rows <= ROWS_PER_TASK or not keys:
         return df
-    return df.repartition(max(-(-rows // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism), *keys)
+    tasks = max(-(-rows // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartitionByRange(tasks, *keys) if ranges else df.repartition(tasks, *keys)
 
 
 def dealing_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:

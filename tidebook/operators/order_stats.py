@@ -65,7 +65,7 @@ def average_rank(
     if limit == BOUNDED or largest <= min(GROUP_ROWS, blocks.rows_per_block(df, limit)):
         given = df.columns
         df, by = blocks.dealing_keys(df, keys)
-        df, part = blocks.dealt(df, rows, by), by or [F.lit(0)]
+        df, part = blocks.dealt(df, rows, by, ranges=largest > blocks.ROWS_PER_TASK // 8), by or [F.lit(0)]
 
         def rank(value: str) -> Column:
             # NULLs sort first and are subtracted. The count runs up to the last row of the same value, so that the mean of

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalars import is_finite
-from tidebook.operators import order_stats
+from tidebook.operators import blocks, order_stats
 
 
 def labeled_rows(df: DataFrame, target: str = "target") -> DataFrame:
@@ -27,7 +27,9 @@ def feature_ic(
         for f in features
         for t in targets
     ]
-    long = df.select(*keys, F.explode(F.array(*pairs)).alias("_e")).select(*keys, "_e.*")
+    # read for sizes, for borders and for the ranks
+    narrow = blocks.settled(df.select(*dict.fromkeys([*keys, *features, *targets])))
+    long = narrow.select(*keys, F.explode(F.array(*pairs)).alias("_e")).select(*keys, "_e.*")
     return order_stats.spearman(long, [*keys, "feature", "target"], "x", "y", limit=limit)
 
 
