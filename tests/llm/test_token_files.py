@@ -77,6 +77,29 @@ def test_chunks_equal_the_library_on_any_text(texts):
     assert ids.tolist() == sum(library(texts), []) and lengths.tolist() == [len(x) for x in library(texts)]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("ab's ,.!\n\u00e9\u00d7\u00f7\u00ff\u00aa\u00a0\u0301\u0663\u07ff\u0800\u2009", max_size=40), max_size=4))
+def test_chunks_equal_the_library_beyond_ascii(texts):
+    ids, lengths = CHUNKS.encode(pa.array(texts, pa.string()))
+    assert ids.tolist() == sum(library(texts), []) and lengths.tolist() == [len(x) for x in library(texts)]
+
+
+def test_new_chunks_are_given_to_the_library_together():
+    """Words that no text had before, with and without a space, accents and stops: a few strings, not one a word."""
+    chunks, given = token_files.Chunks(PATH), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return TOKENIZER.encode_batch_fast(texts, **options)
+
+    chunks.tokenizer = Counted()
+    texts = [f"w{k} \u00e9t\u00e9{k} x{k}\u00f1, {k}\nLine{k} end" for k in range(3000)]
+    ids, lengths = chunks.encode(pa.array(texts))
+    assert ids.tolist() == sum(library(texts), []) and lengths.tolist() == [len(x) for x in library(texts)]
+    assert len(given) < 50
+
+
 def expected(rows):
     out, start = [], 0
     ids = library([t or "" for _, t in rows])

@@ -13,7 +13,6 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +27,18 @@ from tidebook.llm.scratch import stored
 
 MAGIC, END = b"TKID\x01\r\n\x00", struct.Struct("<QI8s")
 #: Blocks coded side by side, ids after which a task begins its next file, and bytes of text tokenised at once.
-TOGETHER, FILE_IDS, TEXTS = 128, 1 << 24, 1 << 22
-#: Distinct chunks of text whose ids a worker remembers, and stops that part a word from what follows.
-MEMORY = 1 << 20
+TOGETHER, FILE_IDS, TEXTS = 128, 1 << 24, 1 << 24
+#: Distinct chunks of text whose ids a worker remembers, new ones given to the library as one text, and stops that part a word from what follows.
+MEMORY, JOINED = 1 << 20, 1 << 10
 STOPS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
 
 class Chunks:
     """Ids of texts by a byte-level tokenizers file. Texts are cut where its pre-tokens always end: before a single space
-    or line end between two printing characters, after such a line end, and between a letter and a stop. A chunk that
-    comes again isn't encoded again; chunks beyond MEMORY are encoded whenever they come."""
+    or line end between two plain characters (printing ASCII, or others below U+0800 that no white space is among), after
+    such a line end, and between a letter and a stop. A chunk that comes again isn't encoded again; chunks beyond MEMORY
+    are encoded whenever they come. New chunks are joined where they would be cut again, and a token's bytes say to
+    which chunk it belongs."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,9 +46,10 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.n = self.n_ids = 0
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(tokens.values()) + 1, np.int64)
+        self.bytes[list(tokens.values())] = [len(t) for t in tokens]  # a character of a token's name is a byte
+        self.words, self.ids, self.ends = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text) of an array of strings without nulls."""
@@ -57,47 +59,95 @@ class Chunks:
         if offsets[-1] == offsets[0]:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         borders = self.borders(np.frombuffer(data, np.uint8)[: offsets[-1]], offsets)
-        pieces = pa.Array.from_buffers(pa.large_string(), len(borders) - 1, [None, pa.py_buffer(borders), data]).dictionary_encode()
-        words, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-        at = np.array([self.known.get(w, -1) for w in words])
-        new, kept = np.flatnonzero(at < 0), (self.n, self.n_ids)
-        for i in range(0, len(new), 4096):
-            self.add([words[k] for k in new[i : i + 4096]], at, new[i : i + 4096])
-        lengths = self.lengths[at][which]
+        pieces = pa.Array.from_buffers(pa.large_string(), len(borders) - 1, [None, pa.py_buffer(borders), data])
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        missing, all_ids, all_ends = at < 0, self.ids, self.ends
+        if missing.any():
+            new = pieces.filter(pa.array(missing)).dictionary_encode()
+            at[missing] = len(self.words) + new.indices.to_numpy()
+            found, lengths = self.encoded(new.dictionary)
+            all_ids, all_ends = np.concatenate([self.ids, found]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+            kept = min(MEMORY, int(np.searchsorted(all_ends, 8 * MEMORY, "right")) - 1)
+            if kept > len(self.words):
+                self.words = pa.concat_arrays([self.words, new.dictionary.slice(0, kept - len(self.words))])
+                self.ids, self.ends = all_ids[: all_ends[kept]], all_ends[: kept + 1]
+        lengths = np.diff(all_ends).take(at)
         ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.starts[at][which] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        if len(self.known) + len(new) <= MEMORY and self.n_ids <= 8 * MEMORY:
-            self.known.update((words[k], int(at[k])) for k in new)
-        else:
-            self.n, self.n_ids = kept
+        ids = all_ids.take(np.repeat(all_ends.take(at) - (ends - lengths), lengths) + np.arange(ends[-1]))
         return ids, np.diff(np.concatenate([[0], ends])[np.searchsorted(borders, offsets)])
 
     @staticmethod
-    def borders(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def plain(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a plain character begins, and where one ends."""
+        ascii, lead = raw - np.uint8(33) < 94, raw - np.uint8(0xC3) < 29
+        ends = ascii.copy()
+        ends[1:] |= lead[:-1]
+        return ascii | lead, ends
+
+    @classmethod
+    def borders(cls, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         cut = np.zeros(len(raw) + 1, bool)
         cut[offsets] = True
-        plain = raw - np.uint8(33) < 94  # printing ASCII
+        begins, ends = cls.plain(raw)
         letter = (raw | 32) - np.uint8(97) < 26
-        white = ((raw[1:-1] == 32) | (raw[1:-1] == 10)) & plain[:-2] & plain[2:]
+        letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)  # U+00C0 to U+00FF without two signs
+        white = ((raw[1:-1] == 32) | (raw[1:-1] == 10)) & ends[:-2] & begins[2:]
         cut[1:-2] |= white
         cut[2:-1] |= white & (raw[1:-1] == 10)
         cut[1:-1] |= letter[:-1] & STOPS[raw[1:]]
         cut[: offsets[0]] = False
         return np.flatnonzero(cut).astype(np.int64)
 
-    def add(self, words: list[str], at: np.ndarray, where: np.ndarray) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        while self.n + len(words) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        at[where] = self.n + np.arange(len(words))
-        self.starts[self.n : self.n + len(words)] = self.n_ids + np.cumsum(lengths) - lengths
-        self.lengths[self.n : self.n + len(words)] = lengths
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.n, self.n_ids = self.n + len(words), self.n_ids + len(ids)
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each) of chunks, none of them empty. Those that begin with a single space follow one
+        another, those that begin with a plain character are parted by line ends, any others stay alone."""
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(data, np.uint8)[: offsets[-1]]
+        begins, ends = self.plain(raw)
+        first, last = offsets[:-1], offsets[1:] - 1
+        spaced = (raw[first] == 32) & begins[np.minimum(first + 1, last)] & ends[last]
+        lined = begins[first] & ends[last]
+        parts = [self.joined(words, np.flatnonzero(spaced), ""), self.joined(words, np.flatnonzero(lined), "\n")]
+        parts.append(self.alone(words, np.flatnonzero(~spaced & ~lined)))
+        rows, ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts, order = np.cumsum(lengths) - lengths, np.argsort(rows)
+        starts, lengths = starts[order], lengths[order]
+        return ids[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(ids))], lengths
+
+    def joined(self, words: pa.Array, rows: np.ndarray, between: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(rows), 16 * JOINED):
+            several = [words.take(pa.array(rows[j : j + JOINED])) for j in range(i, min(len(rows), i + 16 * JOINED), JOINED)]
+            texts = [between.join(w.to_pylist()) if between else self.text(w) for w in several]
+            for w, encoding in zip(several, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(encoding.ids, np.uint32)
+                upto = np.cumsum(self.bytes[ids])
+                ends = np.cumsum(pc.binary_length(w).to_numpy() + len(between)) - len(between)
+                after = np.searchsorted(upto, ends) + 1  # ids up to the end of each chunk
+                if after[-1] != len(ids) or not np.array_equal(upto[after - 1], ends):
+                    raise ValueError("a token of the library goes beyond a chunk")
+                keep = np.ones(len(ids), bool)
+                if between:
+                    keep[after[:-1]] = False
+                found.append(ids[keep])
+                counts.append(np.diff(after, prepend=0) - np.minimum(np.arange(len(w)), len(between)))
+        return rows, np.concatenate(found), np.concatenate(counts)
+
+    @staticmethod
+    def text(words: pa.Array) -> str:
+        """All of them in a row, as they stand in memory."""
+        _, offsets, data = words.buffers()
+        first, last = np.frombuffer(offsets, np.int64)[[words.offset, words.offset + len(words)]]
+        return str(memoryview(data)[first:last], "utf-8")
+
+    def alone(self, words: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, lengths = [np.zeros(0, np.uint32)], []
+        for i in range(0, len(rows), 4 * JOINED):
+            for encoding in self.tokenizer.encode_batch_fast(words.take(pa.array(rows[i : i + 4 * JOINED])).to_pylist(), add_special_tokens=False):
+                found.append(np.array(encoding.ids, np.uint32))
+                lengths.append(len(found[-1]))
+        return rows, np.concatenate(found), np.array(lengths, np.int64)
 
 
 @functools.lru_cache(2)
