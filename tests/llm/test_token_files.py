@@ -84,6 +84,17 @@ def test_chunks_equal_the_library_beyond_ascii(texts):
     assert ids.tolist() == sum(library(texts), []) and lengths.tolist() == [len(x) for x in library(texts)]
 
 
+def test_borders_do_not_depend_on_how_many_bytes_are_seen(monkeypatch):
+    texts = pa.array(["a\u00e9 b\n\u00e9,\u00d7.", "", " c\u00a0 d \u00ff!\nx"] * 40, pa.large_string())
+    offsets, raw = (np.frombuffer(b, t) for b, t in zip(texts.buffers()[1:], (np.int64, np.uint8), strict=True))
+    offsets, raw = offsets[: len(texts) + 1], raw[: offsets[len(texts)]]
+    whole = CHUNKS.borders(raw, offsets).tolist()
+    for near in (1, 2, 5, 64):
+        monkeypatch.setattr(token_files, "NEAR", near)
+        assert CHUNKS.borders(raw, offsets).tolist() == whole
+        assert CHUNKS.borders(raw, offsets[7:]).tolist() == [b for b in whole if b >= offsets[7]]
+
+
 def test_new_chunks_are_given_to_the_library_together():
     """Words that no text had before, with and without a space, accents and stops: a few strings, not one a word."""
     chunks, given = token_files.Chunks(PATH), []

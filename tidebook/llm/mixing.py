@@ -221,8 +221,14 @@ class Decoder:
         return np.where(at < self.ends[lanes], self.words.take(np.minimum(at, len(self.words) - 1)), 0).astype(np.int64)
 
     def target(self, lanes: slice | np.ndarray) -> np.ndarray:
-        self.unit = self.range[lanes] >> FINE
-        return np.minimum(self.rest[lanes] // self.unit, (1 << FINE) - 1)
+        """The quotient of rest and unit. Rounding may miss it by one, which the remainder shows."""
+        unit, rest = self.range[lanes] >> FINE, self.rest[lanes]
+        found = (rest / unit).astype(np.int64)
+        left = rest - found * unit
+        found += left >= unit
+        found -= left < 0
+        self.unit = unit
+        return np.minimum(found, (1 << FINE) - 1)
 
     def take(self, lanes: slice | np.ndarray, low: np.ndarray, share: np.ndarray) -> None:
         rest, width = self.rest[lanes] - self.unit * low, self.unit * share
@@ -328,7 +334,8 @@ def decode(blocks: Sequence[bytes]) -> list[np.ndarray]:
         share, low = model.shares.reshape(-1).take(at).astype(np.int64), model.lows.reshape(-1).take(at)
         # the last share of order 0 that begins at the target or before it
         beyond = np.maximum(0, target - (top << MORE)) + 1
-        found = model.places.take(model.base_places[:n] + np.minimum(((beyond << SCALE - MORE) - 1) // (TOTAL - top), TOTAL - 1))
+        nth = (((beyond << SCALE - MORE) - 1) / (TOTAL - top)).astype(np.int64)  # below 2**34, so rounding doesn't reach the next whole number
+        found = model.places.take(model.base_places[:n] + np.minimum(nth, TOTAL - 1))
         symbol = np.where(missed, found, model.ids.reshape(-1).take(at)).astype(np.int64)
         place = model.base_zero[:n] + symbol
         below, width = model.zero(place, top)
