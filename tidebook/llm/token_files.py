@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidebook.llm import mixing
 from tidebook.llm.scratch import stored
 
-MAGIC, END = b"TKID\x01\r\n\x00", struct.Struct("<QI8s")
+MAGIC, END = b"TKID\x02\r\n\x00", struct.Struct("<QI8s")
 #: Blocks coded side by side, ids after which a task begins its next file, and bytes of text tokenised at once.
 TOGETHER, FILE_IDS, TEXTS = 128, 1 << 24, 1 << 24
 #: Distinct chunks of text whose ids a worker remembers, new ones given to the library as one text, and stops that part a word from what follows.
