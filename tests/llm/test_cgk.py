@@ -73,3 +73,36 @@ def test_short_items_are_found_word_for_word(spark):
     got = sorted((r.id, r.item, r.edits) for r in cgk.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
     want = [(d, i, 0) for d, x in docs for i, y in items if cgk.plain(y) and f" {cgk.plain(y).decode()} " in f" {cgk.plain(x).decode()} "]
     assert got == sorted(want) and len(want) == 9
+
+
+def test_edited_short_items_behind_many_long_ones_are_found(spark):
+    """The pilot reads every item, and those of which samples miss a copy go by their pieces."""
+    draw, edits = random.Random(5), np.random.default_rng(5)
+    short = lambda: cgk.plain(prose(draw, 30))[:60].strip().decode()
+    items = [(i, prose(draw, 40)) for i in range(310)] + [(310 + i, short()) for i in range(60)]
+    by_id, docs = dict(items), []
+    for d in range(240):
+        text = cgk.edited(by_id[310 + d % 60].encode(), [0.05, 0.1, 0.15, 0.2][d // 60], edits).decode()
+        docs.append((d, f"{prose(draw, 30)} {text} {prose(draw, 30)}"))
+    want = {}
+    for d, text in docs:
+        pattern = cgk.plain(by_id[310 + d % 60])
+        if (edit := cgk.edit_distance(pattern, cgk.plain(text), len(pattern))) <= int(cgk.EDITS * len(pattern)):
+            want[d, 310 + d % 60] = edit
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r.id, r.item): r.edits for r in cgk.leaks(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) >= 230 and all(len(cgk.plain(by_id[i])) >= cgk.LEAST_CHARS for _, i in want)
+    assert sum(got.get(k) == edit for k, edit in want.items()) >= 0.99 * len(want)
+
+
+def test_pieces_find_every_window():
+    draw, edits = random.Random(6), np.random.default_rng(6)
+    for share in (0.0, 0.1, 0.2, 0.3, 0.45):
+        for _ in range(60):
+            item = cgk.plain("".join(draw.choice("abcde  é") for _ in range(draw.randint(50, 150))))
+            copies = [cgk.plain(cgk.edited(item, share * draw.random(), edits).decode(errors="ignore")) for _ in range(3)]
+            texts = [b"", cgk.plain(prose(draw, 30)), *[cgk.plain(prose(draw, 9)) + b" " + c + b" " + c for c in copies]]
+            items = cgk.Items([1], [item], range(1), 1, np.zeros((0, cgk.STEPS), np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)])
+            got = {owner: edit for owner, _, edit in cgk.Search(items, share).matches(texts)}
+            exact = {k: cgk.edit_distance(item, t, len(item)) for k, t in enumerate(texts)}
+            assert got == {k: e for k, e in exact.items() if e <= int(share * len(item))}
