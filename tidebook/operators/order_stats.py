@@ -7,8 +7,10 @@ ranked by blocks; see `blocks`.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,15 +214,129 @@ def column_medians(
     inside = [F.struct(F.lit(c).alias(NAME), F.when(v.between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]), v).alias(VALUE)) for i, (c, v) in enumerate(zip(columns, value))]
     kept = paired.select(*keys, F.explode(F.filter(F.array(*inside), lambda e: e[VALUE].isNotNull())).alias("_e")).select(*keys, "_e.*")
     by = [*keys, NAME]
-    table = blocks.settled(kept.groupBy(*by, VALUE).agg(F.count("*").alias("n")))
+    found = _placed_medians(kept.groupBy(*by, VALUE).agg(F.count("*").alias("n")), sizes, by, limit)
+    return quantiles(stacked(df, keys, columns), by, VALUE, [0.5], "q", limit) if found is None else found
+
+
+def _placed_medians(kept: DataFrame, sizes: DataFrame, by: Sequence[str], limit: int | None) -> DataFrame | None:
+    """Medians from the counts of the values inside brackets and the rows below them, or None if a bracket missed."""
+    table = blocks.settled(kept)
     cuts = blocks.cut_points(table, by, VALUE, limit)
     ranked = blocks.running(blocks.with_block(table, VALUE, cuts), by, [VALUE], {"upto": ("sum", F.col("n"))}, cuts)
     placed = blocks.null_safe_join(ranked, sizes, by, "inner")
     counted = placed.select(*by, VALUE, "n", (F.col("lower") + F.col("upto") - F.col("n")).alias("below"), "total")
     found = blocks.settled(quantiles_from_counts(counted, by, VALUE, [0.5], "q"))
-    if found.where(~F.exists("q", lambda q: q.isNull())).count() == sizes.count():
+    return found if found.where(~F.exists("q", lambda q: q.isNull())).count() == sizes.count() else None
+
+
+CHUNK, POINTS = 65_536, 2_048  # rows that are sorted at once, and points kept of them: a rank is off by rows / POINTS / 2 at most
+EDGE = "_edge"
+
+
+def matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    """Numeric columns of a batch side by side; NaN where a value is missing."""
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+
+
+def quantile_points(df: DataFrame, part: str, columns: Sequence[str]) -> DataFrame:
+    """(part, at, values, weight): points at even ranks of the sorted values of a stretch of rows, by part and position of the
+    column; each stands for `weight` values. They add up over tasks, so quantiles of any parts can be read off."""
+    columns = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def points(p: int) -> pa.RecordBatch:
+            rows = np.sort(np.concatenate(held.pop(p)), axis=0)  # NaN last
+            there = len(rows) - np.isnan(rows).sum(0)
+            kept = [rows[:n, i] if n <= POINTS else rows[((np.arange(POINTS) + 0.5) * (n / POINTS)).astype(int), i] for i, n in enumerate(there)]
+            weights = [n / max(1, len(v)) for n, v in zip(there.tolist(), kept)]
+            return pa.RecordBatch.from_pydict(
+                {part: pa.array([p] * len(kept), pa.int32()), "at": pa.array(range(len(kept)), pa.int32()), "values": pa.array(kept, pa.list_(pa.float64())), "weight": pa.array(weights, pa.float64())}
+            )
+
+        for batch in batches:
+            parts = batch.column(part).to_numpy(zero_copy_only=False)
+            values = matrix(batch, columns)
+            for p in np.unique(parts).tolist():
+                held.setdefault(p, []).append(values[parts == p])
+                if sum(map(len, held[p])) >= CHUNK:
+                    yield points(p)
+        for p in list(held):
+            yield points(p)
+
+    rows = df.select(F.col(part).cast("int").alias(part), *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.mapInArrow(run, f"{part} int, at int, values array<double>, weight double")
+
+
+def read_points(points: DataFrame, part: str, edges: Sequence[int], probabilities: Sequence[float]) -> dict[tuple[int, int], np.ndarray]:
+    """Approximate quantiles of the rows with part < edge, for each edge and position of a column that has values."""
+    edges, probabilities = list(edges), np.array(probabilities, float)
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = np.array([len(v) for v in table.column("values")])
+        values = table.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        weights, parts = (np.repeat(table.column(c).to_numpy(), sizes) for c in ("weight", part))
+        order = np.argsort(values, kind="stable")
+        values, weights, parts = values[order], weights[order], parts[order]
+        out = []
+        for edge in edges:
+            mine = parts < edge
+            if mine.any():
+                upto = np.cumsum(weights[mine])
+                # the first value with that share of the rows up to it
+                found = np.searchsorted(upto, probabilities * upto[-1] - 1e-9 * upto[-1], "left")
+                out.append((edge, values[mine][np.minimum(found, mine.sum() - 1)]))
+        return pa.table({"edge": pa.array([e for e, _ in out], pa.int32()), "at": pa.array([table.column("at")[0].as_py()] * len(out), pa.int32()), "q": pa.array([q for _, q in out], pa.list_(pa.float64()))})
+
+    rows = points.where(F.size("values") > 0).groupBy("at").applyInArrow(run, "edge int, at int, q array<double>").collect()  # a row an edge and column
+    return {(r["edge"], r["at"]): np.array(r["q"]) for r in rows}
+
+
+def nested_medians(df: DataFrame, part: str, edges: Sequence[int], columns: Sequence[str], points: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Exact medians of many columns over the rows with part < edge, for each edge, as (EDGE, NAME, q); a column without values
+    has no row. NaN is missing.
+
+    Rows stay wide and are not repeated per edge: one pass sketches all columns (or `points` has the sketch), a second one
+    counts what is below the bracket around each median and keeps the values inside.
+    """
+    columns, edges = list(columns), list(edges)
+    points = quantile_points(df, part, columns) if points is None else points
+    ends = read_points(points, part, edges, [0.5 - 2 / POINTS, 0.5 + 2 / POINTS])
+    bounds = {e: np.array([ends.get((e, i), [np.nan, np.nan]) for i in range(len(columns))]).T for e in edges}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = {e: np.zeros((2, len(columns)), np.int64) for e in edges}
+        for batch in batches:
+            parts = batch.column(part).to_numpy(zero_copy_only=False)
+            values = matrix(batch, columns)
+            for e in edges:
+                mine = values[parts < e]
+                low, high = bounds[e]
+                below = mine < low
+                sizes[e] += np.stack([(~np.isnan(mine)).sum(0), below.sum(0)])
+                at, row = np.nonzero(((mine >= low) & (mine <= high)).T)
+                inside = mine[row, at]
+                order = np.lexsort((inside, at))
+                at, inside = at[order], inside[order]
+                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (inside[1:] != inside[:-1])][: len(at)])
+                n = np.diff(np.r_[first, len(at)])
+                yield pa.RecordBatch.from_pydict({EDGE: pa.array(np.full(len(first), e, np.int32)), "at": pa.array(at[first].astype(np.int32)), VALUE: pa.array(inside[first]), "n": pa.array(n.astype(np.int64)), "total": pa.nulls(len(first), pa.int64())})
+        for e, (total, lower) in sizes.items():
+            yield pa.RecordBatch.from_pydict({EDGE: pa.array([e] * len(columns), pa.int32()), "at": pa.array(range(len(columns)), pa.int32()), VALUE: pa.nulls(len(columns), pa.float64()), "n": pa.array(lower), "total": pa.array(total)})
+
+    rows = df.select(F.col(part).cast("int").alias(part), *[F.col(c).cast("double").alias(c) for c in columns])
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("at")).alias(NAME)
+    made = rows.mapInArrow(run, f"{EDGE} int, at int, {VALUE} double, n bigint, total bigint").groupBy(EDGE, "at", VALUE)
+    made = blocks.settled(made.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select(EDGE, name, VALUE, "n", "total"))
+    by = [EDGE, NAME]
+    sizes = made.where(F.col("total") > 0).select(*by, "total", F.col("n").alias("lower"))
+    found = _placed_medians(made.where(F.col(VALUE).isNotNull()).select(*by, VALUE, "n"), sizes, by, limit)
+    if found is not None:
         return found
-    return quantiles(stacked(df, keys, columns), by, VALUE, [0.5], "q", limit)
+    each = rows.withColumn(EDGE, F.explode(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e > F.col(part))))
+    clean = each.select(EDGE, *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in columns])
+    return quantiles(stacked(clean, [EDGE], columns), by, VALUE, [0.5], "q", limit)
 
 
 def quantiles_from_counts(

@@ -17,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.scalars import dot, is_finite, nan_to_null
+from tidebook.functions.scalars import is_finite, nan_to_null
 from tidebook.operators import blocks, order_stats
 
 TINY = 1e-12
@@ -59,6 +60,15 @@ def feature_medians(
     return out
 
 
+def nested_medians(rows: DataFrame, part: str, edges: Sequence[int], features: Sequence[str], points: DataFrame | None = None) -> dict[tuple, np.ndarray]:
+    """As `feature_medians`, over the rows with part < edge for each edge, whose key is (edge,)."""
+    place = {f: i for i, f in enumerate(features)}
+    out: dict[tuple, np.ndarray] = {(e,): np.zeros(len(features)) for e in edges}
+    for row in order_stats.nested_medians(rows, part, edges, features, points).collect():
+        out[row[order_stats.EDGE],][place[row[order_stats.NAME]]] = row["q"][0]
+    return out
+
+
 def fit_preprocessing(train: DataFrame, features: Sequence[str], limit: int | None = None) -> Preprocessing:
     """Exact medians, then mean and population deviation after filling."""
     median = [float(m) for m in feature_medians(train, features, limit=limit)[()]]
@@ -91,6 +101,19 @@ class RidgeCase:
     unlabeled: bool = False
 
 
+def _raw(batch: pa.RecordBatch, d: int, centre: np.ndarray) -> np.ndarray:
+    """The rows' values as the sums hold them, without target and 1."""
+    values = order_stats.matrix(batch, [f"_x{i}" for i in range(d)])
+    missing = np.isnan(values)
+    return np.hstack([np.where(missing, 0.0, values - centre), missing])
+
+
+def _moments(parts, labeled, whole: bool, stocks: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+    columns = [pa.array(parts, pa.int32()), pa.array(labeled, pa.bool_()), pa.array([whole] * len(sums), pa.bool_()), stocks, lists]
+    return pa.RecordBatch.from_arrays(columns, [PART, "_labeled", "_whole", GROUP, "g"])
+
+
 class PanelMoments:
     """Sums of a panel from one pass. Columns are, for d features: values less a centre (0 where missing), indicators of
     missing values, the target, and 1."""
@@ -101,41 +124,45 @@ class PanelMoments:
         self.x, self.y, self.one = np.arange(2 * d), 2 * d, 2 * d + 1
         labeled = is_finite(F.col(target))
         y = F.when(labeled, F.col(target).cast("double")).otherwise(0.0)
-        rows = panel.select(part.cast("int").alias(PART), labeled.alias("_labeled"), F.col("stock_id").alias(GROUP), F.concat(self.raw(), F.array(y)).alias("v"))
+        given = [F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(self.features)]
+        rows = panel.select(part.cast("int").alias(PART), labeled.alias("_labeled"), F.col("stock_id").alias(GROUP), *given, y.alias("_y"))
         kind = panel.schema["stock_id"].dataType.simpleString()
         w = 2 * d + 2
 
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             products: dict[tuple, np.ndarray] = {}
-            for pdf in batches:
-                if pdf.empty:
+            group_type = None
+            for batch in batches:
+                group_type = batch.schema.field(GROUP).type
+                if not batch.num_rows:
                     continue
-                values = np.column_stack([np.stack(pdf["v"].to_numpy()), np.ones(len(pdf))])
-                for key, at in pdf.groupby([PART, "_labeled"]).indices.items():
-                    products[key] = products.get(key, 0) + values[at].T @ values[at]
-                kept = pdf["_labeled"].to_numpy()
+                values = np.ones((batch.num_rows, w))
+                values[:, : 2 * d] = _raw(batch, d, centre)
+                values[:, 2 * d] = batch.column("_y").to_numpy()
+                parts, kept = batch.column(PART).to_numpy(), batch.column("_labeled").to_numpy(zero_copy_only=False)
+                for p, l in sorted(set(zip(parts.tolist(), kept.tolist()))):
+                    mine = values[(parts == p) & (kept == l)]
+                    products[p, l] = products.get((p, l), 0) + mine.T @ mine
                 if kept.any():
-                    groups = pdf.loc[kept].groupby([PART, GROUP], dropna=False, sort=False).ngroup().to_numpy()
-                    sums = np.zeros((groups.max() + 1, w))
-                    np.add.at(sums, groups, values[kept])
-                    heads = pdf.loc[kept, [PART, GROUP]].iloc[np.unique(groups, return_index=True)[1]]
-                    yield heads.assign(_labeled=True, _whole=False, g=list(sums))[[PART, "_labeled", "_whole", GROUP, "g"]]
-            rows = [(int(p), bool(l), True, None, m.ravel()) for (p, l), m in products.items()]
-            yield pd.DataFrame(rows, columns=[PART, "_labeled", "_whole", GROUP, "g"]).astype({GROUP: "object"})
+                    coded = batch.column(GROUP).dictionary_encode(null_encoding="encode")
+                    stocks, numbers = coded.dictionary, coded.indices.to_numpy()[kept]
+                    key = parts[kept].astype(np.int64) * len(stocks) + numbers
+                    order = np.argsort(key, kind="stable")
+                    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+                    sums = np.add.reduceat(values[kept][order], first, axis=0)
+                    heads = order[first]
+                    yield _moments(parts[kept][heads], [True] * len(heads), False, stocks.take(pa.array(numbers[heads])), sums)
+            if products:
+                keys = list(products)
+                yield _moments([p for p, _ in keys], [l for _, l in keys], True, pa.nulls(len(keys), group_type), np.stack([products[k].ravel() for k in keys]))
 
         ddl = f"{PART} int, _labeled boolean, _whole boolean, {GROUP} {kind}, g array<double>"
-        parts = rows.mapInPandas(partial, ddl).withColumn("v", array_to_vector("g"))
+        parts = rows.mapInArrow(partial, ddl).withColumn("v", array_to_vector("g"))
         cube = blocks.settled(parts.groupBy(PART, "_labeled", "_whole", GROUP).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("g")))
         self.products = {(r[PART], r["_labeled"]): np.array(r["g"]).reshape(w, w) for r in cube.where("_whole").collect()}
         pair = F.struct(F.col(PART).alias("part"), "g")
         self.stocks = blocks.settled(cube.where("NOT _whole").groupBy(GROUP).agg(F.collect_list(pair).alias("sums")))  # a pair a part
 
-    def raw(self) -> Column:
-        """The row's values as the sums hold them, without target and 1."""
-        clean = [nan_to_null(F.col(f).cast("double")) for f in self.features]
-        values = [F.coalesce(c - F.lit(float(m)), F.lit(0.0)) for c, m in zip(clean, self.centre)]
-        return F.array(*values, *[c.isNull().cast("double") for c in clean])
-
     def total(self, parts: Sequence[int], unlabeled: bool = False) -> np.ndarray:
         w = self.one + 1
         return sum((m for (p, l), m in self.products.items() if p in parts and (l or unlabeled)), np.zeros((w, w)))
@@ -208,18 +235,35 @@ class PanelRidges:
         kind = self.moments.stocks.schema[GROUP].dataType.simpleString()
         return self.moments.stocks.mapInPandas(effect, f"stock_id {kind}, effects array<double>")
 
-    def predict(self, panel: DataFrame, of: dict[int, Sequence[int]], select: Column | None = None) -> DataFrame:
-        """Each row once per case, as (panel columns, case, prediction). `select` is the row's key into `of`, which lists
+    def predict(self, panel: DataFrame, of: dict[int, Sequence[int]], select: Column | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+        """Each row once per case, as (columns to keep, all of the panel by default, case, prediction). `select` is the row's key into `of`, which lists
         the cases for it; without it every row is scored by `of[0]`. Unknown stocks get no effect."""
-        spark = panel.sparkSession
-        rows = [(k, i, self.cases[i].name, [float(v) for v in self.weights[i][:-1]], float(self.weights[i][-1])) for k, cases in of.items() for i in cases]
-        table = spark.createDataFrame(rows, "_of int, _case int, case string, _b array<double>, _b0 double")  # a row a case
-        scored = panel.withColumn("_of", (F.lit(0) if select is None else select).cast("int")).join(F.broadcast(table), "_of")
-        # the products first, so that only a number a row is carried where the stock effects are too many to broadcast
-        scored = scored.withColumn("_linear", dot(self.moments.raw(), F.col("_b")) + F.col("_b0")).drop("_of", "_b", "_b0")
+        features, centre, keep = self.moments.features, self.moments.centre, list(keep or panel.columns)
+        d = len(features)
+        weights = {k: np.column_stack([self.weights[i] for i in cases]) for k, cases in of.items()}
+        given = [F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]
+        carried = list(dict.fromkeys([*keep, "stock_id"]))
+        rows = panel.select(*carried, (F.lit(0) if select is None else select).cast("int").alias("_of"), *given)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, keys = _raw(batch, d, centre), batch.column("_of").to_numpy(zero_copy_only=False)
+                for k, b in weights.items():
+                    at = np.flatnonzero(keys == k)
+                    linear = raw[at] @ b[:-1] + b[-1]
+                    ends = pa.array(np.arange(len(at) + 1) * b.shape[1], pa.int32())
+                    some = batch.select(carried).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(at), k, np.int32)), pa.ListArray.from_arrays(ends, pa.array(linear.ravel()))], [*carried, "_of", "_linear"])
+
+        kinds = {f.name: f.dataType.simpleString() for f in panel.schema.fields}
+        scored = rows.mapInArrow(score, ", ".join([f"`{c}` {kinds[c]}" for c in carried] + ["_of int", "_linear array<double>"]))
+        # only the products are carried where the stock effects are too many to broadcast
         scored = blocks.null_safe_join(scored, blocks.settled(self.effects()), ["stock_id"], "left")
-        effect = F.coalesce(F.get("effects", F.col("_case")), F.lit(0.0))
-        return scored.withColumn("prediction", F.col("_linear") + effect).drop("_case", "_linear", "effects")
+        cases = F.create_map(*[c for k, own in of.items() for c in (F.lit(k), F.array(*[F.lit(i) for i in own]))])
+        each = scored.withColumn("_case", F.element_at(cases, F.col("_of"))).select(*keep, "effects", F.explode(F.arrays_zip("_case", "_linear")).alias("_c"))
+        name = F.get(F.array(*[F.lit(c.name) for c in self.cases]), F.col("_c._case"))
+        effect = F.coalesce(F.get("effects", F.col("_c._case")), F.lit(0.0))
+        return each.select(*keep, name.alias("case"), (F.col("_c._linear") + effect).alias("prediction"))
 
 
 def fit_panel_ridges(moments: PanelMoments, cases: Sequence[RidgeCase], medians: dict[tuple, np.ndarray]) -> PanelRidges:

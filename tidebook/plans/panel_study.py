@@ -39,8 +39,7 @@ def ridge_cross_validation(
     # dates before the first block are part 0, block k is part k and validates fold k
     part = F.size(F.filter(F.array(*[F.lit(d) for d in starts]), lambda d: d <= F.col(date)))
     inside = stats.labeled_rows(panel, target).withColumn("fold", part)
-    later = inside.select(*features, F.explode(F.sequence(F.col("fold") + 1, F.lit(len(starts) + 1))).alias("fold"))
-    medians = panel_models.feature_medians(later.where(F.col("fold") <= len(starts)), features, ["fold"])
+    medians = panel_models.nested_medians(inside.where(F.col("fold") < len(starts)), "fold", range(1, len(starts) + 1), features)
     sums = panel_models.PanelMoments(inside, F.col("fold"), features, target, medians[(len(starts),)])
     cases = [
         panel_models.RidgeCase(str(float(alpha)), tuple(range(fold)), float(alpha), (fold,))
@@ -48,7 +47,7 @@ def ridge_cross_validation(
     ]
     models = panel_models.fit_panel_ridges(sums, cases, medians)
     of = {fold: range((fold - 1) * len(alphas), fold * len(alphas)) for fold in range(1, len(starts) + 1)}
-    scored = models.predict(inside.where("fold > 0"), of, F.col("fold"))
+    scored = models.predict(inside.where("fold > 0"), of, F.col("fold"), ["fold", target])
     scored = blocks.settled(scored.select("fold", F.col("case").cast("double").alias("alpha"), target, "prediction"))
     return stats.predictive_metrics(scored, ["fold", "alpha"], target, "prediction")
 
@@ -82,10 +81,10 @@ def family_ablation(
         kept = tuple(f for f in features if family_of[f] != family)
         if kept:
             cases[f"without_{family}"] = kept
-    medians = panel_models.feature_medians(train, features)
-    sums = panel_models.PanelMoments(train, F.lit(0), features, target, medians[()])
-    models = panel_models.fit_panel_ridges(sums, [panel_models.RidgeCase(name, (0,), float(alpha), (), kept) for name, kept in cases.items()], medians)
-    scored = models.predict(validation, {0: range(len(cases))}).select(F.col("case").alias("features"), target, "prediction")
+    medians = panel_models.nested_medians(train.withColumn("_part", F.lit(0)), "_part", [1], features)
+    sums = panel_models.PanelMoments(train, F.lit(0), features, target, medians[1,])
+    models = panel_models.fit_panel_ridges(sums, [panel_models.RidgeCase(name, (0,), float(alpha), (1,), kept) for name, kept in cases.items()], medians)
+    scored = models.predict(validation, {0: range(len(cases))}, keep=[target]).select(F.col("case").alias("features"), target, "prediction")
     scored = blocks.settled(scored)  # else every pass of the ranks would make the features again
     return stats.predictive_metrics(scored, ["features"], target, "prediction")
 
@@ -97,11 +96,11 @@ def frozen_refit(
     features = list(features)
     rows = blocks.settled(panel.select("stock_id", date, target, *features))
     part = (F.col(date) > train_last).cast("int") + (F.col(date) > development_last).cast("int")
-    medians = panel_models.feature_medians(rows.where(F.col(date) <= train_last), features)
-    sums = panel_models.PanelMoments(rows.where(F.col(date) <= development_last), part, features, target, medians[()])
-    case = panel_models.RidgeCase("frozen", (0, 1), float(alpha), (), prep=(0,), unlabeled=True)
+    medians = panel_models.nested_medians(rows.where(F.col(date) <= train_last).withColumn("_part", F.lit(0)), "_part", [1], features)
+    sums = panel_models.PanelMoments(rows.where(F.col(date) <= development_last), part, features, target, medians[1,])
+    case = panel_models.RidgeCase("frozen", (0, 1), float(alpha), (1,), prep=(0,), unlabeled=True)
     models = panel_models.fit_panel_ridges(sums, [case], medians)
-    held = blocks.settled(models.predict(rows.where(F.col(date) > development_last), {0: [0]}).select(date, target, "prediction"))
+    held = blocks.settled(models.predict(rows.where(F.col(date) > development_last), {0: [0]}, keep=[date, target]).select(date, target, "prediction"))
     return stats.predictive_metrics(held, [date], target, "prediction")
 
 
