@@ -76,3 +76,37 @@ def test_stock_level_uses_earlier_train_dates(spark):
         own = [y for s, y in past if s == r["stock"]]
         prior = np.mean([y for _, y in past]) if past else 0.0
         assert r["stock_level"] == pytest.approx((sum(own) + 2 * prior) / (len(own) + 2))
+
+
+def panel_rows(spark, stocks=30):
+    rng = np.random.default_rng(7)
+    rows = [(s, d, float(rng.normal() + s % 3), *[None if rng.random() < 0.1 else float(v) for v in rng.normal(size=3).round(1)]) for s in range(stocks) for d in range(6) for _ in range(3)]
+    return spark.createDataFrame(rows, "stock_id int, date_id int, target double, a double, b double, c double").repartition(3)
+
+
+def test_stock_levels_meet_narrow_rows_only(spark, monkeypatch):
+    """Where levels are too many to broadcast, the join shuffles its rows: they may not carry the features."""
+    from tidebook.operators import blocks
+    from tidebook.plans import panel_study
+
+    joined, plain = [], blocks.null_safe_join
+    monkeypatch.setattr(blocks, "null_safe_join", lambda left, right, keys, how: (joined.append(left.columns), plain(left, right, keys, how))[1])
+    got = panel_study.boosted_scores(panel_rows(spark), "date_id", ["a", "b", "c"], "target", 3, PARAMS).collect()
+    assert len(got) == 2 * 30 * 2 * 3
+    assert joined and not any({"a", "b", "c"} & set(columns) for columns in joined)
+
+
+def test_bins_equal_those_of_filled_arrays(spark):
+    from tidebook.operators import order_stats, panel_models
+
+    names = ["a", "b", "c"]
+    df = panel_rows(spark).withColumn("part", F.lit(0)).withColumn("b", F.when(F.col("b").isNull(), float("nan")).otherwise(F.col("b")))
+    medians = panel_models.feature_medians(df, names)[()]
+    array = F.array(*[F.coalesce(F.nanvl(F.col(n), F.lit(None).cast("double")), F.lit(float(m))) for n, m in zip(names, medians)])
+    filled = df.select("*", array.alias("features"))
+    want_cuts = boosting.cut_points(filled, "features", 3, 8)
+    cuts = boosting.cuts_of_points(order_stats.quantile_points(df, "part", names), names, medians, df.count(), 8)
+    assert all((a == b).all() for a, b in zip(cuts, want_cuts, strict=True))
+    key = lambda r: (r["stock_id"], r["date_id"], r["target"])
+    want = {key(r): bytes(r["bins"]) for r in boosting.binned(filled, "features", want_cuts).collect()}
+    assert {key(r): bytes(r["bins"]) for r in boosting.binned_columns(df, names, cuts, medians).collect()} == want

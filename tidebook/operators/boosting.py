@@ -20,7 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.operators import blocks
+from tidebook.operators import blocks, order_stats
 from tidebook.operators.linear_classifiers import SPREAD
 
 #: Rounds after which the scores are written anew.
@@ -76,6 +76,16 @@ def cut_points(train: DataFrame, array: str, width: int, bins: int) -> list[np.n
     return [out.get(i, np.zeros(0)) for i in range(width)]
 
 
+def cuts_of_points(points: DataFrame, columns: Sequence[str], fill: Sequence[float], rows: int, bins: int) -> list[np.ndarray]:
+    """As `cut_points` from the sketch of columns (part 0), of which missing values up to the number of rows count as `fill`."""
+    held = points.groupBy("at").agg(F.sum(F.size("values") * F.col("weight")).alias("n")).collect()  # a row a column
+    there = {r["at"]: r["n"] for r in held}
+    gaps = [(0, i, [float(f)], float(rows - there.get(i, 0.0))) for i, f in enumerate(fill) if rows - there.get(i, 0.0) > 0.5]
+    whole = points.unionByName(points.sparkSession.createDataFrame(gaps, points.schema)) if gaps else points
+    found = order_stats.read_points(whole, "part", [1], [i / bins for i in range(1, bins)])
+    return [np.unique(found[1, i]) if (1, i) in found else np.zeros(0) for i in range(len(columns))]
+
+
 def binned(rows: DataFrame, array: str, cuts: Sequence[np.ndarray]) -> DataFrame:
     """Adds `bins`, a byte a feature: how many borders are below the value. A missing value is in bin 0."""
 
@@ -90,6 +100,27 @@ def binned(rows: DataFrame, array: str, cuts: Sequence[np.ndarray]) -> DataFrame
     return rows.mapInPandas(run, ddl)
 
 
+def binned_columns(rows: DataFrame, columns: Sequence[str], cuts: Sequence[np.ndarray], fill: Sequence[float]) -> DataFrame:
+    """As `binned`, of columns beside one another instead of an array; a missing value, or NaN, counts as the column's `fill`."""
+    columns = list(columns)
+    filled = [int(np.searchsorted(c, f, "left")) for c, f in zip(cuts, fill)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.empty((batch.num_rows, len(columns)), np.uint8)
+            for i, name in enumerate(columns):
+                x = batch.column(name).to_numpy(zero_copy_only=False)
+                out[:, i] = np.where(np.isnan(x), filled[i], np.searchsorted(cuts[i], x, "left"))
+            ends = pa.array(np.arange(len(out) + 1) * len(columns), pa.int32())
+            bins = pa.Array.from_buffers(pa.binary(), len(out), [None, ends.buffers()[1], pa.py_buffer(out.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.select(others).columns, bins], [*others, "bins"])
+
+    others = [c for c in rows.columns if c not in columns]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    given = rows.select(*others, *[F.col(c).cast("double").alias(c) for c in columns])
+    return given.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in others] + ["bins binary"]))
+
+
 def _leaf_of(bins: np.ndarray, tree: tuple, levels: int) -> np.ndarray:
     node = np.zeros(len(bins), int)
     rows = np.arange(len(bins))
@@ -232,7 +263,15 @@ def boost(rows: DataFrame, models: Sequence[Boosted], width: int, params: TreePa
 def ordered_target_statistic(
     rows: DataFrame, stock: str, date: str, target: str, train: Column, strength: float = 20.0, name: str = "stock_level"
 ) -> DataFrame:
-    """Adds a stock's mean target over strictly earlier train dates, drawn to the mean of all stocks on those dates as if
+    """Adds `target_levels` to the rows."""
+    table = target_levels(rows, stock, date, target, train, strength, name)
+    return blocks.null_safe_join(rows, table, [stock, date], "left")
+
+
+def target_levels(
+    rows: DataFrame, stock: str, date: str, target: str, train: Column, strength: float = 20.0, name: str = "stock_level"
+) -> DataFrame:
+    """(stock, date, level): a stock's mean target over strictly earlier train dates, drawn to the mean of all stocks on those dates as if
     it had `strength` rows of it. A stock without earlier train rows gets that mean; before any of them it is 0.
 
     `train` says which rows count. Any number of stocks is one numeric column, and no row's own date is in it.
@@ -250,5 +289,4 @@ def ordered_target_statistic(
     own = earlier([stock])
     before = sums.select(stock, date, F.coalesce(F.sum("_s").over(own), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_n").over(own), F.lit(0)).alias("_n"))
     level = (F.col("_s") + F.lit(strength) * F.col("_prior")) / (F.col("_n") + F.lit(strength))
-    table = blocks.null_safe_join(before, days, [date], "inner").select(stock, date, level.alias(name))
-    return blocks.null_safe_join(rows, table, [stock, date], "left")
+    return blocks.null_safe_join(before, days, [date], "inner").select(stock, date, level.alias(name))

@@ -113,21 +113,29 @@ def boosted_scores(
     earlier train dates.
     """
     features = list(features)
-    train = F.col(date) <= train_last
-    leveled = boosting.ordered_target_statistic(panel.select("stock_id", date, target, *features), "stock_id", date, target, train)
-    rows = blocks.settled(stats.labeled_rows(leveled, target))
-    names = [*features, "stock_level"]
-    medians = panel_models.feature_medians(rows.where(train), names)[()]
-    level = order_stats.quantiles(rows.where(train), [], target, [0.5]).first()["q"][0]
-    y = F.col(target)
-    size = rows.where(train).agg(F.avg(y).alias("mean"), F.avg(F.abs(y - F.lit(level))).alias("away")).first()
+    train, y = F.col(date) <= train_last, F.col(target)
+    part = F.when(train, 0).otherwise(1).alias("part")
+    rows = blocks.settled(panel.select("stock_id", date, target, part, *features))
+    labeled = stats.labeled_rows(rows, target)
+    # a stock's level meets narrow rows only: few bytes a row are shuffled where the levels are too many to broadcast
+    levels = blocks.settled(boosting.target_levels(rows, "stock_id", date, target, train))
+    leveled = lambda narrow: blocks.null_safe_join(narrow, levels, ["stock_id", date], "left")
+    cuts, fills = [], []
+    for table, names in ((labeled, features), (leveled(labeled.select("stock_id", date, target, "part")), ["stock_level"])):
+        points = blocks.settled(order_stats.quantile_points(table.where("part = 0"), "part", names))
+        medians = panel_models.nested_medians(table.where("part = 0"), "part", [1], names, points)[1,]
+        cuts += boosting.cuts_of_points(points, names, medians, table.where("part = 0").count(), params.bins)
+        fills += list(medians)
+    level = order_stats.quantiles(labeled.where("part = 0"), [], target, [0.5]).first()["q"][0]
+    size = labeled.where("part = 0").agg(F.avg(y).alias("mean"), F.avg(F.abs(y - F.lit(level))).alias("away")).first()
     models = [
         boosting.Boosted("boosted_squared", 1, boosting.SQUARED, start=size["mean"]),
         boosting.Boosted("boosted_absolute", 1, boosting.ABSOLUTE, start=level, unit=max(size["away"], 1e-9)),
     ]
-    filled = F.array(*[F.coalesce(nan_to_null(F.col(f).cast("double")), F.lit(float(m))) for f, m in zip(names, medians)])
-    table = rows.select("stock_id", date, target, y.alias("y"), F.when(train, 0).otherwise(1).alias("part"), filled.alias("features"))
-    cuts = boosting.cut_points(table.where("part = 0"), "features", len(names), params.bins)
-    grown = boosting.boost(boosting.binned(table, "features", cuts), models, len(names), params)
+    narrow = leveled(boosting.binned_columns(labeled, features, cuts[:-1], fills[:-1]))
+    value = F.coalesce(nan_to_null(F.col("stock_level")), F.lit(float(fills[-1])))
+    last = F.unhex(F.lpad(F.hex(stats.bin_of(value, F.array(*[F.lit(float(c)) for c in cuts[-1]]).cast("array<double>"))), 2, "0"))
+    table = narrow.select("stock_id", date, target, y.alias("y"), "part", F.concat("bins", last).alias("bins"))
+    grown = boosting.boost(table, models, len(features) + 1, params)
     cases = F.array(*[F.struct(F.lit(m.name).alias("model"), F.get("scores", F.lit(i)).alias("prediction")) for i, m in enumerate(models)])
     return grown.where("part = 1").select("stock_id", date, target, F.explode(cases).alias("_c")).select("stock_id", date, target, "_c.*")
